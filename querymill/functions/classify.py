@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from querymill.functions.replies import as_float, extract_json, field, field_type, parse_json
+from querymill.functions.replies import as_float, extract_json, field, field_type, let, parse_json
 from querymill.functions.text import strip
 from querymill.schemas import CLASSIFICATION, is_confidence, is_query_status
 
@@ -56,7 +56,10 @@ def classify_heuristic(query: Column) -> Column:
 
 def parse_classification(query: Column, reply: Column) -> Column:
     """A model's JSON answer; whatever cannot be used falls back to the rules above."""
-    doc = parse_json(extract_json(reply))
+    return let(parse_json(extract_json(reply)), lambda doc: _read_reply(doc, query))
+
+
+def _read_reply(doc: Column, query: Column) -> Column:
     status, confidence = field(doc, "status", "string"), as_float(doc, "confidence")
     reason_type, ideas_type = field_type(doc, "reason"), field_type(doc, "suggested_improvements")
     ideas = field(doc, "suggested_improvements", "array<string>")

@@ -4,6 +4,8 @@ Dynamic typing matters here (``"false"`` is true, ``"0.9"`` is a number), so the
 JSON value is looked at beside the value itself.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from querymill.functions.text import split_sentences, strip
@@ -21,6 +23,11 @@ TEXT_CONFIDENCE = 0.5
 FLOAT_TEXT = r"(?i)^[+-]?((\d(_?\d)*)(\.(\d(_?\d)*)?)?|\.\d(_?\d)*)(e[+-]?\d(_?\d)*)?$|^[+-]?(inf|infinity|nan)$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def extract_json(reply: Column) -> Column:
     """From the first ``{`` to the first ``}`` after it; the whole trimmed text if there is none."""
     found = F.regexp_extract(reply, r"\{[^}]*\}", 0)
@@ -32,9 +39,8 @@ def parse_json(text: Column) -> Column:
 
     The brackets make the parser see text after the value, which it would pass over otherwise.
     """
-    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    only = F.size(F.try_variant_get(boxed, "$", "array<variant>")) == 1
-    return F.when(only, F.try_variant_get(boxed, "$[0]", "variant"))
+    boxed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return let(boxed, lambda values: F.when(F.size(values) == 1, F.get(values, F.lit(0))))
 
 
 def field(doc: Column, name: str, kind: str) -> Column:
@@ -82,7 +88,10 @@ def parse_verdict(reply: Column, error: Column | None = None) -> Column:
     Every failure reads (true, 0.5, why): below the usual cut, so a failure rejects.
     """
     error = F.lit(None).cast("string") if error is None else error
-    doc = parse_json(extract_json(reply))
+    return let(parse_json(extract_json(reply)), lambda doc: _verdict(doc, reply, error))
+
+
+def _verdict(doc: Column, reply: Column, error: Column) -> Column:
     confidence, kind = as_float(doc, "confidence"), field_type(doc, "confidence")
     complete = field_type(doc, "is_similar").isNotNull() & kind.isNotNull()
 
@@ -160,7 +169,10 @@ def parse_summary(reply: Column) -> Column:
     ``error`` is set only where a bare JSON scalar makes the field test itself fail; every other
     malformed reply is read as free text.
     """
-    doc = parse_json(_strip_fences(reply))
+    return let(parse_json(_strip_fences(reply)), lambda doc: _read_summary(doc, reply))
+
+
+def _read_summary(doc: Column, reply: Column) -> Column:
     root = F.schema_of_variant(doc)
     kinds = {name: field_type(doc, name) for name in ("summary", "key_points", "confidence")}
     usable = (

@@ -209,8 +209,11 @@ def _assign(df: DataFrame, centres: np.ndarray, metric: str) -> DataFrame:
 
 
 def _match(left, right, key_type, n_query, n_store, block_rows, metric, score, threshold, k) -> DataFrame:
-    out = T.StructType.fromDDL("_v1 bigint, _v2 bigint, q_seq bigint, s_seq bigint, score double, distance double")
-    out.add("s_key", key_type)
+    out = T.StructType(
+        [T.StructField(c, T.LongType()) for c in [*_VECTOR, "q_seq", "s_seq"]]
+        + [T.StructField(c, T.DoubleType()) for c in ("score", "distance")]
+        + [T.StructField("s_key", key_type)]
+    )
 
     def product(q: pd.DataFrame, s: pd.DataFrame) -> Iterator[pd.DataFrame]:
         s = s.sort_values(["s_seq", "s_key"], kind="stable").reset_index(drop=True)

@@ -7,52 +7,40 @@ QUERY_STATUSES = ("valid", "invalid", "pending", "processing", "completed", "fai
 SCRAPE_STATUSES = ("success", "failed", "timeout", "blocked", "error")
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TEXT, _REAL, _INT, _LONG, _FLAG, _TIME = (
+    T.StringType(), T.DoubleType(), T.IntegerType(), T.LongType(), T.BooleanType(), T.TimestampType()
+)
+_TEXTS, _VECTOR = T.ArrayType(_TEXT), T.ArrayType(T.FloatType())
 
 
-CLASSIFICATION = _struct(
-    "status string, confidence double, reason string, suggested_improvements array<string>"
-)
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+CLASSIFICATION = _struct(status=_TEXT, confidence=_REAL, reason=_TEXT, suggested_improvements=_TEXTS)
 SCRAPED_CONTENT = _struct(
-    "url string, title string, content string, content_length int, scraped_at timestamp, "
-    "success boolean, error_message string, status string"
+    url=_TEXT, title=_TEXT, content=_TEXT, content_length=_INT, scraped_at=_TIME, success=_FLAG,
+    error_message=_TEXT, status=_TEXT,
 )
 SUMMARY = _struct(
-    "summary string, key_points array<string>, sources array<string>, confidence double, "
-    "word_count int, language string, generated_at timestamp"
-)
-QUERIES = _struct("query_id bigint, arrival bigint, ts timestamp, query string")
-SEARCH_RESULTS = _struct(
-    "query_id bigint, engine string, position int, title string, url string, snippet string"
+    summary=_TEXT, key_points=_TEXTS, sources=_TEXTS, confidence=_REAL, word_count=_INT, language=_TEXT,
+    generated_at=_TIME,
 )
-RESULT_STORE = T.StructType(
-    [
-        *_struct("query_hash string, query string, status string, confidence double, reason string").fields,
-        T.StructField("scraped_content", T.ArrayType(SCRAPED_CONTENT)),
-        T.StructField("summary", SUMMARY),
-        T.StructField("embedding", T.ArrayType(T.FloatType())),
-        *_struct(
-            "created_at timestamp, execution_time double, pages_scraped int, "
-            "total_content_length bigint, document string"
-        ).fields,
-    ]
+QUERIES = _struct(query_id=_LONG, arrival=_LONG, ts=_TIME, query=_TEXT)
+SEARCH_RESULTS = _struct(query_id=_LONG, engine=_TEXT, position=_INT, title=_TEXT, url=_TEXT, snippet=_TEXT)
+RESULT_STORE = _struct(
+    query_hash=_TEXT, query=_TEXT, status=_TEXT, confidence=_REAL, reason=_TEXT,
+    scraped_content=T.ArrayType(SCRAPED_CONTENT), summary=SUMMARY, embedding=_VECTOR, created_at=_TIME,
+    execution_time=_REAL, pages_scraped=_INT, total_content_length=_LONG, document=_TEXT,
 )
-# What the store keeps as JSON text beside the flat columns, and reads back.
-STORED_RECORD = T.StructType(
-    [
-        *_struct("query string, query_hash string").fields,
-        T.StructField("classification", CLASSIFICATION),
-        T.StructField("scraped_content", T.ArrayType(SCRAPED_CONTENT)),
-        T.StructField("summary", SUMMARY),
-        T.StructField("embedding", T.ArrayType(T.FloatType())),
-        *_struct("created_at timestamp, execution_time double, cache_hit boolean").fields,
-    ]
+# What the store can hand out as one JSON text, and reads back.
+STORED_RECORD = _struct(
+    query=_TEXT, query_hash=_TEXT, classification=CLASSIFICATION, scraped_content=T.ArrayType(SCRAPED_CONTENT),
+    summary=SUMMARY, embedding=_VECTOR, created_at=_TIME, execution_time=_REAL, cache_hit=_FLAG,
 )
 OUTCOMES = _struct(
-    "query_id bigint, ts timestamp, query string, query_hash string, outcome string, status string, "
-    "matched_hash string, similarity_score double, semantic_similarity double, semantic_reason string, "
-    "message string, error string"
+    query_id=_LONG, ts=_TIME, query=_TEXT, query_hash=_TEXT, outcome=_TEXT, status=_TEXT, matched_hash=_TEXT,
+    similarity_score=_REAL, semantic_similarity=_REAL, semantic_reason=_TEXT, message=_TEXT, error=_TEXT,
 )
 
 

@@ -109,7 +109,7 @@ def insert_results(spark: SparkSession, path: str, rows: DataFrame) -> None:
     """Insert if absent. Running it again with the same rows adds nothing."""
     known = lookup(scan_store(spark, path), rows).select("query_hash")
     fresh = without_keys(first_per_key(rows.select(*COLUMNS)), known).withColumn(PREFIX, hash_prefix())
-    fresh.repartition(PREFIX, F.pmod(F.xxhash64("query_hash"), F.lit(8))).write.mode("append").partitionBy(PREFIX).parquet(path)
+    fresh.hint("rebalance", PREFIX).write.mode("append").partitionBy(PREFIX).parquet(path)
 
 
 def delete_results(spark: SparkSession, path: str, keys: DataFrame) -> None:
