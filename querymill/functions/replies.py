@@ -118,22 +118,25 @@ def _verdict(doc: Column, reply: Column, error: Column) -> Column:
 
 def summary_from_text(reply: Column) -> Column:
     """Free text as a summary: its bullets, else its first sentences, else stock lines."""
-    text = strip(reply)
+    return let(strip(reply), _read_text)
+
+
+def _read_text(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: x.rlike(BULLET_LINE))
     bullets = F.filter(
         F.transform(lines, lambda x: strip(F.regexp_replace(x, BULLET_LEAD, ""))), lambda x: F.length(x) > 10
     )
     sentences = F.transform(
         F.filter(
-            F.transform(F.slice(split_sentences(text), 1, 5), strip),
+            F.transform(split_sentences(text, 5), strip),
             lambda x: (F.length(x) > 20) & (F.length(x) < 200),
         ),
         lambda x: F.when(F.endswith(x, F.lit(".")), x).otherwise(F.concat(x, F.lit("."))),
     )
-    points = (
-        F.when(F.size(bullets) > 0, F.slice(bullets, 1, MAX_POINTS))
-        .when(F.size(sentences) > 0, sentences)
-        .otherwise(F.array(*[F.lit(p) for p in STOCK_POINTS]))
+    stock = F.array(*[F.lit(p) for p in STOCK_POINTS])
+    plain = let(sentences, lambda found: F.when(F.size(found) > 0, found).otherwise(stock))
+    points = let(
+        bullets, lambda found: F.when(F.size(found) > 0, F.slice(found, 1, MAX_POINTS)).otherwise(plain)
     )
     return _summary(text, points, F.lit(TEXT_CONFIDENCE))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from querymill.defaults import EXTRACTIVE_SOURCES, MAX_PROMPT_SOURCE_LENGTH, MIN_CONTENT_LENGTH
-from querymill.functions.replies import parse_summary
+from querymill.functions.replies import let, parse_summary
 from querymill.functions.text import prompt_title, split_sentences, strip, truncate, word_count
 from querymill.schemas import SUMMARY
 
@@ -55,15 +55,16 @@ def _urls(pages: Column) -> Column:
 
 
 def _summary(text, points, sources, confidence, as_of) -> Column:
-    return F.struct(
-        text.alias("summary"),
+    record = lambda summary: F.struct(
+        summary.alias("summary"),
         points.alias("key_points"),
         sources.alias("sources"),
         confidence.cast("double").alias("confidence"),
-        word_count(text).alias("word_count"),
+        word_count(summary).alias("word_count"),
         F.lit("en").alias("language"),
         as_of.cast("timestamp").alias("generated_at"),
-    ).cast(SUMMARY)
+    )
+    return let(text, record).cast(SUMMARY)
 
 
 def empty_summary(query: Column, pages: Column, as_of: Column) -> Column:
@@ -83,7 +84,7 @@ def error_summary(query: Column, pages: Column, error: Column, as_of: Column) ->
 def lead_sentence(content: Column) -> Column:
     """First of the first two sentences longer than 50 characters, null if neither is."""
     first = F.filter(
-        F.transform(F.slice(split_sentences(content), 1, 2), strip), lambda s: F.length(s) > 50
+        F.transform(split_sentences(content, 2), strip), lambda s: F.length(s) > 50
     )
     return F.concat(F.get(first, F.lit(0)), F.lit("."))
 
@@ -91,7 +92,7 @@ def lead_sentence(content: Column) -> Column:
 def key_sentence(content: Column) -> Column:
     """First of the first five sentences between 30 and 150 characters, null if none is."""
     first = F.filter(
-        F.transform(F.slice(split_sentences(content), 1, 5), strip),
+        F.transform(split_sentences(content, 5), strip),
         lambda s: (F.length(s) > 30) & (F.length(s) < 150),
     )
     return F.get(first, F.lit(0))
@@ -99,22 +100,25 @@ def key_sentence(content: Column) -> Column:
 
 def extractive_summary(query: Column, pages: Column, as_of: Column) -> Column:
     """Leads and key sentences of the first good pages; no model involved."""
-    good = good_pages(pages)
-    used = F.slice(good, 1, EXTRACTIVE_SOURCES)
-    leads = F.array_compact(F.transform(used, lambda p: lead_sentence(p["content"])))
-    points = F.array_compact(F.transform(used, lambda p: key_sentence(p["content"])))
-    count = F.size(good).cast("string")
-    text = F.when(
-        F.size(leads) > 0,
-        F.concat(F.lit("Based on the available sources for '"), query, F.lit("': "), F.array_join(leads, " ")),
-    ).otherwise(F.concat(F.lit("Information found about '"), query, F.lit("' from "), count, F.lit(" sources.")))
-    stock = F.concat(
-        F.array(F.concat(F.lit("Found information from "), count, F.lit(" sources"))), _texts(EXTRACTIVE_POINTS)
-    )
-    built = _summary(
-        text, F.when(F.size(points) > 0, points).otherwise(stock), _urls(good), F.lit(EXTRACTIVE_CONFIDENCE), as_of
-    )
-    return F.when(F.size(good) > 0, built).otherwise(empty_summary(query, pages, as_of))
+    def built(good: Column) -> Column:
+        used = F.slice(good, 1, EXTRACTIVE_SOURCES)
+        leads = F.array_join(F.transform(used, lambda p: lead_sentence(p["content"])), " ")
+        points = F.array_compact(F.transform(used, lambda p: key_sentence(p["content"])))
+        count = F.size(good).cast("string")
+        stock = F.concat(
+            F.array(F.concat(F.lit("Found information from "), count, F.lit(" sources"))), _texts(EXTRACTIVE_POINTS)
+        )
+        text = let(
+            leads,
+            lambda found: F.when(
+                found != "", F.concat(F.lit("Based on the available sources for '"), query, F.lit("': "), found)
+            ).otherwise(F.concat(F.lit("Information found about '"), query, F.lit("' from "), count, F.lit(" sources."))),
+        )
+        chosen = let(points, lambda found: F.when(F.size(found) > 0, found).otherwise(stock))
+        summary = _summary(text, chosen, _urls(good), F.lit(EXTRACTIVE_CONFIDENCE), as_of)
+        return F.when(F.size(good) > 0, summary).otherwise(empty_summary(query, pages, as_of))
+
+    return let(good_pages(pages), built)
 
 
 def build_prompt(query: Column, pages: Column) -> Column:
@@ -138,13 +142,15 @@ def build_prompt(query: Column, pages: Column) -> Column:
 
 def model_summary(query: Column, pages: Column, reply: Column, error: Column, as_of: Column) -> Column:
     """Summary where a model is set up: needs meaningful pages, an answer, and a readable one."""
-    meaningful = meaningful_pages(pages)
-    parsed = parse_summary(reply)
-    failed = F.coalesce(error, parsed["error"])
-    return (
-        F.when(F.size(meaningful) == 0, empty_summary(query, pages, as_of))
-        .when(failed.isNotNull(), error_summary(query, pages, failed, as_of))
-        .otherwise(
-            _summary(parsed["summary"], parsed["key_points"], _urls(meaningful), parsed["confidence"], as_of)
+    def routed(parsed: Column) -> Column:
+        failed = F.coalesce(error, parsed["error"])
+        return (
+            F.when(F.size(meaningful) == 0, empty_summary(query, pages, as_of))
+            .when(failed.isNotNull(), error_summary(query, pages, failed, as_of))
+            .otherwise(
+                _summary(parsed["summary"], parsed["key_points"], _urls(meaningful), parsed["confidence"], as_of)
+            )
         )
-    )
+
+    meaningful = meaningful_pages(pages)
+    return let(parse_summary(reply), routed)

@@ -39,19 +39,22 @@ def clean_text(col: Column) -> Column:
     line = F.trim(
         F.regexp_replace(F.regexp_replace(col, rf"[{SPACE}]+", " "), f"[^{KEPT}]+", " ")
     )
-    return F.when(F.length(line) > MIN_LINE, line).when(line.isNotNull(), "")
+    # As a pattern rather than a CASE, so that the line is worked out once.
+    return F.regexp_replace(line, rf"(?s)\A.{{0,{MIN_LINE}}}\z", "")
 
 
 def truncate(col: Column, limit: int = MAX_CONTENT_LENGTH) -> Column:
-    return F.when(F.length(col) > limit, F.concat(F.substring(col, 1, limit), F.lit("..."))).otherwise(col)
+    """The first ``limit`` characters and ``...`` if there are more; ``col`` is worked out once."""
+    return F.regexp_replace(col, rf"(?s)\A(.{{{limit}}}).+\z", "$1...")
 
 
 def word_count(col: Column) -> Column:
     return F.regexp_count(col, F.lit(f"[^{SPACE}]+"))
 
 
-def split_sentences(col: Column) -> Column:
-    return F.split(col, r"\. ", -1)
+def split_sentences(col: Column, first: int | None = None) -> Column:
+    """All sentences, or the ``first`` few without cutting up the rest of the text."""
+    return F.split(col, r"\. ", -1) if first is None else F.slice(F.split(col, r"\. ", first + 1), 1, first)
 
 
 def document_text(query: Column, summary: Column) -> Column:

@@ -11,7 +11,7 @@ from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 # What is thrown away, what never holds text, and what counts as the main part.
 DROPPED = frozenset(["script", "style", "nav", "header", "footer", "aside", "iframe"])
@@ -163,7 +163,14 @@ def read_page(markup: str | None) -> tuple[str, str | None]:
         return "", page.title
 
 
-@F.pandas_udf("text string, title string")
+_PAGE = T.StructType([T.StructField(name, T.StringType()) for name in ("text", "title")])
+_LINK = T.StructType(
+    [T.StructField("dom_order", T.IntegerType())]
+    + [T.StructField(name, T.StringType()) for name in ("title", "url", "snippet")]
+)
+
+
+@F.pandas_udf(_PAGE)
 def page_text(markup: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_page(m) for m in markup], columns=["text", "title"], dtype=object)
 
@@ -271,7 +278,7 @@ def links_of_engine_b(markup: str) -> list[dict]:
 _READERS = {"a": links_of_engine_a, "b": links_of_engine_b}
 
 
-@F.pandas_udf("array<struct<dom_order:int,title:string,url:string,snippet:string>>")
+@F.pandas_udf(T.ArrayType(_LINK))
 def result_links(markup: pd.Series, engine: pd.Series) -> pd.Series:
     def read(text, name):
         try:
