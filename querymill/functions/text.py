@@ -5,11 +5,8 @@ from pyspark.sql import Column, functions as F
 from querymill.defaults import MAX_CONTENT_LENGTH, MAX_QUERY_LENGTH
 
 # Fixed value: the characters a Unicode-aware regex counts as white space, spelled out so that
-# Java and RE2 agree on them.
-SPACE = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# Java and RE2 agree on them. \p{Z} rather than its members: one test instead of eight per character.
+SPACE = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
 # Fixed value: letters, digits, underscore, blank and the punctuation kept in page text.
 KEPT = r"\p{L}\p{N}_ .,!?;:()\-'" + '"'
 MIN_LINE = 10
@@ -49,7 +46,7 @@ def truncate(col: Column, limit: int = MAX_CONTENT_LENGTH) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    return F.regexp_count(col, F.lit(f"[^{SPACE}]+"))
+    return F.size(F.array_remove(F.split(col, f"[{SPACE}]+"), ""))
 
 
 def split_sentences(col: Column, first: int | None = None) -> Column:

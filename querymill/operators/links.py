@@ -36,12 +36,15 @@ def first_links(links: DataFrame, key: str = "query_id", limit: int = MAX_SOURCE
 
 
 def search_links(
-    first: DataFrame, second: DataFrame, queries: DataFrame, key: str = "query_id", limit: int = MAX_SOURCES,
-    dedup: bool = False,
+    first: DataFrame, second: DataFrame, key: str = "query_id", limit: int = MAX_SOURCES, dedup: bool = False
 ) -> DataFrame:
-    """Links of the first engine; those of the second only for queries the first left short."""
-    found = first.groupBy(key).agg(F.count("*").alias("_found"))
-    short = (
-        queries.select(key).join(found, key, "left").where(F.coalesce("_found", F.lit(0)) < limit).select(key)
-    )
-    return first_links(first.unionByName(second.join(short, key, "left_semi")), key, limit, dedup)
+    """Links of the first engine; those of the second only for queries the first left short of ``limit``.
+
+    As the first engine's links come first and the cut is at the same number, the best ``limit`` of
+    all links are just that. Only with ``dedup``, which may shorten a full list again, the short
+    queries have to be told apart.
+    """
+    if not dedup:
+        return first_links(first.unionByName(second), key, limit)
+    full = first.groupBy(key).agg(F.count("*").alias("_found")).where(F.col("_found") >= limit)
+    return first_links(first.unionByName(second.join(full, key, "left_anti")), key, limit, dedup=True)

@@ -24,6 +24,7 @@ from querymill.session import cut
 
 BLOCK_ROWS = 8192
 MAX_CELLS = 256
+MAX_TASKS = 100_000
 # Rows of one product held at a time inside a task.
 PRODUCT_ROWS = 512
 # Scores closer than this count as equal, so that order never hangs on summation order.
@@ -65,12 +66,12 @@ def similarity_join(
     stored = store.where(is_vector(F.col(store_vec))).select(
         F.col(store_key).alias("s_key"),
         (F.col(store_seq) if store_seq else F.lit(0)).cast("bigint").alias("s_seq"),
-        F.col(store_vec).cast("array<double>").alias("vec"),
+        F.col(store_vec).alias("vec"),
     )
     asked = queries.where(is_vector(F.col(query_vec))).select(
         F.col(query_key).alias("q_key"),
         (F.col(query_seq) if query_seq else F.lit(1)).cast("bigint").alias("q_seq"),
-        F.col(query_vec).cast("array<double>").alias("vec"),
+        F.col(query_vec).alias("vec"),
     )
     sizes = {
         (r["side"], r["dim"]): r["rows"]
@@ -93,8 +94,10 @@ def similarity_join(
     folded_store = stored.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
     folded_query = asked.select("q_seq", "vec", *_VECTOR).dropDuplicates([*_VECTOR, "q_seq"])
 
-    left, right = _blocks(folded_query, folded_store, n_query, n_store, metric, score, threshold, block_rows, max_cells)
-    found = _match(left, right, key_type, n_query, n_store, block_rows, metric, score, threshold, k)
+    left, right, tasks = _blocks(
+        folded_query, folded_store, n_query, n_store, metric, score, threshold, block_rows, max_cells
+    )
+    found = _match(left, right, key_type, tasks, metric, score, threshold, k)
     best = Window.partitionBy(*_VECTOR, "q_seq").orderBy(F.desc(F.round("score", SCORE_DIGITS)), "s_seq", "s_key")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return (
@@ -107,7 +110,7 @@ def similarity_join(
 
 
 def _blocks(query, store, n_query, n_store, metric, score, threshold, block_rows, max_cells):
-    """Both sides with the block pairs each row takes part in."""
+    """Both sides with the block pairs each row takes part in, and the number of those pairs."""
     cells = min(max_cells, math.ceil(n_store / block_rows))
     if cells <= 1:
         # One stored block: the query side is cut by hash, the block goes to every piece of it.
@@ -117,6 +120,7 @@ def _blocks(query, store, n_query, n_store, metric, score, threshold, block_rows
         return (
             query.select("*", zero.alias("q_cell"), piece.alias("q_sub"), zero.alias("s_cell"), zero.alias("s_sub")),
             store.select("*", zero.alias("q_cell"), pieces.alias("q_sub"), zero.alias("s_cell"), zero.alias("s_sub")),
+            subs,
         )
 
     centres = _centres(store, cells, metric)
@@ -163,7 +167,8 @@ def _blocks(query, store, n_query, n_store, metric, score, threshold, block_rows
         .withColumn("s_sub", own_sub("s_subs", 11, *_VECTOR, "s_seq", "s_key"))
         .withColumn("q_sub", others("q_subs"))
     )
-    return left.drop("radius", "q_subs", "s_subs"), right.drop("radius", "q_subs", "s_subs")
+    count = sum(subs["q", q] * subs["s", s] for q, s in near)
+    return left.drop("radius", "q_subs", "s_subs"), right.drop("radius", "q_subs", "s_subs"), count
 
 
 def _reach(threshold: float, metric: str, score: str) -> float:
@@ -181,6 +186,7 @@ def _centres(store: DataFrame, cells: int, metric: str) -> np.ndarray:
 
 
 def _unit(matrix: np.ndarray, metric: str) -> np.ndarray:
+    matrix = matrix.astype(np.float64)
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if metric == "cosine" else matrix
 
 
@@ -208,7 +214,7 @@ def _assign(df: DataFrame, centres: np.ndarray, metric: str) -> DataFrame:
     return df.withColumn("_near", nearest("vec")).select("*", "_near.cell", "_near.radius").drop("_near")
 
 
-def _match(left, right, key_type, n_query, n_store, block_rows, metric, score, threshold, k) -> DataFrame:
+def _match(left, right, key_type, pairs, metric, score, threshold, k) -> DataFrame:
     out = T.StructType(
         [T.StructField(c, T.LongType()) for c in [*_VECTOR, "q_seq", "s_seq"]]
         + [T.StructField(c, T.DoubleType()) for c in ("score", "distance")]
@@ -245,8 +251,7 @@ def _match(left, right, key_type, n_query, n_store, block_rows, metric, score, t
         return pd.concat(parts) if parts else pd.DataFrame({f.name: [] for f in out.fields})
 
     # Work grows with the number of block pairs, not with bytes, so the task count is set here.
-    pairs = math.ceil(max(n_query, 1) / block_rows) * math.ceil(max(n_store, 1) / block_rows)
-    tasks = max(1, min(pairs, 100_000))
+    tasks = max(1, min(pairs, MAX_TASKS))
     return (
         left.repartition(tasks, *_BLOCK)
         .groupBy(*_BLOCK)

@@ -8,6 +8,7 @@ from querymill.operators.answers import nest_pages, summarize
 from querymill.operators.links import search_links
 from querymill.providers import TextHook
 from querymill.schemas import SCRAPED_CONTENT, scraped_record
+from querymill.session import cut
 from querymill.sources.pages import scan_pages
 from querymill.sources.store import insert_results, to_store_row
 
@@ -61,8 +62,9 @@ def answer(
     ``links`` holds both engines (``engine`` a or b). A miss without links fails and is not saved.
     """
     first, second = links.where(F.col("engine") == "a"), links.where(F.col("engine") == "b")
-    chosen = search_links(first, second, misses, "query_id", max_sources, dedup)
-    chosen = chosen.join(misses.select("query_id"), "query_id", "left_semi")
+    chosen = search_links(first, second, "query_id", max_sources, dedup)
+    # Links may come straight from parsing result pages, and are needed three times below.
+    chosen = cut(chosen.join(misses.select("query_id"), "query_id", "left_semi"))
     nested = nest_pages(scrape_links(chosen, pages, as_of), "query_id", max_sources)
     none = F.array().cast(f"array<{SCRAPED_CONTENT.simpleString()}>")
     joined = misses.join(nested, "query_id", "left").withColumn(

@@ -108,7 +108,8 @@ def _similar_or_miss(misses, store, judge, threshold, judge_threshold, metric, s
         candidates = candidates.join(stored_text, "query_hash").join(misses.select("query_id", "query"), "query_id")
     matches = judged_matches(candidates, judge, threshold=judge_threshold).drop("rank")
     matches = matches.join(stored_text, "query_hash").withColumnRenamed("query_hash", "matched_hash")
-    looked_up = misses.join(matches, "query_id", "left")
+    # Used twice below; no vector is compared and no judge asked a second time.
+    looked_up = cut(misses.join(matches, "query_id", "left"))
 
     # The first query of each hash that nothing answers is the miss that gets saved.
     saved = (

@@ -1,7 +1,7 @@
 """The result store: one row per query hash, Parquet partitioned by the hash's first two digits.
 
-Inserts append, look-ups and inserts read only the partitions of the hashes asked for, deletes
-rewrite only the partitions that lose rows. One writer at a time per store.
+Inserts read the key column only and append, look-ups read only the partitions of the hashes asked
+for, deletes rewrite only the partitions that lose rows. One writer at a time per store.
 """
 
 import uuid
@@ -107,8 +107,7 @@ def lookup(store: DataFrame, keys: DataFrame) -> DataFrame:
 
 def insert_results(spark: SparkSession, path: str, rows: DataFrame) -> None:
     """Insert if absent. Running it again with the same rows adds nothing."""
-    known = lookup(scan_store(spark, path), rows).select("query_hash")
-    fresh = without_keys(first_per_key(rows.select(*COLUMNS)), known).withColumn(PREFIX, hash_prefix())
+    fresh = new_rows(scan_store(spark, path), rows.select(*COLUMNS)).withColumn(PREFIX, hash_prefix())
     fresh.hint("rebalance", PREFIX).write.mode("append").partitionBy(PREFIX).parquet(path)
 
 

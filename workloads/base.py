@@ -154,18 +154,18 @@ def scraped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     good = F.coalesce(F.col("quality"), F.lit(1)) == 1
     content = F.when(good, X.truncate(X.clean_text(F.col("text")))).otherwise("")
-    return docs.join(labels, "doc_id", "left").select(
+    rows = docs.join(labels, "doc_id", "left").select(
         F.floor(F.col("doc_id") / 5).alias("query_id"),
         (F.col("doc_id") % 5).cast("int").alias("position"),
         F.concat(F.lit("http://h/"), F.col("doc_id").cast("string")).alias("url"),
         F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))).alias("title"),
         content.alias("content"),
-        F.length(content).alias("content_length"),
         F.timestamp_seconds(F.lit(1_704_067_200)).alias("scraped_at"),
         good.alias("success"),
         F.when(~good, "HTTP 404").alias("error_message"),
         F.when(good, "success").otherwise("failed").alias("status"),
     )
+    return rows.withColumn("content_length", F.length("content"))
 
 
 SCRAPED = f"""

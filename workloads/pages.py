@@ -130,8 +130,7 @@ chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 def chosen_links(spark, sf_dir):
     a = scan_result_pages(result_pages_a(spark, sf_dir), "a")
     b = scan_result_pages(result_pages_b(spark, sf_dir), "b")
-    asked = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 12).alias("query_id")).distinct()
-    return search_links(a, b, asked)
+    return search_links(a, b)
 
 
 @case("U1 O3", f"WITH {UNION} SELECT query_id, engine, position, title, url, source_rank FROM chosen")
