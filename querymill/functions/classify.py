@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from querymill.functions.replies import as_float, extract_json, field, field_type, let, parse_json
-from querymill.functions.text import strip
+from querymill.functions.text import SPACE
 from querymill.schemas import CLASSIFICATION, is_confidence, is_query_status
 
 # Substrings that decide the class, and the texts given as reasons.
@@ -22,7 +22,8 @@ REASON_SEARCH = "Contains question words or information-seeking patterns"
 REASON_OTHER = "Basic validation passed (fallback classification)"
 REASON_MODEL = "Classified by Gemini"
 SUGGESTION = "Try asking a question that can be answered by web search"
-MIN_QUERY_LENGTH = 3
+# Fewer than three characters between the white space at both ends.
+TOO_SHORT = rf"\A[{SPACE}]*[^{SPACE}]{{0,2}}[{SPACE}]*\z"
 
 
 def _has_any(text: Column, patterns) -> Column:
@@ -45,7 +46,7 @@ def classify_heuristic(query: Column) -> Column:
     lowered = F.lower(query)
     return (
         F.when(
-            _has_any(lowered, COMMAND_PATTERNS) | (F.length(strip(query)) < MIN_QUERY_LENGTH),
+            _has_any(lowered, COMMAND_PATTERNS) | query.rlike(TOO_SHORT),
             _verdict("invalid", 0.7, REASON_COMMAND, SUGGESTION),
         )
         .when(_has_any(lowered, SEARCH_PATTERNS), _verdict("valid", 0.8, REASON_SEARCH))

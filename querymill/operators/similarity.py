@@ -24,7 +24,6 @@ from querymill.session import cut
 
 BLOCK_ROWS = 8192
 MAX_CELLS = 256
-MAX_TASKS = 100_000
 # Rows of one product held at a time inside a task.
 PRODUCT_ROWS = 512
 # Scores closer than this count as equal, so that order never hangs on summation order.
@@ -94,10 +93,8 @@ def similarity_join(
     folded_store = stored.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
     folded_query = asked.select("q_seq", "vec", *_VECTOR).dropDuplicates([*_VECTOR, "q_seq"])
 
-    left, right, tasks = _blocks(
-        folded_query, folded_store, n_query, n_store, metric, score, threshold, block_rows, max_cells
-    )
-    found = _match(left, right, key_type, tasks, metric, score, threshold, k)
+    left, right = _blocks(folded_query, folded_store, n_query, n_store, metric, score, threshold, block_rows, max_cells)
+    found = _match(left, right, key_type, metric, score, threshold, k)
     best = Window.partitionBy(*_VECTOR, "q_seq").orderBy(F.desc(F.round("score", SCORE_DIGITS)), "s_seq", "s_key")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return (
@@ -110,7 +107,7 @@ def similarity_join(
 
 
 def _blocks(query, store, n_query, n_store, metric, score, threshold, block_rows, max_cells):
-    """Both sides with the block pairs each row takes part in, and the number of those pairs."""
+    """Both sides with the block pairs each row takes part in."""
     cells = min(max_cells, math.ceil(n_store / block_rows))
     if cells <= 1:
         # One stored block: the query side is cut by hash, the block goes to every piece of it.
@@ -120,7 +117,6 @@ def _blocks(query, store, n_query, n_store, metric, score, threshold, block_rows
         return (
             query.select("*", zero.alias("q_cell"), piece.alias("q_sub"), zero.alias("s_cell"), zero.alias("s_sub")),
             store.select("*", zero.alias("q_cell"), pieces.alias("q_sub"), zero.alias("s_cell"), zero.alias("s_sub")),
-            subs,
         )
 
     centres = _centres(store, cells, metric)
@@ -167,8 +163,7 @@ def _blocks(query, store, n_query, n_store, metric, score, threshold, block_rows
         .withColumn("s_sub", own_sub("s_subs", 11, *_VECTOR, "s_seq", "s_key"))
         .withColumn("q_sub", others("q_subs"))
     )
-    count = sum(subs["q", q] * subs["s", s] for q, s in near)
-    return left.drop("radius", "q_subs", "s_subs"), right.drop("radius", "q_subs", "s_subs"), count
+    return left.drop("radius", "q_subs", "s_subs"), right.drop("radius", "q_subs", "s_subs")
 
 
 def _reach(threshold: float, metric: str, score: str) -> float:
@@ -214,7 +209,7 @@ def _assign(df: DataFrame, centres: np.ndarray, metric: str) -> DataFrame:
     return df.withColumn("_near", nearest("vec")).select("*", "_near.cell", "_near.radius").drop("_near")
 
 
-def _match(left, right, key_type, pairs, metric, score, threshold, k) -> DataFrame:
+def _match(left, right, key_type, metric, score, threshold, k) -> DataFrame:
     out = T.StructType(
         [T.StructField(c, T.LongType()) for c in [*_VECTOR, "q_seq", "s_seq"]]
         + [T.StructField(c, T.DoubleType()) for c in ("score", "distance")]
@@ -250,11 +245,4 @@ def _match(left, right, key_type, pairs, metric, score, threshold, k) -> DataFra
         parts = list(product(q, s)) if len(q) and len(s) else []
         return pd.concat(parts) if parts else pd.DataFrame({f.name: [] for f in out.fields})
 
-    # Work grows with the number of block pairs, not with bytes, so the task count is set here.
-    tasks = max(1, min(pairs, MAX_TASKS))
-    return (
-        left.repartition(tasks, *_BLOCK)
-        .groupBy(*_BLOCK)
-        .cogroup(right.repartition(tasks, *_BLOCK).groupBy(*_BLOCK))
-        .applyInPandas(group, out)
-    )
+    return left.groupBy(*_BLOCK).cogroup(right.groupBy(*_BLOCK)).applyInPandas(group, out)

@@ -1,9 +1,9 @@
 """Answer the misses of a batch from stored links and pages, and save the answers."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from querymill.defaults import MAX_SOURCES
-from querymill.functions.text import page_title
+from querymill.functions.text import iso_timestamp, page_title
 from querymill.operators.answers import nest_pages, summarize
 from querymill.operators.links import search_links
 from querymill.providers import TextHook
@@ -90,9 +90,22 @@ def ingest(spark: SparkSession, path: str, answers: DataFrame) -> None:
     insert_results(spark, path, to_store_row(rows))
 
 
+def _iso(value: Column, kind: T.DataType) -> Column:
+    """The value with every timestamp in it, however deep, as ISO text."""
+    if isinstance(kind, T.TimestampType):
+        return iso_timestamp(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _iso(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[_iso(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), fields)
+    return value
+
+
 def export_json(df: DataFrame, path: str | None = None) -> DataFrame:
     """Every row as one JSON text, times in ISO form; written as text files if a path is given."""
-    rows = df.select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}).alias("json"))
+    fields = [_iso(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
+    rows = df.select(F.to_json(F.struct(*fields)).alias("json"))
     if path:
         rows.write.mode("overwrite").text(path)
     return rows

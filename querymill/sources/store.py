@@ -137,15 +137,14 @@ def delete_results(spark: SparkSession, path: str, keys: DataFrame) -> None:
 
 def clear(spark: SparkSession, path: str) -> None:
     """Remove all rows; the store stays usable."""
-    files = _files(spark, path)
-    if files.exists(path):
-        files.delete(path)
+    _files(spark, path).delete(path)
 
 
 def store_size(spark: SparkSession, path: str) -> DataFrame:
     """Entry count and bytes on disk, both from file metadata."""
-    rows = scan_store(spark, path)
-    files = rows.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(
+    if not _files(spark, path).exists(path):
+        return spark.range(1).select(*[F.lit(0).cast("bigint").alias(c) for c in ("total_entries", "total_size_bytes")])
+    files = scan_store(spark, path).select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(
         F.max("file_size").alias("bytes"), F.count("*").alias("entries")
     )
     return files.agg(

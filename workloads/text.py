@@ -6,7 +6,7 @@ from querymill.defaults import MIN_CONTENT_LENGTH
 from querymill.functions import classify as C, text as X, urls as U, vectors as V
 from querymill.operators.history import contains_term
 from querymill.operators.links import accepted_links
-from querymill.plans.resolve import validate
+from querymill.plans.resolve import classify, validate
 from querymill.schemas import is_confidence
 from querymill.sources.pages import read_queries
 from querymill.sources.store import not_expired
@@ -47,9 +47,8 @@ def query_hash(spark, sf_dir):
 
 @case("T3 F1", f"WITH {ASKED} SELECT query_id, {sql_class('query')} FROM asked_norm")
 def classify_heuristic(spark, sf_dir):
-    asked = asked_queries(spark, sf_dir)
-    verdict = asked.select("query_id", C.classify_heuristic(X.normalize_query(F.col("query"))).alias("c"))
-    return verdict.select("query_id", "c.status", "c.confidence", "c.reason")
+    asked = asked_queries(spark, sf_dir).withColumn("query", X.normalize_query(F.col("query")))
+    return classify(asked).select("query_id", "status", "confidence", "reason")
 
 
 @case(
