@@ -11,4 +11,5 @@ MAX_CONTENT_LENGTH = 10_000
 MAX_PROMPT_SOURCE_LENGTH = 2_000
 EXTRACTIVE_SOURCES = 3
 MAX_QUERY_LENGTH = 500
+MAX_RESULTS = 20
 HISTORY_LIMIT = 10

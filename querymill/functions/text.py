@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from querymill.defaults import MAX_CONTENT_LENGTH, MAX_QUERY_LENGTH
+from querymill.defaults import MAX_CONTENT_LENGTH, MAX_QUERY_LENGTH, MAX_RESULTS
 
 # Fixed value: the characters a Unicode-aware regex counts as white space, spelled out so that
 # Java and RE2 agree on them. \p{Z} rather than its members: one test instead of eight per character.
@@ -31,6 +31,11 @@ def is_valid_request(col: Column) -> Column:
     )
 
 
+def is_valid_max_results(col: Column) -> Column:
+    """A number of results from 1 to 20, or none given."""
+    return col.isNull() | col.between(1, MAX_RESULTS)
+
+
 def clean_text(col: Column) -> Column:
     """One line of kept characters; a result of at most ten characters counts as noise."""
     line = F.trim(

@@ -76,3 +76,16 @@ def judged_matches(
             F.col("_verdict.reason").alias("semantic_reason"), "rank",
         )
     )
+
+
+def similar_info(outcomes: DataFrame, store: DataFrame) -> DataFrame:
+    """What a similar hit tells about the stored query it was answered with."""
+    original = store.select(F.col("query_hash").alias("matched_hash"), F.col("query").alias("original_query"))
+    return (
+        outcomes.where(F.col("outcome") == "similar_hit")
+        .join(original, "matched_hash")
+        .select(
+            "query_id", "original_query", F.col("similarity_score").alias("embedding_similarity"),
+            "semantic_similarity", "semantic_reason",
+        )
+    )

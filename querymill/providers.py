@@ -5,7 +5,6 @@ are tried one by one, so a bad row costs its own answer and never the task. Hook
 nondeterministic: Spark then never evaluates one twice for the same row of a plan.
 """
 
-import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +13,8 @@ from pyspark.sql import Column, functions as F
 
 EMBEDDING_DIM = 64
 _NGRAM = 3
+# Odd 64-bit multipliers, one per place in a 3-gram; the top six bits of the product pick the bucket.
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 TextHook = Callable[..., pd.Series]
 
@@ -72,10 +73,12 @@ def hashed_ngrams(texts: pd.Series) -> list[np.ndarray]:
 
 
 def _hashed(text: str) -> np.ndarray:
-    padded = f" {text.lower()} "
-    codes = np.fromiter(
-        (zlib.crc32(padded[i : i + _NGRAM].encode()) for i in range(len(padded) - _NGRAM + 1)), dtype=np.int64
+    chars = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    mixed = sum(
+        (chars[i : len(chars) - _NGRAM + 1 + i] * np.uint64(factor) for i, factor in enumerate(_FACTORS)), np.uint64(0)
     )
-    vector = np.bincount(codes % EMBEDDING_DIM, weights=1.0 - 2.0 * ((codes >> 16) & 1), minlength=EMBEDDING_DIM)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(_FACTORS[0])
+    bucket, sign = mixed >> np.uint64(58), 1.0 - 2.0 * ((mixed >> np.uint64(57)) & np.uint64(1))
+    vector = np.bincount(bucket.astype(np.int64), weights=sign, minlength=EMBEDDING_DIM)
     length = np.linalg.norm(vector)
     return (vector / length if length else vector).astype(np.float32)

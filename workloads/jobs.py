@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from querymill.functions import text as X
+from querymill.operators.matching import similar_info
 from querymill.plans.answer import answer, ingest
 from querymill.plans.resolve import outcome_summary, resolve
+from querymill.providers import embed_hook
 from querymill.sources.pages import scan_result_pages
 from querymill.sources.store import scan_store
 from workloads.base import as_of, ASKED, STORED, asked_queries, case, sql_strip, sql_words, stored_queries, table
@@ -86,6 +88,19 @@ def resolve_queries_judged(spark, sf_dir):
     return shown(resolve(asked_with_vectors(spark, sf_dir), store_with_vectors(spark, sf_dir), judge=length_judge))
 
 
+@case(
+    "N9 J4",
+    f"""WITH {ASKED}, {STORED}, {PAIRS}, {sql_resolve()} SELECT query_id, stored_query AS original_query,
+      round(similarity_score, 6) AS embedding_similarity, semantic_similarity FROM outcomes WHERE outcome = 'similar_hit'""",
+)
+def similar_query_info(spark, sf_dir):
+    store = store_with_vectors(spark, sf_dir)
+    rows = similar_info(resolve(asked_with_vectors(spark, sf_dir), store), store)
+    return rows.select(
+        "query_id", "original_query", F.round("embedding_similarity", 6).alias("embedding_similarity"), "semantic_similarity"
+    )
+
+
 SUMMARY = f"""WITH {ASKED}, {STORED}, {PAIRS}, {sql_resolve()}
 SELECT outcome, count(*) AS queries, count(DISTINCT query_hash) AS distinct_queries FROM outcomes GROUP BY outcome"""
 
@@ -98,10 +113,7 @@ def resolve_summary(spark, sf_dir):
 @case("P1 X1 X2")
 def resolve_with_hooks(spark, sf_dir):
     """Embeddings and classes come from hooks; the default embedding has no SQL twin."""
-    store = stored_queries(spark, sf_dir)
-    from querymill.providers import embed_hook
-
-    store = store.withColumn("embedding", embed_hook()(F.col("query")))
+    store = stored_queries(spark, sf_dir).withColumn("embedding", embed_hook()(F.col("query")))
     return outcome_summary(resolve(asked_queries(spark, sf_dir), store, classifier=lambda texts: [
         '{"status": "%s", "confidence": 0.9}' % ("invalid" if t.startswith("call ") else "valid") for t in texts
     ]))

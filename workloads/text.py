@@ -66,10 +66,14 @@ def validate_queries(spark, sf_dir):
 
 @case(
     "F2",
-    f"SELECT doc_id, length(text) BETWEEN 1 AND 500 AND length({sql_strip('text')}) > 0 AS accepted FROM documents",
+    f"""SELECT doc_id, length(text) BETWEEN 1 AND 500 AND length({sql_strip('text')}) > 0 AS accepted,
+      doc_id % 30 BETWEEN 1 AND 20 AS accepted_limit FROM documents""",
 )
 def request_check(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.is_valid_request(F.col("text")).alias("accepted"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", X.is_valid_request(F.col("text")).alias("accepted"),
+        X.is_valid_max_results(F.col("doc_id") % 30).alias("accepted_limit"),
+    )
 
 
 SEED = "²①½ ☃ "
