@@ -1 +1 @@
-"""Web-query workloads as Spark jobs: resolve queries, extract pages, answer, store, report."""
+"""Web-query workloads as Spark jobs: resolve queries, read pages, answer, store, report."""
