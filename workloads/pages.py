@@ -7,13 +7,14 @@ from querymill.plans.answer import scrape_links
 from querymill.sources.pages import scan_pages, scan_result_pages
 from workloads.base import as_of, case, sql_clean, sql_truncate, table
 
-ENTITIES = [("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+ENTITIES = [("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©")]
 
 
 def sql_decode(expr: str) -> str:
     for entity, char in ENTITIES:
         expr = f"replace({expr}, '{entity}', '{char}')"
-    return expr
+    # Some headings are cut off behind "&amp", which is an ampersand all the same.
+    return f"regexp_replace({expr}, '&amp;?', '&', 'g')"
 
 
 BODY = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"

@@ -186,14 +186,14 @@ def export_outcomes(spark, sf_dir):
 
 
 def money(rows, *names):
-    return rows.select(*[F.round(c, 4).alias(c) if c in names else c for c in rows.columns])
+    return rows.select(*[F.round(c, 9).alias(c) if c in names else c for c in rows.columns])
 
 
 RATES = ("total_execution_time", "average_execution_time", "cache_hit_rate", "success_rate")
-SQL_RATES = """round(total_execution_time, 4) AS total_execution_time,
-  round(coalesce(total_execution_time / nullif(total_queries, 0), 0), 4) AS average_execution_time,
-  round(coalesce(cache_hits / nullif(cache_hits + cache_misses, 0) * 100, 0), 4) AS cache_hit_rate,
-  round(coalesce(valid_queries / nullif(total_queries, 0) * 100, 0), 4) AS success_rate"""
+SQL_RATES = """round(total_execution_time, 9) AS total_execution_time,
+  round(coalesce(total_execution_time / nullif(total_queries, 0), 0), 9) AS average_execution_time,
+  round(coalesce(cache_hits / nullif(cache_hits + cache_misses, 0) * 100, 0), 9) AS cache_hit_rate,
+  round(coalesce(valid_queries / nullif(total_queries, 0) * 100, 0), 9) AS success_rate"""
 REFERENCE = """
 counted AS (SELECT count(*) FILTER (outcome = 'miss') AS total_queries, count(*) FILTER (outcome = 'miss') AS valid_queries,
     0::BIGINT AS invalid_queries, count(*) FILTER (outcome = 'exact_hit') AS cache_hits, count(*) FILTER (outcome = 'miss') AS cache_misses,
@@ -221,7 +221,7 @@ def counters_per_user(spark, sf_dir):
 
 @case(
     "K5",
-    f"WITH {OUTCOME_LOG}, {REFERENCE} SELECT total_queries, cache_hits, cache_misses, round(total_execution_time, 4) AS total_execution_time FROM counted",
+    f"WITH {OUTCOME_LOG}, {REFERENCE} SELECT total_queries, cache_hits, cache_misses, round(total_execution_time, 9) AS total_execution_time FROM counted",
 )
 def stats_snapshot(spark, sf_dir):
     path = scratch(spark, "stats")
@@ -234,7 +234,7 @@ def stats_snapshot(spark, sf_dir):
     "A7",
     f"""WITH {OUTCOME_LOG}, {REFERENCE}, {STORED} SELECT 0.85::DOUBLE AS embedding_threshold, 0.8::DOUBLE AS semantic_threshold,
       true AS judge_available, cache_hits + cache_misses AS total_queries_processed, cache_hits, cache_misses,
-      round(cache_hits / (cache_hits + cache_misses) * 100, 4) AS similarity_hit_rate_percent,
+      round(cache_hits / (cache_hits + cache_misses) * 100, 9) AS similarity_hit_rate_percent,
       (SELECT count(*) FROM stored) AS total_stored_queries FROM counted""",
 )
 def similarity_statistics(spark, sf_dir):
@@ -317,8 +317,8 @@ def whole_history(spark, sf_dir):
 
 @case(
     "P6 A10",
-    f"""WITH {OUTCOME_LOG}, {REFERENCE} SELECT {COUNTS.replace('total_pages_scraped', 'round(cache_hits / (cache_hits + cache_misses) * 100, 4) AS cache_hit_rate')},
-      round(total_execution_time / total_queries, 4) AS average_execution_time, total_pages_scraped,
+    f"""WITH {OUTCOME_LOG}, {REFERENCE} SELECT {COUNTS.replace('total_pages_scraped', 'round(cache_hits / (cache_hits + cache_misses) * 100, 9) AS cache_hit_rate')},
+      round(total_execution_time / total_queries, 9) AS average_execution_time, total_pages_scraped,
       (SELECT count(DISTINCT doc_id // 5) FROM documents) AS total_entries, true AS has_size,
       (SELECT strftime(max(ts), '%Y-%m-%dT%H:%M:%S') FROM outcomes) AS last_updated FROM counted""",
 )
