@@ -7,6 +7,8 @@ graph is never written down: a round only asks, per undecided query, whether any
 query is similar, which is a similarity join with k = 1.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from querymill.defaults import SIMILARITY_THRESHOLD
@@ -48,12 +50,12 @@ def resolve_sequential(
     base = store.select("query_hash", "embedding", F.lit(-1).cast("bigint").alias("seq"))
     followed = nearest(heads, base, "query_hash").select("query_id")
     undecided = cut(heads.join(followed, "query_id", "left_anti"))
-    leaders = None
+    leaders = [undecided.limit(0)]
     while undecided.take(1):
         earlier = undecided.select(F.col("query_id").alias("other_id"), "embedding", F.col("arrival").alias("seq"))
         waiting = nearest(undecided, earlier, "other_id").select("query_id").unionByName(_repeats(undecided))
         ready = cut(undecided.join(waiting, "query_id", "left_anti"))
-        leaders = ready if leaders is None else cut(leaders.unionByName(ready))
+        leaders.append(ready)
         behind = nearest(
             undecided, ready.select(F.col("query_id").alias("other_id"), "embedding", F.col("arrival").alias("seq")),
             "other_id",
@@ -61,10 +63,8 @@ def resolve_sequential(
         left = undecided.join(ready.select("query_id"), "query_id", "left_anti")
         left = left.join(ready.select("query_hash"), "query_hash", "left_anti")
         undecided = cut(left.join(behind, "query_id", "left_anti"))
-    if leaders is None:
-        leaders = heads.limit(0)
 
-    misses = leaders.select("query_hash", "embedding", F.col("arrival").alias("seq"))
+    misses = reduce(DataFrame.unionByName, leaders).select("query_hash", "embedding", F.col("arrival").alias("seq"))
     saved = misses.select("query_hash", F.col("seq").alias("_saved"))
     placed = rows.join(saved, "query_hash", "left")
     exact = F.col("_stored").isNotNull() | (F.col("arrival") > F.col("_saved"))

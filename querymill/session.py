@@ -11,7 +11,6 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Pages are large: keep Arrow batches small enough for a Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }

@@ -51,6 +51,12 @@ def rolling_counters(
     )
 
 
-def suppress_repeats(feed: DataFrame, horizon: str = "7 days") -> DataFrame:
-    """The first query of each hash within the horizon."""
-    return feed.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["query_hash"])
+def suppress_repeats(feed: DataFrame, horizon: str = "7 days", spread: int = 64) -> DataFrame:
+    """One query of each hash within the horizon.
+
+    Repeats go in two steps: first among the rows of a hash that share a salt, so that a hash asked by a
+    third of all users is spread over ``spread`` tasks, then among the few rows left of it.
+    """
+    marked = feed.withWatermark("ts", horizon).withColumn("_salt", F.pmod(F.xxhash64("ts"), F.lit(spread)))
+    fewer = marked.dropDuplicatesWithinWatermark(["query_hash", "_salt"]).drop("_salt")
+    return fewer.dropDuplicatesWithinWatermark(["query_hash"])

@@ -10,7 +10,6 @@ from querymill.functions import vectors as V
 from querymill.functions.replies import parse_verdict
 from querymill.operators.matching import judged_matches
 from querymill.operators.similarity import similarity_join
-from querymill.plans.sequential import resolve_sequential
 from querymill.providers import embed_hook
 from workloads.base import case, table
 
@@ -171,17 +170,6 @@ def parse_verdicts(spark, sf_dir):
     return rows.select("event_id", "v.is_similar", "v.confidence", "v.reason")
 
 
-@case("P7")
-def resolve_in_sequence(spark, sf_dir):
-    """Iterative, so without a SQL twin; the tests compare it with a plain loop."""
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("query_id"), F.col("vec_id").alias("arrival"),
-        F.sha2(F.col("vec_id").cast("string"), 256).alias("query_hash"), "embedding",
-    )
-    store = vectors.select("query_hash", "embedding").limit(0)
-    return resolve_sequential(vectors, store, threshold=0.75)
-
-
 @case("X1")
 def default_embeddings(spark, sf_dir):
     """The default embedding of every document; its hash function has no SQL twin."""
