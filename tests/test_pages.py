@@ -108,9 +108,9 @@ def test_second_engine_fills_up(spark):
         [(1, "a", i) for i in range(1, 6)] + [(2, "a", 1), (2, "a", 2), (2, "a", 3), (2, "b", 1), (2, "b", 2)] + [(3, "b", 1), (3, "b", 2)]
     )
     once = search_links(first, second, dedup=True).orderBy("query_id", "source_rank").collect()
+    # The first engine filled query 1, so the second stays unused although copies were dropped.
     assert [(r["query_id"], r["engine"], r["position"]) for r in once] == (
-        [(1, "a", i) for i in (1, 2, 3)] + [(2, "a", i) for i in (1, 2, 3)] + [(2, "b", i) for i in (1, 2)] + [(2, "b", 3)][:0]
-        + [(2, "b", 3)] * (len([r for r in once if r["query_id"] == 2]) > 5) + [(3, "b", 1), (3, "b", 2)]
+        [(1, "a", i) for i in (1, 2, 3)] + [(2, "a", i) for i in (1, 2, 3)] + [(2, "b", 1), (2, "b", 2), (3, "b", 1), (3, "b", 2)]
     )
 
 
