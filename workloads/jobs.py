@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from querymill.functions import text as X
 from querymill.operators.matching import similar_info
 from querymill.plans.answer import answer, ingest
 from querymill.plans.resolve import outcome_summary, prepare, resolve
@@ -10,9 +9,9 @@ from querymill.plans.sequential import resolve_sequential
 from querymill.providers import embed_hook
 from querymill.sources.pages import scan_result_pages
 from querymill.sources.store import scan_store
-from workloads.base import as_of, ASKED, STORED, asked_queries, case, sql_strip, sql_words, stored_queries, table
+from workloads.base import ASKED, STORED, as_of, asked_queries, case, sql_strip, stored_queries, table
 from workloads.pages import PAGE_TEXT, STATUS, UNION, result_pages_a, result_pages_b, with_status
-from workloads.similarity import COSINE, PAIRS, label_judge, means
+from workloads.similarity import COSINE, PAIRS, means
 from workloads.store import scratch
 from workloads.text import sql_class
 

@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from querymill.functions import text as X
+from querymill.schemas import RESULT_STORE, SUMMARY as SUMMARY_TYPE
 from querymill.sources.pages import scan_result_pages
 from querymill.sources.store import insert_results, to_store_row
 from querymill.streaming.jobs import resolve_stream, rolling_counters, suppress_repeats
-from workloads.base import as_of, ASKED, OUTCOME_LOG, STORED, asked_queries, case, outcome_log, table
+from workloads.base import OUTCOME_LOG, as_of, case, outcome_log, table
 from workloads.jobs import SUMMARY, asked_with_vectors, store_with_vectors
 from workloads.pages import result_pages_a
-from workloads.store import REFERENCE, scratch
+from workloads.store import scratch
 
 
 def streamed(spark, sf_dir, name):
@@ -61,8 +61,7 @@ def resolve_as_stream(spark, sf_dir):
     rows = store_with_vectors(spark, sf_dir).select(
         "query_hash", "query", "embedding", "created_at", none.cast("double").alias("execution_time"),
         F.lit("valid").alias("status"), F.lit(0.8).alias("confidence"), F.lit("r").alias("reason"),
-        F.array().cast("array<struct<url:string,title:string,content:string,content_length:int,scraped_at:timestamp,success:boolean,error_message:string,status:string>>").alias("scraped_content"),
-        none.cast("struct<summary:string,key_points:array<string>,sources:array<string>,confidence:double,word_count:int,language:string,generated_at:timestamp>").alias("summary"),
+        F.array().cast(RESULT_STORE["scraped_content"].dataType).alias("scraped_content"), none.cast(SUMMARY_TYPE).alias("summary"),
     )
     insert_results(spark, store, to_store_row(rows))
     links = scan_result_pages(result_pages_a(spark, sf_dir), "a")
