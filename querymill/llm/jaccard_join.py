@@ -3,7 +3,7 @@
 Two sets can only be as alike as the threshold asks if they share a token of their prefixes, whatever total order the tokens are sorted by. Several
 orders are used. All put tokens that are common in the corpus last, by a table of counts of fixed size; among
 equally common ones each has its own random order. Pairs meet in the first order's buckets, and must also share a token
-under every further order before their whole sets are compared.
+under every other order, and as many as linked sets of their sizes must share, before their whole sets are compared.
 
 Texts with equal sets are one vertex. Links within a bucket are not all enumerated: every vertex is first
 compared with one leader of the bucket, and what this settles (same component, or too far apart by the triangle inequality, which
@@ -26,6 +26,7 @@ from querymill.session import Scratch
 
 COUNT_BITS = 20  # the table of counts has 2^20 places, whatever the corpus
 COUNT_BLOCK = 1 << 12
+FILTER_BITS = 1 << 23  # of the bitmap of rows whose sets are needed
 SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 
@@ -115,7 +116,7 @@ def _prefix(shingles: np.ndarray, order: int, common: np.ndarray, rule: Rule) ->
 
 
 def _meetings(docs: DataFrame, common, rule: Rule) -> DataFrame:
-    """(token, v, n): every vertex with the prefix tokens of its set in the first order."""
+    """(token, v): every vertex with the prefix tokens of its set in the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,10 +128,9 @@ def _meetings(docs: DataFrame, common, rule: Rule) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.concatenate(tokens).view(np.int64)),
                         pa.array(np.repeat(np.array([_key(s) for s in sets], np.int64), lengths)),
-                        pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), lengths)),
-                    ], names=["token", "v", "n"])
+                    ], names=["token", "v"])
 
-    return docs.select("text").mapInArrow(run, "token long, v long, n int")
+    return docs.select("text").mapInArrow(run, "token long, v long")
 
 
 def classes(scratch: Scratch, docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -176,21 +176,19 @@ def links(scratch: Scratch, texts: DataFrame, vertices: DataFrame, rule: Rule) -
     shared = scratch.cut(met.groupBy("token").agg(F.min("v").alias("leader"), F.max("v").alias("last")).where("leader <> last").drop("last"))
     met = scratch.cut(met.join(shared, "token").distinct())
     wanted = scratch.cut(vertices.join(met.select("v").distinct(), "v", "left_semi").select("v", "row"))
-    keyed = texts.withColumn("row", F.xxhash64("doc_id", "text"))
-    sets = scratch.cut(_with_whole_sets(keyed.join(wanted, "row").select("v", "text"), rule).dropDuplicates(["v"]))
+    sets = scratch.cut(_whole_sets(texts, wanted, common, rule))
 
     stars = met.where("v <> leader").select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct()
-    compared = scratch.cut(_compare(stars, sets, common, rule))
-    close = F.col("d") <= 1 - rule.percent / 100 + 1e-12
+    compared = scratch.cut(_compare(scratch, stars, sets, rule))
     roots = scratch.cut(components(scratch, compared.where("linked").select("a", "b")))
 
     placed = scratch.cut(
-        met.join(roots, F.col("v") == F.col("node"), "left")
+        met.join(sets.select("v", "n").distinct(), "v").join(roots, F.col("v") == F.col("node"), "left")
         .join(compared.select(F.col("a").alias("leader"), F.col("b").alias("v"), "d"), ["leader", "v"], "left")
         .select("token", "v", "n", F.coalesce("root", "v").alias("root"), F.when(F.col("v") == F.col("leader"), 0.0).otherwise(F.col("d")).alias("d"))
     )
     # Where only one component meets, nothing is left to compare. Elsewhere the components that meet are compared
-    # first, by the least and greatest distance of their members from the leader; members only where that allows a link.
+    # first, by the sizes of their members and their distances from the leader; members only where these allow a link.
     mixed = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
     open_ = scratch.cut(placed.join(scratch.cut(mixed), "token", "left_semi"))
     reach = 1 - rule.percent / 100 + 1e-9
@@ -198,11 +196,10 @@ def links(scratch: Scratch, texts: DataFrame, vertices: DataFrame, rule: Rule) -
         F.min("n").alias("n0"), F.max("n").alias("n1"), F.min(F.coalesce("d", F.lit(0.0))).alias("d0"), F.max(F.coalesce("d", F.lit(1.0))).alias("d1")
     ))
     x, y = groups.alias("x"), groups.alias("y")
-    may = x.join(y, F.expr(
+    may = scratch.cut(x.join(y, F.expr(
         f"x.token = y.token AND x.root < y.root AND 100 * x.n1 >= {rule.percent} * y.n0 AND 100 * y.n1 >= {rule.percent} * x.n0 "
         f"AND x.d0 <= y.d1 + {reach} AND y.d0 <= x.d1 + {reach}"
-    )).select(F.expr("x.token AS token"), F.expr("x.root AS ra"), F.expr("y.root AS rb"))
-    may = scratch.cut(may)
+    )).select(F.expr("x.token AS token"), F.expr("x.root AS ra"), F.expr("y.root AS rb")))
     u = open_.select("token", F.col("root").alias("ra"), F.col("v").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"))
     w = open_.select("token", F.col("root").alias("rb"), F.col("v").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"))
     pairs = may.join(u, ["token", "ra"]).join(w, ["token", "rb"]).where(
@@ -210,61 +207,92 @@ def links(scratch: Scratch, texts: DataFrame, vertices: DataFrame, rule: Rule) -
     )
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    late = scratch.cut(_compare(pairs, sets, common, rule))
+    late = scratch.cut(_compare(scratch, pairs, sets, rule))
     return compared.where("linked").select("a", "b", "d").unionByName(late.where("linked").select("a", "b", "d"))
 
 
-def _with_whole_sets(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(v, tokens) of the rows (v, text) whose text does have the set v names."""
+def _whole_sets(texts: DataFrame, wanted: DataFrame, common, rule: Rule) -> DataFrame:
+    """(v, n, orders, tokens) of the wanted vertices, by the row that stands for each.
+
+    ``orders`` holds, for each order, 16 bits of every prefix token. A bitmap of 2^23 bits, whatever the corpus, spares the
+    shuffle most rows that no vertex wants.
+    """
+    at = F.pmod("row", F.lit(FILTER_BITS)) + 1  # positions of bitmaps begin at 1
+    made = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for bucket, part in made.collect():
+        low = (bucket - 1) * len(part)
+        bits[low:low + len(part)] = np.frombuffer(part, np.uint8)[:len(bits) - low]
+    carried = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = batch.column(0).to_numpy()
-            for chunk in chunks(batch.column(1)):
-                found = [(k, s) for k, s in zip(v[chunk.low:chunk.high], _sets(chunk, rule.words)) if _key(s) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([int(k) for k, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["v", "tokens"])
-
-    return rows.mapInArrow(run, "v long, tokens binary")
-
+            rows = batch.column(0).to_numpy()
+            place = rows % FILTER_BITS
+            keep = np.flatnonzero(carried.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            if not len(keep):
+                continue
+            kept = batch.take(pa.array(keep))
+            for chunk in chunks(kept.column(1)):
+                found = [(r, s) for r, s in zip(rows[keep[chunk.low:chunk.high]], _sets(chunk, rule.words)) if len(s)]
+                orders = [[np.sort(_prefix(s, k, common.value, rule).astype(np.uint16)).tobytes() for k in range(rule.orders)] for _, s in found]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([int(r) for r, _ in found], pa.int64()), pa.array([_key(s) for _, s in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int32()),
+                    pa.array(orders, pa.list_(pa.binary())), pa.array([s.tobytes() for _, s in found], pa.binary()),
+                ], names=["row", "v", "n", "orders", "tokens"])
+
+    keyed = texts.select(F.xxhash64("doc_id", "text").alias("row"), "text")
+    return keyed.mapInArrow(run, "row long, v long, n int, orders array<binary>, tokens binary").join(wanted, ["row", "v"]).drop("row")
+
+
+def _compare(scratch: Scratch, pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, d, linked) of pairs (a, b): d is the Jaccard distance, null where a filter already parts them.
+
+    The filters of all orders are intersected on the prefixes alone; only pairs that pass them all are joined with their
+    whole sets. Each pair comes with both sides, so a vertex in many pairs is split among tasks.
+    """
 
-def _compare(pairs: DataFrame, sets: DataFrame, common, rule: Rule) -> DataFrame:
-    """(a, b, d, linked) of pairs (a, b): d is the Jaccard distance, null where a further order's filter already parts them.
+    def with_both(pairs, *names):
+        for side in ("b", "a"):
+            pairs = pairs.join(sets.select(F.col("v").alias(side), *[F.col(n).alias(f"{n}_{side}") for n in names]), side)
+        return pairs
 
-    Both sides of the pair come with it, so a vertex in many pairs is split among tasks.
-    """
-    first = sets.select(F.col("v").alias("a"), F.col("tokens").alias("ta"))
-    second = sets.select(F.col("v").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(second, "b").join(first, "a").select("a", "b", "ta", "tb")
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist())
+            orders = zip(batch.column("orders_a").to_pylist(), batch.column("orders_b").to_pylist())
+            passed = [_may_link(n, m, x, y, rule) for (n, m), (x, y) in zip(sizes, orders)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(passed, pa.bool_())], names=["a", "b", "passed"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            left, right = batch.column("tokens_a"), batch.column("tokens_b")
             distances, linked = [], []
-            for i in range(len(a)):
-                if a[i] != last:
-                    x = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
-                    last, left = a[i], (x, [np.sort(_prefix(x, k, common.value, rule)) for k in range(1, rule.orders)])
-                y = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
-                d, is_link = _distance(left, y, common.value, rule)
-                distances.append(d)
-                linked.append(is_link)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distances, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "d", "linked"])
-
-    return both.mapInArrow(run, "a long, b long, d double, linked boolean")
-
-
-def _distance(left, y: np.ndarray, common: np.ndarray, rule: Rule) -> tuple[float | None, bool]:
-    x, prefixes = left
-    small, large = sorted((len(x), len(y)))
-    if 100 * small < rule.percent * large:
-        return None, False
-    for k, prefix in enumerate(prefixes, 1):
-        if not _shared(prefix, _prefix(y, k, common, rule)):
-            return None, False
-    both = _shared(x, y)
-    union = len(x) + len(y) - both
-    return 1 - both / union, 100 * both >= rule.percent * union
+            for i in range(len(batch)):
+                x, y = (np.frombuffer(side[i].as_buffer(), np.uint64) for side in (left, right))
+                both = _shared(x, y)
+                union = len(x) + len(y) - both
+                distances.append(1 - both / union)
+                linked.append(100 * both >= rule.percent * union)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(distances, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "d", "linked"])
+
+    sifted = scratch.cut(with_both(pairs, "n", "orders").mapInArrow(sift, "a long, b long, passed boolean"))
+    verified = with_both(sifted.where("passed").select("a", "b"), "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(verify, "a long, b long, d double, linked boolean")
+    parted = sifted.where("NOT passed").select("a", "b", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked"))
+    return verified.unionByName(parted).distinct()
+
+
+def _may_link(n: int, m: int, x: list[bytes], y: list[bytes], rule: Rule) -> bool:
+    """Whether prefixes of sets of n and m tokens share as many tokens under every order as those of linked sets must.
+
+    Linked sets share at least t = percent * (n + m) / (100 + percent) tokens. Take the prefix that ends first in the order: of its tokens no
+    more are missing from the other set than its own set has beyond t, and the ones that are in the other set are in the other's prefix.
+    """
+    p, small, large = rule.percent, min(n, m), max(n, m)
+    if 100 * small < p * large:
+        return False
+    needed = -(-p * (n + m) // (100 + p)) - -(-p * large // 100) + 1
+    return all(_shared(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)) >= needed for a, b in zip(x, y))
 
 
 def _shared(sorted_: np.ndarray, other: np.ndarray) -> int:

@@ -5,7 +5,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from querymill.llm import jaccard_join, packing, quality_rules, toxicity
+from querymill.llm import (
+    bpe_fold, chat_format, jaccard_join, packing, quality_rules, token_counts, toxicity, url_filters, warc, winnowing,
+)
 from querymill.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +60,54 @@ def op6_packing(spark, sf_dir):
     return packing.pack_documents(Scratch(spark), docs, byte_bpe())
 
 
+RULES = [
+    url_filters.Rule("allow", "org", "/"), url_filters.Rule("block", "example.org", "/es/"), url_filters.Rule("block", "example.org", "/en/1"),
+    url_filters.Rule("allow", "com", "/fr/"), url_filters.Rule("block", "com", "/de/"),
+]
+
+
+@query()
+def op1_url_filters(spark, sf_dir):
+    """A page's URL carries the number of the document it shows; that document's quality labels the URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    shown = F.regexp_extract(url_filters.path(F.col("url")), "/([0-9]{1,18})(?![0-9])", 1)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("shown"), F.when(F.col("quality") == 0, "block").otherwise("allow").alias("label"))
+    labelled = pages.select("url", shown.alias("shown")).join(labels, "shown").select("url", "label")
+    judged = url_filters.judge(Scratch(spark), pages, labelled, RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "mined_confidence")
+
+
+@query()
+def op4_chat_format(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat_format.read_back(chat_format.examples(turns.unionByName(added)))
+
+
+@query()
+def op5_winnowing(spark, sf_dir):
+    return winnowing.compare_edited(Scratch(spark), table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op8_warc(spark, sf_dir):
+    records = warc.archive_and_read(Scratch(spark), table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op9_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), without=["text"])
+
+
+@query()
+def op10_bpe_fold(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_fold.encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 @query()
 def pipeline(spark, sf_dir):
     import corpus_pipeline
