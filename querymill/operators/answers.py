@@ -2,7 +2,6 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from querymill.defaults import MAX_SOURCES
 from querymill.functions.summaries import (
     build_prompt, extractive_summary, meaningful_pages, model_summary,
 )
@@ -10,14 +9,14 @@ from querymill.providers import TextHook, text_hook
 from querymill.schemas import SCRAPED_CONTENT
 
 
-def nest_pages(scraped: DataFrame, key: str = "query_hash", limit: int = MAX_SOURCES) -> DataFrame:
+def nest_pages(scraped: DataFrame, key: str = "query_hash", limit: int | None = None) -> DataFrame:
     """One row per query with its pages as an array in position order.
 
-    A query has at most ``limit`` pages. The cut runs before the shuffle, so a key with any number
-    of rows sends at most ``limit`` of them per task.
+    With a ``limit``, a query keeps its first so many pages, and as the cut runs before the shuffle, a key with
+    any number of rows sends no more than that of them per task.
     """
     order = Window.partitionBy(key).orderBy("position")
-    cut = scraped.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
+    cut = scraped.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit) if limit else scraped
     page = F.struct("position", *SCRAPED_CONTENT.fieldNames())
     return (
         cut.groupBy(key)

@@ -22,16 +22,18 @@ def judged_matches(
     query: str = "query",
     stored_query: str = "stored_query",
     store_key: str = "query_hash",
-    depth: int = MAX_CANDIDATES,
+    depth: int | None = None,
     threshold: float = JUDGE_THRESHOLD,
 ) -> DataFrame:
     """The first ``limit`` candidates per query that the judge accepts.
 
-    ``candidates`` holds at most ``depth`` rows per query (a similarity join with that k). They are
+    ``candidates`` holds at most ``depth`` rows per query (a similarity join with that k); unless given, it is
+    twice the limit, and MAX_CANDIDATES at least. They are
     nested into one row per query, and rank r is judged only where fewer than ``limit`` lower ranks
     were accepted: as many model calls as a loop that stops early, in one pass and without a further
     shuffle. Without a judge the best ``limit`` candidates are taken.
     """
+    depth = max(MAX_CANDIDATES, 2 * limit) if depth is None else depth
     if judge is None:
         return candidates.where(F.col("rank") <= limit).select(
             key, store_key, "score", F.lit(None).cast("double").alias("semantic_similarity"),

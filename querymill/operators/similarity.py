@@ -72,19 +72,11 @@ def similarity_join(
         (F.col(query_seq) if query_seq else F.lit(1)).cast("bigint").alias("q_seq"),
         F.col(query_vec).alias("vec"),
     )
-    sizes = {
-        (r["side"], r["dim"]): r["rows"]
-        for r in stored.select(F.lit("s").alias("side"), F.size("vec").alias("dim"))
-        .unionByName(asked.select(F.lit("q").alias("side"), F.size("vec").alias("dim")))
-        .groupBy("side", "dim")
-        .agg(F.count("*").alias("rows"))
-        .orderBy(F.desc("rows"), "dim")
-        .limit(1000)
-        .collect()
-    }
     if dim is None:
-        dim = next((d for side, d in sizes if side == "s"), 0)
-    n_store, n_query = sizes.get(("s", dim), 0), sizes.get(("q", dim), 0)
+        lengths = stored.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("rows"))
+        usual = lengths.agg(F.max(F.struct("rows", (-F.col("dim")).alias("dim"))).alias("top"))
+        dim = usual.select(F.coalesce(-F.col("top.dim"), F.lit(0))).first()[0]
+    n_store, n_query = (df.agg(F.count_if(F.size("vec") == dim)).first()[0] for df in (stored, asked))
 
     identity = [F.xxhash64("vec").alias("_v1"), F.xxhash64(F.lit(1), "vec").alias("_v2")]
     stored = stored.where(F.size("vec") == dim).select("*", *identity)

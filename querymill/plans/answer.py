@@ -16,19 +16,17 @@ from querymill.sources.store import insert_results, to_store_row
 SUCCESS_MESSAGE = "Successfully processed your query"
 FAILED_MESSAGE = "Failed to scrape any web content for your query"
 FAILED_ERROR = "Web scraping failed"
-# Up to this many addresses the pages are cut down to them before any page is parsed.
-FEW_URLS = 500_000
 
 
 def scrape_links(links: DataFrame, pages: DataFrame, as_of: Column, key: str = "query_id") -> DataFrame:
     """Each link with the page behind it; a link without a stored page is a failed scrape.
 
-    Few addresses (counted, so the broadcast has a known size): only their pages are parsed. Many:
-    pages are parsed where they lie. Either way HTML never crosses an exchange, only its text does.
+    The newest snapshot of each address is found from the narrow columns; only that one is parsed. Spark chooses by
+    size how the wanted snapshots meet the crawl.
     """
     wanted = links.select("url").distinct()
-    few = len(wanted.limit(FEW_URLS + 1).select(F.lit(1)).agg(F.count("*")).where(F.col("count(1)") <= FEW_URLS).take(1))
-    needed = pages.join(F.broadcast(wanted), "url", "left_semi") if few else pages
+    newest = pages.select("url", "page_id").join(wanted, "url", "left_semi").groupBy("url").agg(F.max("page_id").alias("page_id"))
+    needed = pages.join(newest, ["url", "page_id"], "left_semi")
     fetched = F.struct("page_id", "title", "content", "success", "error_message")
     latest = scan_pages(needed).groupBy("url").agg(F.max_by(fetched, "page_id").alias("_page"))
     page = F.col("_page")
@@ -61,10 +59,10 @@ def answer(
 
     ``links`` holds both engines (``engine`` a or b). A miss without links fails and is not saved.
     """
+    links = links.join(misses.select("query_id"), "query_id", "left_semi")
     first, second = links.where(F.col("engine") == "a"), links.where(F.col("engine") == "b")
-    chosen = search_links(first, second, "query_id", max_sources, dedup)
     # Links may come straight from parsing result pages, and are needed three times below.
-    chosen = cut(chosen.join(misses.select("query_id"), "query_id", "left_semi"))
+    chosen = cut(search_links(first, second, "query_id", max_sources, dedup))
     nested = nest_pages(scrape_links(chosen, pages, as_of), "query_id", max_sources)
     none = F.array().cast(f"array<{SCRAPED_CONTENT.simpleString()}>")
     joined = misses.join(nested, "query_id", "left").withColumn(

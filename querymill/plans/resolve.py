@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from querymill.defaults import JUDGE_THRESHOLD, MAX_CANDIDATES, SIMILARITY_THRESHOLD
 from querymill.functions.classify import classify_heuristic, parse_classification
-from querymill.functions.text import normalize_query, query_hash
+from querymill.functions.text import normalize_query, query_hash, strip
 from querymill.operators.matching import judged_matches
 from querymill.operators.similarity import similarity_join
 from querymill.providers import TextHook, embed_hook, text_hook
@@ -15,6 +15,7 @@ from querymill.session import cut
 
 # Messages of outcomes.
 INVALID_MESSAGE = "Invalid query: "
+EMPTY_REASON = "Query cannot be empty"
 EXACT_MESSAGE = "Found cached result for your query"
 
 
@@ -43,13 +44,20 @@ def prepare(queries: DataFrame, hook: TextHook | None = None) -> DataFrame:
     ready = queries.withColumn("query", normalize_query(F.col("query"))).withColumn(
         "query_hash", query_hash(F.col("query"))
     )
-    return classify(ready, hook)
+    # A request without text is turned away before it is classified.
+    asked = classify(ready, hook)
+    empty = ~F.coalesce(F.length(strip(F.col("query"))) > 0, F.lit(False))
+    return asked.withColumns({
+        "status": F.when(empty, "invalid").otherwise(F.col("status")),
+        "reason": F.when(empty, EMPTY_REASON).otherwise(F.col("reason")),
+    })
 
 
 def embed(queries: DataFrame, hook: Callable | None = None) -> DataFrame:
     """Add ``embedding``; every distinct text is embedded once, however often it was asked."""
     texts = queries.select("query").distinct()
-    vectors = texts.withColumn("embedding", embed_hook(hook)(F.col("query")))
+    # Written, so that a text asked very often can be split in the join.
+    vectors = cut(texts.withColumn("embedding", embed_hook(hook)(F.col("query"))))
     return queries.join(vectors, "query", "left")
 
 
@@ -112,14 +120,15 @@ def _similar_or_miss(misses, store, judge, threshold, judge_threshold, metric, s
     looked_up = cut(misses.join(matches, "query_id", "left"))
 
     # The first query of each hash that nothing answers is the miss that gets saved.
-    saved = (
+    # Written, so that the repeats of a query asked very often can be split in the join.
+    saved = cut(
         looked_up.where(F.col("matched_hash").isNull())
         .groupBy("query_hash")
         .agg(F.min(F.struct("arrival", "query_id")).alias("_first"))
     )
     placed = looked_up.join(saved, "query_hash", "left").withColumn("_at", F.struct("arrival", "query_id"))
     after, is_first = F.col("_at") > F.col("_first"), F.col("_at") == F.col("_first")
-    outcome = F.when(is_first, "miss").when(after, "exact_hit").otherwise("similar_hit")
+    outcome = F.when(is_first, "miss").when(after, "exact_hit").when(F.col("matched_hash").isNotNull(), "similar_hit")
     quoted = F.concat(F.lit("'"), F.col("stored_query"), F.lit("'"))
     found = (
         F.concat(F.lit("Found semantically similar query: "), quoted)

@@ -84,5 +84,5 @@ def resolve_sequential(
 
 def _repeats(undecided: DataFrame) -> DataFrame:
     """Queries that wait for an earlier undecided one of the same hash."""
-    first = undecided.groupBy("query_hash").agg(F.min("arrival").alias("_first"))
+    first = cut(undecided.groupBy("query_hash").agg(F.min("arrival").alias("_first")))
     return undecided.join(first, "query_hash").where(F.col("arrival") > F.col("_first")).select("query_id")

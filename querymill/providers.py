@@ -1,7 +1,7 @@
 """Hooks for models: plain callables on pandas batches, wrapped as Arrow UDFs.
 
-A hook gets one Series per argument and returns one value per row. If a batch call raises, the rows
-are tried one by one, so a bad row costs its own answer and never the task. Hooks count as
+A hook gets one Series per argument and returns one value per row. If a batch call raises, or
+returns another number of replies, its halves are tried, so a bad row costs its own answer and never the task. Hooks count as
 nondeterministic: Spark then never evaluates one twice for the same row of a plan.
 """
 
@@ -40,19 +40,18 @@ def text_hook(hook: TextHook) -> Callable[..., Column]:
 
 
 def _call_rows(hook, args):
+    """Replies and errors by row. What fails as a whole is tried again in halves, so good rows are asked few times more."""
+    n = len(args[0])
     try:
-        return list(hook(*args)), [None] * len(args[0])
-    except Exception:  # noqa: BLE001 - any failure is an answer, not a lost task
-        pass
-    replies, errors = [], []
-    for i in range(len(args[0])):
-        try:
-            reply, error = list(hook(*[a.iloc[i : i + 1].reset_index(drop=True) for a in args]))[0], None
-        except Exception as failure:  # noqa: BLE001
-            reply, error = None, str(failure)
-        replies.append(reply)
-        errors.append(error)
-    return replies, errors
+        replies = list(hook(*args))
+        if len(replies) != n:
+            raise ValueError(f"{len(replies)} replies for {n} rows")
+        return replies, [None] * n
+    except Exception as failure:  # noqa: BLE001 - any failure is an answer, not a lost task
+        if n <= 1:
+            return [None] * n, [str(failure)] * n
+    halves = [_call_rows(hook, [a.iloc[s].reset_index(drop=True) for a in args]) for s in (slice(0, n // 2), slice(n // 2, n))]
+    return halves[0][0] + halves[1][0], halves[0][1] + halves[1][1]
 
 
 def embed_hook(hook: Callable[[pd.Series], list] | None = None) -> Callable[[Column], Column]:

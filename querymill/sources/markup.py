@@ -5,6 +5,7 @@ the nearest open element of its name and all inside it, a stray end tag means no
 never nest, nothing is closed implicitly.
 """
 
+import functools
 import re
 from html import unescape
 from html.entities import html5
@@ -179,24 +180,33 @@ def page_text(markup: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_page(m) for m in markup], columns=["text", "title"], dtype=object)
 
 
+@functools.cache
+def _selector(selector: str) -> tuple[str, str, str | None, str]:
+    """(outer element, element, kind of class test, class) of one of the few selectors used here."""
+    outer, _, last = selector.rpartition(" ")
+    return outer, *re.fullmatch(r"(\w*)(\.|\[class\*=)?([^\]]*)\]?", last).groups()
+
+
 class _Node:
     __slots__ = ("attrs", "name", "parent", "parts")
 
     def __init__(self, name, attrs, parent):
         self.name, self.attrs, self.parent, self.parts = name, attrs, parent, []
 
+    def inside(self):
+        """All texts and nodes below, in document order; pages may be nested to any depth."""
+        waiting = list(reversed(self.parts))
+        while waiting:
+            part = waiting.pop()
+            yield part
+            if isinstance(part, _Node):
+                waiting.extend(reversed(part.parts))
+
     def strings(self):
-        for part in self.parts:
-            if isinstance(part, str):
-                yield part
-            else:
-                yield from part.strings()
+        return (part for part in self.inside() if isinstance(part, str))
 
     def below(self):
-        for part in self.parts:
-            if isinstance(part, _Node):
-                yield part
-                yield from part.below()
+        return (part for part in self.inside() if isinstance(part, _Node))
 
     def above(self):
         node = self.parent
@@ -205,14 +215,11 @@ class _Node:
             node = node.parent
 
     def matches(self, selector: str) -> bool:
-        outer, _, last = selector.rpartition(" ")
-        if outer and not any(node.name == outer for node in self.above()):
+        outer, name, mark, wanted = _selector(selector)
+        if name and self.name != name or outer and not any(node.name == outer for node in self.above()):
             return False
-        name, mark, wanted = re.fullmatch(r"(\w*)(\.|\[class\*=)?([^\]]*)\]?", last).groups()
         classes = self.attrs.get("class") or ""
-        return (not name or self.name == name) and (
-            mark is None or (wanted in classes.split() if mark == "." else wanted.strip('"') in classes)
-        )
+        return mark is None or (wanted in classes.split() if mark == "." else wanted.strip('"') in classes)
 
     def select(self, selector):
         return (node for node in self.below() if node.matches(selector))
@@ -222,17 +229,20 @@ class _Tree(_Events):
     def __init__(self):
         super().__init__()
         self.root = self.at = _Node("", {}, None)
+        self.muted = 0
 
     def opened(self, tag, attrs):
+        self.muted += tag in MUTED or tag in ("script", "style")
         node = _Node(tag, dict(attrs), self.at)
         self.at.parts.append(node)
         self.at = node
 
     def closed(self, tag):
+        self.muted -= tag in MUTED or tag in ("script", "style")
         self.at = self.at.parent
 
     def text(self, data):
-        if not any(name in MUTED or name in ("script", "style") for name in self.stack):
+        if not self.muted:
             self.at.parts.append(data)
 
 

@@ -1,7 +1,8 @@
 """The query feed as a stream: resolve and save, rolling counters, repeat suppression."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -51,12 +52,16 @@ def rolling_counters(
     )
 
 
-def suppress_repeats(feed: DataFrame, horizon: str = "7 days", spread: int = 64) -> DataFrame:
-    """One query of each hash within the horizon.
+def suppress_repeats(feed: DataFrame, horizon: str = "7 days") -> DataFrame:
+    """One query of each hash until the watermark has passed it by the horizon; then the hash may come again.
 
-    Repeats go in two steps: first among the rows of a hash that share a salt, so that a hash asked by a
-    third of all users is spread over ``spread`` tasks, then among the few rows left of it.
+    Before the shuffle every batch of rows in a task is cut to the earliest of each hash. That keeps no state, so it
+    cannot outlive the second step, and a hash asked by a third of all users sends a row or so per task.
     """
-    marked = feed.withWatermark("ts", horizon).withColumn("_salt", F.pmod(F.xxhash64("ts"), F.lit(spread)))
-    fewer = marked.dropDuplicatesWithinWatermark(["query_hash", "_salt"]).drop("_salt")
-    return fewer.dropDuplicatesWithinWatermark(["query_hash"])
+
+    def earliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.sort_values("ts", kind="stable").drop_duplicates("query_hash")
+
+    fewer = feed.mapInPandas(earliest, feed.schema)
+    return fewer.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["query_hash"])

@@ -160,6 +160,16 @@ def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
     assert scan_store(spark, path).count() == 3
 
 
+def test_steady_repeats_come_again_after_the_horizon(spark, tmp_path):
+    feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    for key, day in (("a", 1), ("a", 7), ("clock", 16), ("a", 10)):
+        spark.createDataFrame([(key, dt.datetime(2024, 1, day))] * 3, "query_hash string, ts timestamp").write.mode("append").parquet(feed)
+        job = suppress_repeats(spark.readStream.schema("query_hash string, ts timestamp").parquet(feed), "7 days")
+        job.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["query_hash"], r["ts"].day) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 1), ("a", 10), ("clock", 16)]
+
+
 def test_stream_drops_late_rows_and_repeats(spark, tmp_path):
     schema = "outcome string, status string, pages_scraped int, execution_time double, query_hash string, ts timestamp"
     rows = [("miss", "valid", 1, 1.0, "a", dt.datetime(2024, 1, 1, h)) for h in (0, 1, 2, 9)]

@@ -126,3 +126,11 @@ def test_html_does_not_cross_an_exchange(spark, tmp_path):
     assert [(r["title"], r["content"], r["success"], r["status"], r["error_message"]) for r in got] == [
         ("T", "some words here", True, "success", None), ("U", "", False, "failed", "HTTP No response"),
     ]
+
+
+def test_deep_pages_keep_their_links():
+    from querymill.sources.markup import links_of_engine_a
+
+    one = '<div class="result"><a class="result__a" href="http://x/1">T</a></div>'
+    want = links_of_engine_a(one)
+    assert want and links_of_engine_a("<p>" * 5000 + one) == want

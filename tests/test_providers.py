@@ -19,6 +19,17 @@ def test_failures_stay_with_their_row(spark):
     assert got == [("A", None), (None, "bad text"), (None, None), ("B", None)]
 
 
+def test_a_wrong_number_of_replies_is_a_failed_call(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(3)], "i int, t string").coalesce(1)
+    for count in (1, 2, 4):
+        def hook(texts, count=count):
+            return [f"reply {t}" for t in texts] if len(texts) == 1 else ["lost"] * count
+
+        got = [tuple(r[0]) for r in df.orderBy("i").select(text_hook(hook)(F.col("t"))).collect()]
+        # Halves of two fail too, unless the count happens to be theirs.
+        assert got[0] == ("reply t0", None) and (count == 2 or got[1:] == [("reply t1", None), ("reply t2", None)])
+
+
 def test_failed_embedding_is_empty(spark):
     def hook(texts):
         if (texts == "bad").any():

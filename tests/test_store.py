@@ -97,9 +97,10 @@ def test_hot_query_keeps_order(spark):
     data = [("hot", i, f"u{i}", "t", "x" * i, i, dt.datetime(2024, 1, 1), i % 2 == 0, None, "success") for i in range(200)]
     names = ["query_hash", "position", *SCRAPED_CONTENT.fieldNames()]
     scraped = spark.createDataFrame(data, ", ".join(f"{n} {t}" for n, t in zip(names, ["string", "int", *[f.dataType.simpleString() for f in SCRAPED_CONTENT.fields]])))
-    got = nest_pages(scraped.repartition(4)).first()
+    got = nest_pages(scraped.repartition(4), limit=5).first()
     assert [p["url"] for p in got["scraped_content"]] == [f"u{i}" for i in range(5)]
-    assert "WindowGroupLimit" in nest_pages(scraped)._jdf.queryExecution().executedPlan().toString()
+    assert len(nest_pages(scraped).first()["scraped_content"]) == 200
+    assert "WindowGroupLimit" in nest_pages(scraped, limit=5)._jdf.queryExecution().executedPlan().toString()
     roll = page_rollup(scraped).first()
     assert (roll["pages_scraped"], roll["success_rate"]) == (100, 0.5)
 
