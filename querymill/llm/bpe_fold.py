@@ -9,12 +9,14 @@ constant map of bounded size; the rest are folded where they stand. That map sav
 """
 
 import base64
+import json
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 FREQUENT = 1 << 17  # words in the map of frequent ones
 NO_RANK = (1 << 31) - 1
+ONE_BYTE = "ISO-8859-1"  # bytes are held as characters of this set: keys of Spark's literal maps are strings
 # Letters and numbers that Unicode has had since version 13, the last one that Java 17 knows. Fixed values.
 NEW_LETTERS = ""
 NEW_NUMBERS = ""
@@ -31,28 +33,34 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern()), F.lit(0))
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
+def as_bytes(word: Column) -> Column:
+    """The UTF-8 bytes of a word, written as a string with a character for each."""
+    return F.decode(word.cast("binary"), ONE_BYTE)
+
+
+def read_ranks(path: str) -> dict[str, int]:
     with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        return {base64.b64decode(token).decode(ONE_BYTE): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _constant(spark: SparkSession, value, kind: str) -> Column:
-    """One value as a constant of the query."""
-    return spark.createDataFrame([(value,)], f"v {kind}").scalar()
+def _constant(value, kind: str) -> Column:
+    """One value that the optimizer folds into a literal of the query."""
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
 class Lookup:
-    """A constant map, parted by checksum, because a map of Spark is searched from its beginning."""
+    """A literal map, parted by checksum, because a map of Spark is searched from its beginning."""
 
-    def __init__(self, spark: SparkSession, entries: dict[bytes, object], kind: str, bits: int = 16):
+    def __init__(self, entries: dict[str, object], kind: str, bits: int = 14):
         self.mask = (1 << bits) - 1
         parts: list[dict] = [{} for _ in range(1 << bits)]
         for key, value in entries.items():
-            parts[zlib.crc32(key) & self.mask][key] = value
-        self.parts = _constant(spark, parts, f"array<map<binary,{kind}>>")
+            parts[zlib.crc32(key.encode()) & self.mask][key] = value
+        self.parts = _constant(parts, f"array<map<string,{kind}>>")
 
     def __getitem__(self, key: Column) -> Column:
-        return F.element_at(F.get(self.parts, F.crc32(key).bitwiseAND(F.lit(self.mask)).cast("int")), key)
+        part = F.get(self.parts, F.crc32(key.cast("binary")).bitwiseAND(F.lit(self.mask)).cast("int"))
+        return F.element_at(part, key)
 
 
 def _let(value: Column, body) -> Column:
@@ -60,7 +68,7 @@ def _let(value: Column, body) -> Column:
 
 
 def fold(word: Column, ranks: Lookup) -> Column:
-    """Ids of a word (binary), as an array of int. Steps are as many as merges, each as long as the word then is."""
+    """Ids of a word (its bytes as characters), as an array of int. Steps are as many as merges, each as long as the word then is."""
 
     def rank(piece: Column) -> Column:
         return F.coalesce(ranks[piece], F.lit(NO_RANK))
@@ -70,37 +78,31 @@ def fold(word: Column, ranks: Lookup) -> Column:
         lowest = F.array_min(known)
 
         def merge(i: Column) -> Column:
-            made = F.concat(F.get(pieces, i - 1), F.get(pieces, i))
-
             def renewed(made: Column) -> Column:
-                before, after = F.get(pieces, i - 2), F.get(pieces, i + 1)
-                fresh = F.filter(F.array(
-                    F.when(i > 1, rank(F.concat(before, made))), F.when(i < F.size(known), rank(F.concat(made, after))),
-                ), lambda r: r.isNotNull())
+                before = F.when(i > 1, F.array(rank(F.concat(F.get(pieces, i - 2), made)))).otherwise(none)
+                after = F.when(i < F.size(known), F.array(rank(F.concat(made, F.get(pieces, i + 1))))).otherwise(none)
                 return F.struct(
                     F.concat(F.slice(pieces, 1, i - 1), F.array(made), F.slice(pieces, i + 2, F.size(pieces))).alias("pieces"),
-                    F.concat(F.slice(known, 1, F.greatest(i - 2, F.lit(0))), fresh, F.slice(known, i + 2, F.size(pieces))).alias("known"),
+                    F.concat(F.slice(known, 1, F.greatest(i - 2, F.lit(0))), before, after, F.slice(known, i + 2, F.size(pieces))).alias("known"),
                 )
 
-            return _let(made, renewed)
+            return _let(F.concat(F.get(pieces, i - 1), F.get(pieces, i)), renewed)
 
-        return F.when(F.size(known) == 0, state).when(lowest == NO_RANK, state).otherwise(_let(F.array_position(known, lowest).cast("int"), merge))
+        return F.when(F.coalesce(lowest, F.lit(NO_RANK)) == NO_RANK, state).otherwise(_let(F.array_position(known, lowest).cast("int"), merge))
 
-    size = F.octet_length(word)
-    one = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
-    pairs = F.when(size < 2, F.array().cast("array<int>")).otherwise(
-        F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substring(word, i, F.lit(2))))
-    )
-    start = F.struct(one.alias("pieces"), pairs.alias("known"))
-    folded = F.aggregate(F.sequence(F.lit(1), size), start, step, lambda state: state["pieces"])
+    none = F.array().cast("array<int>")
+    single = F.split(word, "")
+    pairs = F.transform(F.slice(single, 2, F.size(single)), lambda second, i: rank(F.concat(F.get(single, i), second)))
+    start = F.struct(single.alias("pieces"), pairs.alias("known"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda state: state["pieces"])
     return F.when(ranks[word].isNotNull(), F.array(ranks[word])).otherwise(F.transform(folded, lambda p: ranks[p]))
 
 
-def frequent(docs: DataFrame, ranks: Lookup, most: int = FREQUENT) -> dict[bytes, list[int]]:
-    """Ids of the ``most`` most frequent words of all texts: no more than that reaches the driver."""
+def frequent(docs: DataFrame, ranks: Lookup, most: int = FREQUENT) -> dict[str, list[int]]:
+    """Ids of the ``most`` most frequent words of all texts, none of them long: no more than that reaches the driver."""
     counted = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(most).select(F.col("word").cast("binary").alias("word"))
-    return {bytes(r["word"]): r["ids"] for r in top.select("word", fold(F.col("word"), ranks).alias("ids")).collect()}
+    top = counted.where("n > 1").where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(most).select(as_bytes(F.col("word")).alias("word"))
+    return {r["word"]: r["ids"] for r in top.select("word", fold(F.col("word"), ranks).alias("ids")).collect()}
 
 
 def with_ids(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
@@ -108,34 +110,33 @@ def with_ids(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
 
     An own column of that name is replaced. One word's cost grows with the square of its length.
     """
-    ranks = Lookup(docs.sparkSession, read_ranks(path), "int")
-    known = Lookup(docs.sparkSession, frequent(docs, ranks, most), "array<int>")
-    ids = F.transform(F.transform(words(F.col("text")), lambda w: w.cast("binary")), lambda w: F.coalesce(known[w], fold(w, ranks)))
+    ranks = Lookup(read_ranks(path), "int")
+    known = Lookup(frequent(docs, ranks, most), "array<int>")
+    ids = F.transform(F.transform(words(F.col("text")), as_bytes), lambda w: F.coalesce(known[w], fold(w, ranks)))
     return docs.withColumn("ids", F.flatten(ids))
 
 
-def decoded(ids: Column, spark: SparkSession, path: str) -> Column:
+def decoded(ids: Column, path: str) -> Column:
     """The bytes that ids stand for: their pieces one after another."""
     ranks = read_ranks(path)
     pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex()
-    shown = _constant(spark, pieces, "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(shown, i)), ""))
+        pieces[rank] = piece
+    shown = _constant(pieces, "array<string>")
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(shown, i)), ""), ONE_BYTE)
 
 
-def as_bytes(ids: Column, spark: SparkSession, most: int) -> Column:
-    """Ids below ``most`` as little-endian unsigned 32-bit integers, one after another."""
-    shown = _constant(spark, [i.to_bytes(4, "little").hex() for i in range(most)], "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(shown, i)), ""))
+def written(ids: Column, size: int) -> Column:
+    """Ids below ``size`` as little-endian unsigned 32-bit integers, one after another."""
+    shown = _constant([i.to_bytes(4, "little").decode(ONE_BYTE) for i in range(size)], "array<string>")
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(shown, i)), ""), ONE_BYTE)
 
 
 def encode_and_decode(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of ``docs`` (doc_id, text); see ``with_ids``."""
-    spark = docs.sparkSession
     size = max(read_ranks(path).values()) + 1
     return with_ids(docs.select("doc_id", "text"), path, most).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(as_bytes(F.col("ids"), spark, size), 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), spark, path), 256).alias("decoded_sha256"),
+        F.sha2(written(F.col("ids"), size), 256).alias("ids_sha256"),
+        F.sha2(decoded(F.col("ids"), path), 256).alias("decoded_sha256"),
     )

@@ -20,7 +20,7 @@ from querymill.llm.arrow import with_columns
 
 LIMIT = 2048
 CACHED = 400_000  # pre-tokens whose counts a task remembers at a time
-TEXTS = 64  # texts whose new pre-tokens are merged together
+TEXTS = 512  # texts whose new pre-tokens are merged together
 
 # Printable ASCII and Latin-1: no Unicode version, normal form or library changes these.
 PLAIN = re.compile("[\t\n\r -~\xa1-\xff]*")

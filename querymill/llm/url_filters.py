@@ -20,6 +20,7 @@ LABEL = "label:"
 
 class Mining(NamedTuple):
     support: float = 0.002  # share of the labelled URLs that have the combination and the label
+    urls: int = 25  # and how many of them, at least
     confidence: float = 0.5  # share of the URLs with the combination that have the label
     tokens: int = 24  # tokens of a labelled URL that combinations are made of, from the first
     items: int = 6  # tokens of a rule, at most
@@ -72,7 +73,10 @@ def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     baskets = labelled.where(F.col("label").isin(BLOCK, ALLOW)).select(
         F.slice(tokens(F.col("url")), 1, mining.tokens).alias("items"), "label"
     ).where("size(items) > 0").select(F.concat("items", F.array(F.concat(F.lit(LABEL), "label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=mining.support, minConfidence=mining.confidence).fit(baskets)
+    least = max(mining.support, mining.urls / max(1, baskets.count()))
+    if least > 1:
+        return baskets.sparkSession.createDataFrame([], "items array<string>, confidence double, support double, rule string")
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=mining.confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent") == F.array(F.lit(LABEL + BLOCK))).where(F.size("antecedent") <= mining.items)
     return found.select(F.array_sort("antecedent").alias("items"), "confidence", "support").withColumn("rule", F.array_join("items", " "))
 
