@@ -116,7 +116,7 @@ def _prefix(shingles: np.ndarray, order: int, common: np.ndarray, rule: Rule) ->
 
 
 def _meetings(docs: DataFrame, common, rule: Rule) -> DataFrame:
-    """(token, v): every vertex with the prefix tokens of its set in the first order."""
+    """(token, v, n): every vertex, with its size, by the prefix tokens of its set in the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,9 +128,10 @@ def _meetings(docs: DataFrame, common, rule: Rule) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.concatenate(tokens).view(np.int64)),
                         pa.array(np.repeat(np.array([_key(s) for s in sets], np.int64), lengths)),
-                    ], names=["token", "v"])
+                        pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), lengths)),
+                    ], names=["token", "v", "n"])
 
-    return docs.select("text").mapInArrow(run, "token long, v long")
+    return docs.select("text").mapInArrow(run, "token long, v long, n int")
 
 
 def classes(scratch: Scratch, docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -172,18 +173,20 @@ def one_of_each(scratch: Scratch, docs: DataFrame, rule: Rule = Rule()) -> DataF
 def links(scratch: Scratch, texts: DataFrame, vertices: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, d): links between vertices, enough of them to connect every two that links connect."""
     common = texts.sparkSession.sparkContext.broadcast(commonness(texts, rule.words))  # 2^20 bytes
-    met = _meetings(texts, common, rule)
-    shared = scratch.cut(met.groupBy("token").agg(F.min("v").alias("leader"), F.max("v").alias("last")).where("leader <> last").drop("last"))
-    met = scratch.cut(met.join(shared, "token").distinct())
-    wanted = scratch.cut(vertices.join(met.select("v").distinct(), "v", "left_semi").select("v", "row"))
-    sets = scratch.cut(_whole_sets(texts, wanted, common, rule))
-
-    stars = met.where("v <> leader").select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct()
-    compared = scratch.cut(_compare(scratch, stars, sets, rule))
+    every = scratch.cut(_meetings(texts, common, rule))
+    shared = every.groupBy("token").agg(F.min(F.struct("v", "n")).alias("first"), F.max("v").alias("last")).where("first.v <> last")
+    # Written, so that the members of a large bucket can be split in the join.
+    shared = scratch.cut(shared.select("token", F.col("first.v").alias("leader"), F.col("first.n").alias("leader_n")))
+    met = scratch.cut(every.join(shared, "token").distinct())
+    scratch.drop(every)
+
+    sizes = f"100 * n >= {rule.percent} * leader_n AND 100 * leader_n >= {rule.percent} * n"
+    stars = scratch.cut(met.where(f"v <> leader AND {sizes}").select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct())
+    compared = _compare(scratch, stars, texts, vertices, common, rule)
     roots = scratch.cut(components(scratch, compared.where("linked").select("a", "b")))
 
     placed = scratch.cut(
-        met.join(sets.select("v", "n").distinct(), "v").join(roots, F.col("v") == F.col("node"), "left")
+        met.join(roots, F.col("v") == F.col("node"), "left")
         .join(compared.select(F.col("a").alias("leader"), F.col("b").alias("v"), "d"), ["leader", "v"], "left")
         .select("token", "v", "n", F.coalesce("root", "v").alias("root"), F.when(F.col("v") == F.col("leader"), 0.0).otherwise(F.col("d")).alias("d"))
     )
@@ -206,8 +209,8 @@ def links(scratch: Scratch, texts: DataFrame, vertices: DataFrame, rule: Rule) -
         f"100 * na >= {rule.percent} * nb AND 100 * nb >= {rule.percent} * na AND (da IS NULL OR db IS NULL OR abs(da - db) <= {reach})"
     )
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    late = scratch.cut(_compare(scratch, pairs, sets, rule))
+    pairs = scratch.cut(pairs.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    late = _compare(scratch, pairs, texts, vertices, common, rule)
     return compared.where("linked").select("a", "b", "d").unionByName(late.where("linked").select("a", "b", "d"))
 
 
@@ -245,12 +248,15 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, common, rule: Rule) -> Data
     return keyed.mapInArrow(run, "row long, v long, n int, orders array<binary>, tokens binary").join(wanted, ["row", "v"]).drop("row")
 
 
-def _compare(scratch: Scratch, pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _compare(scratch: Scratch, pairs: DataFrame, texts: DataFrame, vertices: DataFrame, common, rule: Rule) -> DataFrame:
     """(a, b, d, linked) of pairs (a, b): d is the Jaccard distance, null where a filter already parts them.
 
     The filters of all orders are intersected on the prefixes alone; only pairs that pass them all are joined with their
-    whole sets. Each pair comes with both sides, so a vertex in many pairs is split among tasks.
+    whole sets. Each pair comes with both sides, so a vertex in many pairs is split among tasks. ``pairs`` is read more than once.
     """
+    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
+    wanted = scratch.cut(vertices.join(ends, "v", "left_semi").select("v", "row"))
+    sets = scratch.cut(_whole_sets(texts, wanted, common, rule))
 
     def with_both(pairs, *names):
         for side in ("b", "a"):
@@ -279,7 +285,9 @@ def _compare(scratch: Scratch, pairs: DataFrame, sets: DataFrame, rule: Rule) ->
     sifted = scratch.cut(with_both(pairs, "n", "orders").mapInArrow(sift, "a long, b long, passed boolean"))
     verified = with_both(sifted.where("passed").select("a", "b"), "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(verify, "a long, b long, d double, linked boolean")
     parted = sifted.where("NOT passed").select("a", "b", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked"))
-    return verified.unionByName(parted).distinct()
+    compared = scratch.cut(verified.unionByName(parted).distinct())
+    scratch.drop(sets, wanted, sifted)
+    return compared
 
 
 def _may_link(n: int, m: int, x: list[bytes], y: list[bytes], rule: Rule) -> bool:
