@@ -21,7 +21,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     A text of fewer than K units is one gram; one without any, and a null, has no fingerprints.
     """
     a, b = f"{name} a", f"{name} b"
-    df = df.withColumn(a, F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNITS), F.lit(0)), lambda u: F.xxhash64(u)))
+    df = df.withColumn(a, F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("(?U)" + UNITS), F.lit(0)), lambda u: F.xxhash64(u)))
     df = df.withColumn(b, F.size(a))
     rolled, run = F.col(a), 1
     while run < K:
