@@ -186,3 +186,41 @@ def test_stream_drops_late_rows_and_repeats(spark, tmp_path):
     assert [(r["window_start"].hour, r["cache_misses"]) for r in windows] == [(0, 1), (1, 1), (2, 1), (9, 1)]
     assert spark.read.parquet(str(tmp_path / "r")).count() == 1
     assert MAX_SOURCES == 5
+
+
+def test_settled_outcomes_can_be_counted_and_delivered(spark, tmp_path):
+    from querymill.operators.stats import stats_full
+    from querymill.plans.respond import respond, settle
+
+    path = str(tmp_path / "store")
+    insert_results(spark, path, store(spark))
+    resolved = resolve(asked(spark), store(spark))
+    answers = answer(resolved.where("outcome = 'miss'").drop("message", "error"), links(spark), pages(spark), F.lit(AS_OF))
+    settled = settle(resolved, answers)
+    ingest(spark, path, answers)
+    before, after = outcomes(resolved), outcomes(settled)
+    lost = {r["query_hash"] for r in answers.collect() if not r["success"]}
+    hashes = {r["query_id"]: r["query_hash"] for r in resolved.collect()}
+    assert lost and len(after) == len(before)
+    for q, (kind, matched) in before.items():
+        fails = hashes[q] in lost and kind in ("miss", "exact_hit")
+        assert after[q] == (("failed", None) if fails else (kind, matched))
+    counted = stats_full(settled).first()
+    kinds = [k for k, _ in after.values()]
+    assert (counted["total_queries"], counted["cache_misses"], counted["total_pages_scraped"]) == (len(after), sum(k in ("miss", "failed") for k in kinds), 2)
+    rows = {r["query_id"]: r for r in respond(settled, answers, scan_store(spark, path)).collect()}
+    assert len(rows) == len(after)
+    for q, (kind, matched) in after.items():
+        r = rows[q]
+        assert (r["cache_hit"], r["success"]) == (kind in ("exact_hit", "similar_hit"), kind in ("exact_hit", "similar_hit", "miss"))
+        assert (r["result"] is None) == (kind in ("invalid", "failed")) or kind not in ("invalid", "failed")
+        if r["cache_hit"]:
+            assert r["result"]["query_hash"] == matched
+    assert rows[4]["result"]["summary"]["sources"] == ["http://x/1", "http://x/9"]
+    assert rows[3]["similar_query_used"] and rows[7]["message"] == "Failed to scrape any web content for your query"
+
+
+def test_requests_without_text_are_invalid(spark):
+    rows = [(1, 1, dt.datetime(2024, 1, 1), None, [1.0, 0.0]), (2, 2, dt.datetime(2024, 1, 1), " \t", [1.0, 0.0])]
+    empty = spark.createDataFrame(rows, "query_id bigint, arrival bigint, ts timestamp, query string, embedding array<float>")
+    assert outcomes(resolve(empty, store(spark))) == {1: ("invalid", None), 2: ("invalid", None)}
