@@ -17,20 +17,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 FREQUENT = 1 << 17  # words in the map of frequent ones
 NO_RANK = (1 << 31) - 1
 ONE_BYTE = "ISO-8859-1"  # bytes are held as characters of this set: keys of Spark's literal maps are strings
-# Letters and numbers that Unicode has had since version 13, the last one that Java 17 knows. Fixed values.
-NEW_LETTERS = ""
-NEW_NUMBERS = ""
-
-
-def pattern(letters: str = NEW_LETTERS, numbers: str = NEW_NUMBERS) -> str:
-    """The vocabularies' pattern as Java writes it: white space is Unicode's, and so are letters and numbers newer than the JVM."""
-    l, n = rf"\p{{L}}{letters}", rf"\p{{N}}{numbers}"
-    return rf"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?[{l}]+| ?[{n}]+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"
+# The vocabularies' pattern; (?U) makes white space Unicode's. A fixed value.
+PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def words(text: Column) -> Column:
-    """Matches of the pattern in a text, in order: together the whole of it. A null text has none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern()), F.lit(0))
+    """Matches of the pattern in a text, in order: together the whole of it. A null text has none.
+
+    Letters and numbers are those of the JVM's Unicode version (13 in Java 17); newer ones count as signs.
+    """
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
 
 
 def as_bytes(word: Column) -> Column:

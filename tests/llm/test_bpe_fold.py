@@ -37,6 +37,6 @@ def test_ids_are_those_of_the_library(spark, library, most):
 
 
 def test_no_rows_and_no_python(spark):
-    df = spark.createDataFrame([], "doc_id long, text string")
+    df = spark.range(0).selectExpr("id AS doc_id", "'x' AS text")
     made = B.with_ids(df, PATH)
     assert made.count() == 0 and "Python" not in made._jdf.queryExecution().executedPlan().toString()
