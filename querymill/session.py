@@ -3,6 +3,7 @@
 import atexit
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,12 +84,17 @@ class Scratch:
             pass
 
     def __enter__(self):
+        self.outer = _owner.set(self)
         return self
 
     def __exit__(self, *_):
+        _owner.reset(self.outer)
         self.close()
 
 
+_owner: ContextVar[Scratch | None] = ContextVar("owner", default=None)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A scratch table that stays until the program ends."""
-    return Scratch(df.sparkSession).cut(df)
+    """A scratch table of the job whose ``with Scratch(...)`` this is in; without one it stays until the program ends."""
+    return (_owner.get() or Scratch(df.sparkSession)).cut(df)

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from querymill.operators.stats import stats_reference
 from querymill.plans.answer import answer, ingest
 from querymill.plans.resolve import resolve
+from querymill.session import Scratch
 from querymill.sources.store import _files, scan_store
 
 
@@ -32,10 +33,11 @@ def resolve_stream(
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         target = f"{outcomes_path}/batch_id={batch_id}"
-        if not _files(spark, target).exists(f"{target}/_SUCCESS"):
-            resolve(batch, scan_store(spark, store_path), **options).write.mode("overwrite").parquet(target)
-        misses = spark.read.parquet(target).where(F.col("outcome") == "miss").drop("message", "error")
-        ingest(spark, store_path, answer(misses, links, pages, as_of(), model=model))
+        with Scratch(spark):  # nothing a batch sets aside outlives it
+            if not _files(spark, target).exists(f"{target}/_SUCCESS"):
+                resolve(batch, scan_store(spark, store_path), **options).write.mode("overwrite").parquet(target)
+            misses = spark.read.parquet(target).where(F.col("outcome") == "miss").drop("message", "error")
+            ingest(spark, store_path, answer(misses, links, pages, as_of(), model=model))
 
     return feed.writeStream.foreachBatch(run)
 

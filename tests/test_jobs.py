@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import os
 
 from pyspark.sql import functions as F
 
@@ -151,7 +152,10 @@ def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
         query = writer.option("checkpointLocation", str(tmp_path / state)).trigger(availableNow=True).start()
         query.awaitTermination()
 
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = {p for p in os.listdir(folder) if p.startswith("cut-")}
     run("state")
+    assert {p for p in os.listdir(folder) if p.startswith("cut-")} == before
     assert outcomes(spark.read.parquet(out)) == WANT
     assert scan_store(spark, path).count() == 3
     # The same batch once more, as after a lost driver: outcomes and store stay as they are.

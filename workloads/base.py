@@ -65,19 +65,18 @@ def sql_words(expr: str) -> str:
     return f"len(list_filter(regexp_split_to_array({expr}, '{SPACES}'), lambda x: x <> ''))"
 
 
-# User turns, some made into commands or cut short, each asked a second time in other case and spacing.
+# User turns, some made into commands, each asked a second time in other case and spacing; of some also their first two characters.
 def asked_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
     varied = (
-        F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("call "), "text"))
-        .when(F.col("conv_id") % 11 == 0, F.substring("text", 1, 2))
-        .otherwise(F.col("text"))
+        F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("call "), "text")).otherwise(F.col("text"))
     )
     again = F.concat(F.lit("  "), F.replace(F.lower(varied), F.lit(" "), F.lit("  ")), F.lit("\t"))
     number = F.col("conv_id") * 1000 + F.col("turn")
     first = turns.select(number.alias("query_id"), varied.alias("query"), "conv_id", "turn")
     second = turns.select((number + 500).alias("query_id"), again.alias("query"), "conv_id", "turn")
-    return first.unionByName(second).select(
+    short = turns.where("conv_id % 11 = 0").select((number + 700).alias("query_id"), F.substring("text", 1, 2).alias("query"), "conv_id", "turn")
+    return first.unionByName(second).unionByName(short).select(
         "query_id",
         (F.col("query_id") % 1000 * 1_000_000 + F.col("conv_id")).alias("arrival"),
         F.timestamp_seconds(F.lit(1_704_067_200) + F.col("query_id")).alias("ts"),
@@ -88,12 +87,14 @@ def asked_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKED = """
 varied AS (
   SELECT conv_id, turn,
-    CASE WHEN conv_id % 7 = 0 THEN 'call ' || text WHEN conv_id % 11 = 0 THEN substr(text, 1, 2) ELSE text END AS t
+    CASE WHEN conv_id % 7 = 0 THEN 'call ' || text ELSE text END AS t, text
   FROM conversations WHERE role = 'user'),
 asked AS (
   SELECT conv_id * 1000 + turn AS query_id, t AS query, conv_id, turn FROM varied
   UNION ALL
-  SELECT conv_id * 1000 + turn + 500, '  ' || replace(lower(t), ' ', '  ') || chr(9), conv_id, turn FROM varied),
+  SELECT conv_id * 1000 + turn + 500, '  ' || replace(lower(t), ' ', '  ') || chr(9), conv_id, turn FROM varied
+  UNION ALL
+  SELECT conv_id * 1000 + turn + 700, substr(text, 1, 2), conv_id, turn FROM varied WHERE conv_id % 11 = 0),
 asked_norm AS (
   SELECT query_id, query_id % 1000 * 1000000 + conv_id AS arrival, """ + sql_normalize("query") + """ AS query, conv_id, turn FROM asked),
 asked_hash AS (SELECT *, sha256(lower(query)) AS query_hash FROM asked_norm)"""

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from querymill.functions.text import normalize_query
 from querymill.operators.matching import similar_info
 from querymill.plans.answer import answer, ingest
-from querymill.plans.resolve import outcome_summary, prepare, resolve
+from querymill.plans.resolve import classify, embed, outcome_summary, prepare, resolve
 from querymill.plans.sequential import resolve_sequential
 from querymill.providers import embed_hook
 from querymill.sources.pages import scan_result_pages
@@ -158,6 +159,34 @@ def resolve_with_hooks(spark, sf_dir):
     ]))
 
 
+LETTERS = "aeio"
+
+
+@case(
+    "X1",
+    f"WITH {ASKED} SELECT query_id, " + ", ".join(f"(length(query) - length(replace(query, '{c}', '')))::DOUBLE AS n_{c}" for c in LETTERS) + " FROM asked_norm",
+)
+def hooked_embeddings(spark, sf_dir):
+    """A hook that counts letters, as DuckDB can too."""
+    asked = asked_queries(spark, sf_dir).withColumn("query", normalize_query(F.col("query")))
+    vectors = embed(asked, lambda texts: [[float(t.count(c)) for c in LETTERS] for t in texts])
+    return vectors.select("query_id", *[F.col("embedding")[i].cast("double").alias(f"n_{c}") for i, c in enumerate(LETTERS)])
+
+
+@case(
+    "X2 N2",
+    f"""WITH {ASKED} SELECT query_id, CASE WHEN length(query) % 2 = 1 THEN 'invalid' ELSE 'valid' END AS status, 0.75::DOUBLE AS confidence,
+      'length ' || length(query) AS reason FROM asked_norm""",
+)
+def hooked_classes(spark, sf_dir):
+    """A hook that goes by the length of the text, as DuckDB can too."""
+    asked = asked_queries(spark, sf_dir).withColumn("query", normalize_query(F.col("query")))
+    found = classify(asked, lambda texts: [
+        '{"status": "%s", "confidence": 0.75, "reason": "length %d"}' % ("invalid" if len(t) % 2 else "valid", len(t)) for t in texts
+    ])
+    return found.select("query_id", "status", "confidence", "reason")
+
+
 # One query per result page, answered from its links.
 def answered(spark, sf_dir):
     queries = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 12).alias("query_id")).distinct()
