@@ -13,6 +13,7 @@ WINDOW = 8  # grams of a window
 # A unit is a piece of at most three letters or digits, counted from the start of its word, or one sign. White space only parts units.
 UNITS = r"[\p{L}\p{N}\p{M}]{1,3}|[^\p{L}\p{N}\p{M}\s]"
 LAST = (1 << 31) - 1
+NO_ID = -(1 << 63)  # stands for a null id, which comes before all others; no document may have it
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -61,45 +62,41 @@ def likeness(x: str, y: str) -> Column:
 
 
 def next_ids(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id): the next larger id, after the largest the smallest. A null id comes first.
+    """(doc_id, next_id): the next larger id, after the largest the smallest; ids are not null.
 
     Ids are dealt out by range; within a range neighbours are next to each other, and the first id of each later range, one row
     for each partition, closes the gaps.
     """
     ids = docs.select("doc_id").distinct()
-    dealt = scratch.cut(ids.repartitionByRange(ids.sparkSession.sparkContext.defaultParallelism * 4, F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id()))
-    order = F.col("doc_id").asc_nulls_first()
-    inside = dealt.withColumns({
-        "last": F.row_number().over(Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last())) == 1,
-        "next_id": F.lead("doc_id").over(Window.partitionBy("part").orderBy(order)),
-    })
-    heads = dealt.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id")).alias("head"))
+    dealt = scratch.cut(ids.repartitionByRange(ids.sparkSession.sparkContext.defaultParallelism * 4, "doc_id").withColumn("part", F.spark_partition_id()))
+    inside = dealt.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
+    heads = dealt.groupBy("part").agg(F.min("doc_id").alias("head"))
     parts = Window.orderBy("part")
     whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = heads.select("part", F.coalesce(F.lead("head").over(parts), F.first("head").over(whole)).alias("after"))
-    return inside.join(after, "part").select("doc_id", F.when(F.col("last"), F.col("after.doc_id")).otherwise(F.col("next_id")).alias("next_id"))
+    return inside.join(after, "part").select("doc_id", F.coalesce("next_id", "after").alias("next_id"))
 
 
 def compare_edited(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """Fingerprints of every text of ``docs`` (doc_id, text) and of its edited text, and how like they are.
 
     Edited: the last floor(n_chars / 4) code points give way to as many (or all) from the start of the next document, by ascending doc_id, after the
-    last the first. Of several texts with the next id the smallest counts; a null text is empty; a single document is followed by itself. Returns doc_id, n_chars,
+    last the first. A null id comes first; of several texts with the next id the smallest counts; a null text is empty; a single document is followed by itself. Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    follows = next_ids(scratch, docs)
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    follows = next_ids(scratch, texts)
     longest = texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
-    wanted = longest.join(follows.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
-    wanted = scratch.cut(wanted.select("of", F.col("next_id").alias("id"), F.floor(F.col("n") / 4).cast("int").alias("m")))
+    wanted = longest.join(follows, "doc_id")
+    wanted = scratch.cut(wanted.select(F.col("doc_id").alias("of"), F.col("next_id").alias("doc_id"), F.floor(F.col("n") / 4).cast("int").alias("m")))
     # What each document hands to the one before it: the start of its text, and its own hashes.
-    given = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("of", F.substr("text", F.lit(1), "m").alias("start"), "text")
+    given = texts.join(wanted, "doc_id").select("of", F.substr("text", F.lit(1), "m").alias("start"), "text")
     given = with_fingerprint(given, "text", "marks").select("of", F.struct("start", hashes("marks").alias("marks")).alias("next"))
-    given = given.groupBy("of").agg(F.min("next").alias("next"))
+    given = given.groupBy(F.col("of").alias("doc_id")).agg(F.min("next").alias("next"))
     n = F.length("text")
     kept = n - F.floor(n / 4).cast("int")
-    both = texts.join(given, F.col("doc_id").eqNullSafe(F.col("of"))).select(
-        "doc_id", "text", n.cast("long").alias("n_chars"), "next",
+    both = texts.join(given, "doc_id").select(
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", n.cast("long").alias("n_chars"), "next",
         F.concat(F.substr("text", F.lit(1), kept), F.substr("next.start", F.lit(1), n - kept)).alias("edited"),
     )
     both = with_fingerprint(both, "text", "own").select("doc_id", "n_chars", "edited", "next", "own")
