@@ -6,7 +6,7 @@ equally common ones each has its own random order. Pairs meet in the first order
 under every other order, and as many as linked sets of their sizes must share, before their whole sets are compared.
 
 Texts with equal sets are one vertex. Links within a bucket are not all enumerated: every vertex is first
-compared with one leader of the bucket, and what this settles (same component, or too far apart by the triangle inequality, which
+compared with up to four leaders of the bucket (in small buckets those are all pairs), and what this settles (same component, or too far apart by the triangle inequality, which
 Jaccard distance obeys) is not compared again. No link between components is lost.
 
 Tokens and sets are 64-bit hashes; two different ones share a value with a chance of one in 2^64.
@@ -24,8 +24,9 @@ from querymill.llm.components import components
 from querymill.llm.words import chunks, mix, shingle_set, words_of
 from querymill.session import Scratch
 
-COUNT_BITS = 20  # the table of counts has 2^20 places, whatever the corpus
-COUNT_BLOCK = 1 << 12
+COUNT_BITS = 23  # the table of counts has 2^23 places, whatever the corpus
+COUNT_BLOCK = 1 << 15
+COUNT_AT_ONCE = 1 << 21
 FILTER_BITS = 1 << 23  # of the bitmap of rows whose sets are needed
 SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
@@ -77,11 +78,21 @@ def commonness(docs: DataFrame, words: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << COUNT_BITS, np.int64)
+        table, waiting, many = np.zeros(1 << COUNT_BITS, np.uint32), [], 0
+
+        def add_up():
+            places, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            table[places] += counts.astype(np.uint32)
+
         for batch in batches:
             for chunk in chunks(batch.column(0)):
-                found = [s >> np.uint64(64 - COUNT_BITS) for s in _sets(chunk, words)]
-                table += np.bincount(np.concatenate(found).astype(np.int64), minlength=len(table))
+                waiting += [(s >> np.uint64(64 - COUNT_BITS)).astype(np.uint32) for s in _sets(chunk, words)]
+                many += len(chunk.data)
+                if many > COUNT_AT_ONCE * 8:
+                    add_up()
+                    waiting, many = [], 0
+        if waiting:
+            add_up()
         for block, counts in enumerate(table.reshape(-1, COUNT_BLOCK)):
             if counts.any():
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts.astype(_narrow(counts)).tobytes()])], names=["block", "counts"])
@@ -99,7 +110,7 @@ def commonness(docs: DataFrame, words: int) -> np.ndarray:
     table = np.zeros(1 << COUNT_BITS, np.int64)
     for block, counts in rows:
         table[block * COUNT_BLOCK:(block + 1) * COUNT_BLOCK] = np.frombuffer(counts, np.int64)
-    usual = np.median(table)
+    usual = table.mean()
     beyond = table - (usual + 4 * np.sqrt(usual))
     return np.where(beyond > 0, 1 + np.log2(1 + np.maximum(beyond, 0)), 0).astype(np.uint8)
 
@@ -172,16 +183,18 @@ def one_of_each(scratch: Scratch, docs: DataFrame, rule: Rule = Rule()) -> DataF
 
 def links(scratch: Scratch, texts: DataFrame, vertices: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, d): links between vertices, enough of them to connect every two that links connect."""
-    common = texts.sparkSession.sparkContext.broadcast(commonness(texts, rule.words))  # 2^20 bytes
+    common = texts.sparkSession.sparkContext.broadcast(commonness(texts, rule.words))  # 2^23 bytes
     every = scratch.cut(_meetings(texts, common, rule))
-    shared = every.groupBy("token").agg(F.min(F.struct("v", "n")).alias("first"), F.max("v").alias("last")).where("first.v <> last")
+    one, by = F.struct("v", "n"), F.xxhash64("v")
+    shared = every.groupBy("token").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.min_by(one, by).alias("z"), F.max_by(one, by).alias("w")).where("x.v <> y.v")
     # Written, so that the members of a large bucket can be split in the join.
-    shared = scratch.cut(shared.select("token", F.col("first.v").alias("leader"), F.col("first.n").alias("leader_n")))
-    met = scratch.cut(every.join(shared, "token").distinct())
+    shared = scratch.cut(shared.select("token", F.col("x.v").alias("leader"), F.array_distinct(F.array("x", "y", "z", "w")).alias("leaders")))
+    met = scratch.cut(every.join(shared, "token").select("token", "v", "n", "leader", "leaders").distinct())
     scratch.drop(every)
 
-    sizes = f"100 * n >= {rule.percent} * leader_n AND 100 * leader_n >= {rule.percent} * n"
-    stars = scratch.cut(met.where(f"v <> leader AND {sizes}").select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct())
+    led = met.select("v", "n", F.explode("leaders").alias("to")).where("v <> to.v")
+    led = led.where(f"100 * n >= {rule.percent} * to.n AND 100 * to.n >= {rule.percent} * n")
+    stars = scratch.cut(led.select(F.least("v", "to.v").alias("a"), F.greatest("v", "to.v").alias("b")).distinct())
     compared = _compare(scratch, stars, texts, vertices, common, rule)
     roots = scratch.cut(components(scratch, compared.where("linked").select("a", "b")))
 
