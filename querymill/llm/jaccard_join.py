@@ -24,9 +24,10 @@ from querymill.llm.components import components
 from querymill.llm.words import chunks, mix, shingle_set, words_of
 from querymill.session import Scratch
 
-COUNT_BITS = 23  # the table of counts has 2^23 places, whatever the corpus
-COUNT_BLOCK = 1 << 15
+COUNT_BITS = 21  # the table of counts has 2^21 places, whatever the corpus
+COUNT_BLOCK = 1 << 13
 COUNT_AT_ONCE = 1 << 21
+HAND = 12  # members of a bucket that are compared with one another at a time
 FILTER_BITS = 1 << 23  # of the bitmap of rows whose sets are needed
 SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
@@ -120,14 +121,15 @@ def _narrow(counts: np.ndarray) -> str:
 
 
 def _prefix(shingles: np.ndarray, order: int, common: np.ndarray, rule: Rule) -> np.ndarray:
-    """The first tokens of a set in one of the orders."""
+    """The first tokens of a set in one of the orders, in that order."""
     rank = (mix(shingles ^ np.uint64(SALTS[order])) >> np.uint64(8)) | (common[shingles >> np.uint64(64 - COUNT_BITS)].astype(np.uint64) << np.uint64(56))
     k = rule.prefix(len(shingles))
-    return shingles if k >= len(shingles) else shingles[np.argpartition(rank, k - 1)[:k]]
+    first = np.arange(len(rank)) if k >= len(rank) else np.argpartition(rank, k - 1)[:k]
+    return shingles[first[np.argsort(rank[first])]]
 
 
 def _meetings(docs: DataFrame, common, rule: Rule) -> DataFrame:
-    """(token, v, n): every vertex, with its size, by the prefix tokens of its set in the first order."""
+    """(token, v, n, pos): every vertex, with its size, by the prefix tokens of its set in the first order and their places from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,9 +142,10 @@ def _meetings(docs: DataFrame, common, rule: Rule) -> DataFrame:
                         pa.array(np.concatenate(tokens).view(np.int64)),
                         pa.array(np.repeat(np.array([_key(s) for s in sets], np.int64), lengths)),
                         pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), lengths)),
-                    ], names=["token", "v", "n"])
+                        pa.array(np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in lengths])),
+                    ], names=["token", "v", "n", "pos"])
 
-    return docs.select("text").mapInArrow(run, "token long, v long, n int")
+    return docs.select("text").mapInArrow(run, "token long, v long, n int, pos int")
 
 
 def classes(scratch: Scratch, docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -183,48 +186,71 @@ def one_of_each(scratch: Scratch, docs: DataFrame, rule: Rule = Rule()) -> DataF
 
 def links(scratch: Scratch, texts: DataFrame, vertices: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, d): links between vertices, enough of them to connect every two that links connect."""
-    common = texts.sparkSession.sparkContext.broadcast(commonness(texts, rule.words))  # 2^23 bytes
+    common = texts.sparkSession.sparkContext.broadcast(commonness(texts, rule.words))  # 2^21 bytes
     every = scratch.cut(_meetings(texts, common, rule))
-    one, by = F.struct("v", "n"), F.xxhash64("v")
+    one, by = F.struct("v", "n", "pos"), F.xxhash64("v")
     shared = every.groupBy("token").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.min_by(one, by).alias("z"), F.max_by(one, by).alias("w")).where("x.v <> y.v")
     # Written, so that the members of a large bucket can be split in the join.
     shared = scratch.cut(shared.select("token", F.col("x.v").alias("leader"), F.array_distinct(F.array("x", "y", "z", "w")).alias("leaders")))
-    met = scratch.cut(every.join(shared, "token").select("token", "v", "n", "leader", "leaders").distinct())
+    met = scratch.cut(every.join(shared, "token").select("token", "v", "n", "pos", "leader", "leaders").distinct())
     scratch.drop(every)
 
-    led = met.select("v", "n", F.explode("leaders").alias("to")).where("v <> to.v")
-    led = led.where(f"100 * n >= {rule.percent} * to.n AND 100 * to.n >= {rule.percent} * n")
+    led = met.select("v", "n", "pos", F.explode("leaders").alias("to")).where("v <> to.v").where(_fits(rule, "n", "to.n", "pos", "to.pos"))
     stars = scratch.cut(led.select(F.least("v", "to.v").alias("a"), F.greatest("v", "to.v").alias("b")).distinct())
     compared = _compare(scratch, stars, texts, vertices, common, rule)
-    roots = scratch.cut(components(scratch, compared.where("linked").select("a", "b")))
+    # Twice every member is first compared with a few others of its buckets, which joins most of what links join; then all that may still link.
+    for sampled in (1, 2, 0):
+        pairs = _across(scratch, met, compared, rule, sampled)
+        new = scratch.cut(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"))
+        compared = scratch.cut(compared.unionByName(_compare(scratch, new, texts, vertices, common, rule)))
+    return compared.where("linked").select("a", "b", "d")
+
+
+def _across(scratch: Scratch, met: DataFrame, compared: DataFrame, rule: Rule, sampled: int) -> DataFrame:
+    """(a, b): pairs of members of a bucket that lie in different components and may link, by their sizes and their distances from the leader.
 
+    ``sampled``: not all of them; a bucket is dealt, by a hash of that number, into hands of about HAND members, and pairs come from within a hand.
+    """
+    roots = scratch.cut(components(scratch, compared.where("linked").select("a", "b")))
+    known = compared.select(F.col("a").alias("leader"), F.col("b").alias("v"), "d")
     placed = scratch.cut(
-        met.join(roots, F.col("v") == F.col("node"), "left")
-        .join(compared.select(F.col("a").alias("leader"), F.col("b").alias("v"), "d"), ["leader", "v"], "left")
-        .select("token", "v", "n", F.coalesce("root", "v").alias("root"), F.when(F.col("v") == F.col("leader"), 0.0).otherwise(F.col("d")).alias("d"))
+        met.select("token", "v", "n", "pos", "leader").join(roots, F.col("v") == F.col("node"), "left").join(known, ["leader", "v"], "left")
+        .select("token", "v", "n", "pos", F.coalesce("root", "v").alias("root"), F.when(F.col("v") == F.col("leader"), 0.0).otherwise(F.col("d")).alias("d"))
     )
-    # Where only one component meets, nothing is left to compare. Elsewhere the components that meet are compared
-    # first, by the sizes of their members and their distances from the leader; members only where these allow a link.
-    mixed = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    open_ = scratch.cut(placed.join(scratch.cut(mixed), "token", "left_semi"))
-    reach = 1 - rule.percent / 100 + 1e-9
-    groups = scratch.cut(open_.groupBy("token", "root").agg(
-        F.min("n").alias("n0"), F.max("n").alias("n1"), F.min(F.coalesce("d", F.lit(0.0))).alias("d0"), F.max(F.coalesce("d", F.lit(1.0))).alias("d1")
-    ))
-    x, y = groups.alias("x"), groups.alias("y")
-    may = scratch.cut(x.join(y, F.expr(
-        f"x.token = y.token AND x.root < y.root AND 100 * x.n1 >= {rule.percent} * y.n0 AND 100 * y.n1 >= {rule.percent} * x.n0 "
-        f"AND x.d0 <= y.d1 + {reach} AND y.d0 <= x.d1 + {reach}"
-    )).select(F.expr("x.token AS token"), F.expr("x.root AS ra"), F.expr("y.root AS rb")))
-    u = open_.select("token", F.col("root").alias("ra"), F.col("v").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"))
-    w = open_.select("token", F.col("root").alias("rb"), F.col("v").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"))
-    pairs = may.join(u, ["token", "ra"]).join(w, ["token", "rb"]).where(
-        f"100 * na >= {rule.percent} * nb AND 100 * nb >= {rule.percent} * na AND (da IS NULL OR db IS NULL OR abs(da - db) <= {reach})"
+    # Where only one component meets, nothing is left to compare.
+    mixed = scratch.cut(placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token"))
+    open_ = scratch.cut(placed.join(mixed, "token", "left_semi"))
+    reach, p = 1 - rule.percent / 100 + 1e-9, rule.percent
+    if sampled:
+        hands = scratch.cut(open_.groupBy("token").agg(F.greatest(F.lit(1), F.floor(F.count("*") / HAND)).alias("hands")))
+        dealt = open_.join(hands, "token").withColumn("hand", F.pmod(F.xxhash64(F.lit(sampled), "token", "v"), F.col("hands")))
+        side = [dealt.select("token", "hand", F.col("root").alias(f"r{s}"), F.col("v").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("d").alias(f"d{s}")) for s in "ab"]
+        met_twice = side[0].join(side[1], ["token", "hand"]).where("ra < rb")
+    else:
+        groups = scratch.cut(open_.groupBy("token", "root").agg(
+            F.min("pos").alias("p0"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min(F.coalesce("d", F.lit(0.0))).alias("d0"), F.max(F.coalesce("d", F.lit(1.0))).alias("d1"),
+        ))
+        x, y = groups.alias("x"), groups.alias("y")
+        may = scratch.cut(x.join(y, F.expr(
+            f"x.token = y.token AND x.root < y.root AND 100 * x.n1 >= {p} * y.n0 AND 100 * y.n1 >= {p} * x.n0 AND x.d0 <= y.d1 + {reach} AND y.d0 <= x.d1 + {reach} "
+            f"AND (100 + {p}) * (x.n1 + 1 - x.p0) >= {p} * (x.n0 + y.n0) AND (100 + {p}) * (y.n1 + 1 - y.p0) >= {p} * (x.n0 + y.n0)"
+        )).select(F.expr("x.token AS token"), F.expr("x.root AS ra"), F.expr("y.root AS rb")))
+        side = [open_.select("token", F.col("root").alias(f"r{s}"), F.col("v").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("d").alias(f"d{s}")) for s in "ab"]
+        met_twice = may.join(side[0], ["token", "ra"]).join(side[1], ["token", "rb"])
+    fits = met_twice.where(_fits(rule, "na", "nb", "pa", "pb")).where(f"coalesce(abs(da - db) <= {reach}, true)")
+    return fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _fits(rule: Rule, n: str, m: str, i: str, j: str) -> str:
+    """Whether sets of n and m tokens may link through a token that is i-th of the one and j-th of the other.
+
+    Linked sets share at least p * (n + m) / (100 + p) tokens; before the first that they share neither has more than it can spare.
+    """
+    p = rule.percent
+    return (
+        f"100 * {n} >= {p} * {m} AND 100 * {m} >= {p} * {n} "
+        f"AND (100 + {p}) * ({n} + 1 - {i}) >= {p} * ({n} + {m}) AND (100 + {p}) * ({m} + 1 - {j}) >= {p} * ({n} + {m})"
     )
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = scratch.cut(pairs.join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    late = _compare(scratch, pairs, texts, vertices, common, rule)
-    return compared.where("linked").select("a", "b", "d").unionByName(late.where("linked").select("a", "b", "d"))
 
 
 def _whole_sets(texts: DataFrame, wanted: DataFrame, common, rule: Rule) -> DataFrame:
