@@ -145,7 +145,8 @@ def estimates(scratch: Scratch, docs: DataFrame) -> DataFrame:
         scratch.drop(fitted, moments)
         fitted = moved
     scratch.drop(sound, rows)
-    return keys.join(fitted, "key").select("group", "centre", "precision")
+    # Written, so that Spark sees how small it is, and texts need no shuffle to meet it.
+    return scratch.cut(keys.join(fitted, "key").select("group", "centre", "precision"))
 
 
 def _keys(sound: DataFrame) -> DataFrame:
