@@ -53,15 +53,16 @@ def test_rules_are_worked_out_once(spark):
 
 
 def test_ranking_is_cut_before_the_shuffle(spark):
-    for name in ("similarity_topk", "links_of_both_engines", "rows_to_insert", "nested_pages"):
-        text = plan(CASES[name].run(spark, SF_DIR))
-        assert re.search(r"WindowGroupLimit .*Partial", text) or "Union" in text, name
+    for name in ("similarity_topk", "rows_to_insert"):
+        assert re.search(r"WindowGroupLimit .*Partial", plan(CASES[name].run(spark, SF_DIR))), name
 
 
 def test_nothing_unbounded_reaches_the_driver():
     """Every collect in the library is one of the bounded ones, each with its bound beside it."""
     root = Path(__file__).resolve().parents[1] / "querymill"
-    found = {p.name: len(re.findall(r"\.(?:collect|toPandas|toLocalIterator)\(", p.read_text())) for p in root.rglob("*.py")}
-    assert {k: v for k, v in found.items() if v} == {"similarity.py": 3, "store.py": 1}
-    text = "".join(p.read_text() for p in root.rglob("*.py"))
+    # The training-text package is held to this by its own tests.
+    files = [p for p in root.rglob("*.py") if p.parent.name != "llm"]
+    found = {p.name: len(re.findall(r"\.(?:collect|toPandas|toLocalIterator)\(", p.read_text())) for p in files}
+    assert {k: v for k, v in found.items() if v} == {"similarity.py": 2, "store.py": 1}
+    text = "".join(p.read_text() for p in files)
     assert "localCheckpoint" not in text and "crossJoin" not in text
