@@ -90,6 +90,7 @@ def fold(word: Column, ranks: Lookup) -> Column:
     single = F.split(word, "")
     pairs = F.transform(F.slice(single, 2, F.size(single)), lambda second, i: rank(F.concat(F.get(single, i), second)))
     start = F.struct(single.alias("pieces"), pairs.alias("known"))
+    # Words are mostly frequent or whole tokens; the fold is for the rest.
     folded = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda state: state["pieces"])
     return F.when(ranks[word].isNotNull(), F.array(ranks[word])).otherwise(F.transform(folded, lambda p: ranks[p]))
 
@@ -97,8 +98,8 @@ def fold(word: Column, ranks: Lookup) -> Column:
 def frequent(docs: DataFrame, ranks: Lookup, most: int = FREQUENT) -> dict[str, list[int]]:
     """Ids of the ``most`` most frequent words of all texts, none of them long: no more than that reaches the driver."""
     counted = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counted.where("n > 1").where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(most).select(as_bytes(F.col("word")).alias("word"))
-    return {r["word"]: r["ids"] for r in top.select("word", fold(F.col("word"), ranks).alias("ids")).collect()}
+    top = counted.where("n > 1").where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(most)
+    return {r["word"]: r["ids"] for r in top.select("word", fold(as_bytes(F.col("word")), ranks).alias("ids")).collect()}
 
 
 def with_ids(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
@@ -108,7 +109,7 @@ def with_ids(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
     """
     ranks = Lookup(read_ranks(path), "int")
     known = Lookup(frequent(docs, ranks, most), "array<int>")
-    ids = F.transform(F.transform(words(F.col("text")), as_bytes), lambda w: F.coalesce(known[w], fold(w, ranks)))
+    ids = F.transform(words(F.col("text")), lambda w: F.coalesce(known[w], _let(as_bytes(w), lambda b: fold(b, ranks))))
     return docs.withColumn("ids", F.flatten(ids))
 
 
