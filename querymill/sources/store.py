@@ -78,7 +78,12 @@ def with_keys(store: DataFrame, keys: DataFrame) -> DataFrame:
 
 def new_rows(store: DataFrame, rows: DataFrame) -> DataFrame:
     """What an insert would add: the first row of each key the store does not have."""
-    return without_keys(first_per_key(rows), store)
+    fresh = first_per_key(rows)
+    if PREFIX not in store.columns:
+        return without_keys(fresh, store)
+    # Joined on the partition column too, so that Spark can prune.
+    held = store.select(PREFIX, "query_hash")
+    return fresh.withColumn(PREFIX, hash_prefix()).join(held, [PREFIX, "query_hash"], "left_anti").select(*rows.columns)
 
 
 def not_expired(store: DataFrame, days: int | None, as_of: Column) -> DataFrame:
@@ -122,9 +127,22 @@ def delete_results(spark: SparkSession, path: str, keys: DataFrame) -> None:
     touched = [r[0] for r in lookup(store, keys).select(PREFIX).distinct().collect()]
     if not touched:
         return
-    side = f"{path}/_swap-{uuid.uuid4().hex}"
     survivors = without_keys(store.where(F.col(PREFIX).isin(touched)), keys)
-    survivors.write.partitionBy(PREFIX).parquet(f"{side}/new")
+    _swap_in(spark, path, survivors, touched)
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Rewrite every partition into as few files as their size asks for; rows stay as they are. One writer at a time."""
+    store = scan_store(spark, path)
+    # At most 256 values.
+    held = [r[0] for r in store.select(PREFIX).distinct().collect()] if PREFIX in store.columns else []
+    if held:
+        _swap_in(spark, path, store.hint("rebalance", PREFIX), held)
+
+
+def _swap_in(spark: SparkSession, path: str, rows: DataFrame, touched: list[str]) -> None:
+    side = f"{path}/_swap-{uuid.uuid4().hex}"
+    rows.write.partitionBy(PREFIX).parquet(f"{side}/new")
     files = _files(spark, path)
     for value in touched:
         part = f"{PREFIX}={value}"

@@ -25,6 +25,18 @@ def keys(df):
     return sorted(r["query_hash"] for r in df.select("query_hash").collect())
 
 
+def test_compact_keeps_rows_in_fewer_files(spark, tmp_path):
+    path = tmp_path / "store"
+    for i in range(4):
+        S.insert_results(spark, str(path), rows(spark, [f"aa{i}", f"bb{i}"]))
+    before = len(list(path.rglob("*.parquet")))
+    want = sorted(map(str, S.scan_store(spark, str(path)).drop("created_at").collect()))
+    S.compact(spark, str(path))
+    assert sorted(map(str, S.scan_store(spark, str(path)).drop("created_at").collect())) == want
+    assert len(list(path.rglob("*.parquet"))) == 2 < before
+    S.compact(spark, str(tmp_path / "absent"))
+
+
 def test_insert_delete_clear(spark, tmp_path):
     path = str(tmp_path / "store")
     assert S.scan_store(spark, path).count() == 0
