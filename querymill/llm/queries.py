@@ -77,7 +77,24 @@ def op1_url_filters(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "mined_confidence")
 
 
-@query()
+def _written(text: str) -> str:
+    """Length of a text with its control strings escaped, in SQL."""
+    marks = f"coalesce(list_sum(list_transform(regexp_extract_all({text}, '#{{3,}}'), lambda x: length(x) - 2)), 0)"
+    return f"(2 * length({text}) - length(replace({text}, chr(92), '')) + (length({text}) - length(replace({text}, '</turn>', ''))) // 7 + {marks})"
+
+
+SAID = "chr(92) || '### Assistant: </turn> ok'"
+TURNS = f"""
+said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', {SAID} UNION ALL SELECT -7, 1, 'assistant', {SAID})"""
+
+
+@query(f"""WITH {TURNS},
+    told AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+      sum(14 + {_written('role')} + length(role) - length(replace(role, ':', '')) + {_written('text')})::BIGINT AS formatted_chars FROM said GROUP BY conv_id)
+    SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM told""")
 def op4_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("\\### Assistant: </turn> ok")
@@ -90,7 +107,10 @@ def op5_winnowing(spark, sf_dir):
     return winnowing.compare_edited(Scratch(spark), table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query("""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM d""")
 def op8_warc(spark, sf_dir):
     records = warc.archive_and_read(Scratch(spark), table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
