@@ -137,7 +137,7 @@ def estimates(scratch: Scratch, docs: DataFrame) -> DataFrame:
     keys = scratch.cut(_keys(sound))
     # Plain tables on both sides, so that the rows of a large group can be split.
     rows = scratch.cut(sound.join(keys, "group").select("key", *[f"x{i}" for i in range(DIMS)]))
-    fitted = scratch.cut(_start(rows))
+    fitted = scratch.cut(_start(scratch, rows))
     for step in range(STEPS + 1):
         last = step == STEPS
         moments = scratch.cut(_binned(rows, fitted))
@@ -163,10 +163,11 @@ def _keys(sound: DataFrame) -> DataFrame:
     )
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _start(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """Medians, and deviations from them as a diagonal covariance."""
     values = rows.select("key", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"x{i}").alias("v")) for i in range(DIMS)])).alias("c")).select("key", "c.*")
     centre = _medians(values).groupBy("key").agg(F.array_agg(F.struct("dim", "m")).alias("a")).select("key", F.array_sort("a")["m"].alias("centre"))
+    centre = scratch.cut(centre)  # a plain table, so that the rows of a large group can be split
     away = values.join(centre, "key").select("key", "dim", F.abs(F.col("v") - F.get("centre", F.col("dim"))).alias("v"))
     spread = _medians(away).groupBy("key").agg(F.array_agg(F.struct("dim", "m")).alias("a")).select("key", F.array_sort("a")["m"].alias("spread"))
     least = F.array(*map(F.lit, LEAST_SPREAD))

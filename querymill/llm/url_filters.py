@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from querymill.session import Scratch
+from querymill.session import Scratch, cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK, ALLOW = "block", "allow"
@@ -93,7 +93,8 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
         distinct.select("url", F.explode(tokens(F.col("url"))).alias("token")).join(index, "token")
         .groupBy("url", "rule", "confidence", "needed").agg(F.count("*").alias("found")).where("found = needed")
     )
-    best = hits.groupBy("url").agg(F.min(F.struct((-F.col("confidence")).alias("order"), "rule")).alias("best"))
+    # Written, so that the rows of a URL that very many pages share can be split in the join.
+    best = cut(hits.groupBy("url").agg(F.min(F.struct((-F.col("confidence")).alias("order"), "rule")).alias("best")))
     return urls.join(best, "url", "left").select(
         *[f"`{c}`" for c in urls.columns], F.col("best.rule").alias("mined_rule"), (-F.col("best.order")).alias("mined_confidence")
     )
