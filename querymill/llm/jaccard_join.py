@@ -27,7 +27,8 @@ from querymill.session import Scratch
 COUNT_BITS = 21  # the table of counts has 2^21 places, whatever the corpus
 COUNT_BLOCK = 1 << 13
 COUNT_AT_ONCE = 1 << 21
-HAND = 12  # members of a bucket that are compared with one another at a time
+SMALL = 200_000  # rows of two numbers that are broadcast, at most: a few megabytes
+HAND = 32  # members of a bucket that are compared with one another at a time
 FILTER_BITS = 1 << 23  # of the bitmap of rows whose sets are needed
 SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
@@ -284,7 +285,12 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, common, rule: Rule) -> Data
                 ], names=["row", "v", "n", "orders", "tokens"])
 
     keyed = texts.select(F.xxhash64("doc_id", "text").alias("row"), "text")
-    return keyed.mapInArrow(run, "row long, v long, n int, orders array<binary>, tokens binary").join(wanted, ["row", "v"]).drop("row")
+    return keyed.mapInArrow(run, "row long, v long, n int, orders array<binary>, tokens binary").join(_carried(wanted), ["row", "v"]).drop("row")
+
+
+def _carried(pairs: DataFrame) -> DataFrame:
+    """A written table of two numbers a row: broadcast if it has no more than SMALL rows, which spares the shuffle of whole sets; else as it is."""
+    return F.broadcast(pairs) if pairs.count() <= SMALL else pairs
 
 
 def _compare(scratch: Scratch, pairs: DataFrame, texts: DataFrame, vertices: DataFrame, common, rule: Rule) -> DataFrame:
@@ -298,9 +304,9 @@ def _compare(scratch: Scratch, pairs: DataFrame, texts: DataFrame, vertices: Dat
     sets = scratch.cut(_whole_sets(texts, wanted, common, rule))
 
     def with_both(pairs, *names):
-        for side in ("b", "a"):
-            pairs = pairs.join(sets.select(F.col("v").alias(side), *[F.col(n).alias(f"{n}_{side}") for n in names]), side)
-        return pairs
+        carried = _carried(pairs)
+        a, b = (carried.join(sets.select(F.col("v").alias(s), *[F.col(n).alias(f"{n}_{s}") for n in names]), s) for s in "ab")
+        return a.join(b, ["a", "b"])
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +328,8 @@ def _compare(scratch: Scratch, pairs: DataFrame, texts: DataFrame, vertices: Dat
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(distances, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "d", "linked"])
 
     sifted = scratch.cut(with_both(pairs, "n", "orders").mapInArrow(sift, "a long, b long, passed boolean"))
-    verified = with_both(sifted.where("passed").select("a", "b"), "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(verify, "a long, b long, d double, linked boolean")
+    passed = scratch.cut(sifted.where("passed").select("a", "b").distinct())
+    verified = with_both(passed, "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(verify, "a long, b long, d double, linked boolean")
     parted = sifted.where("NOT passed").select("a", "b", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked"))
     compared = scratch.cut(verified.unionByName(parted).distinct())
     scratch.drop(sets, wanted, sifted)
