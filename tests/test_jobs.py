@@ -174,6 +174,26 @@ def test_steady_repeats_come_again_after_the_horizon(spark, tmp_path):
     assert got == [("a", 1), ("a", 10), ("clock", 16)]
 
 
+def kept_of_batches(spark, tmp_path, batches, horizon):
+    feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    schema = "query_hash string, ts timestamp"
+    for batch in batches:
+        spark.createDataFrame([(key, dt.datetime(2024, 1, day)) for key, day in batch], schema).coalesce(1).write.mode("append").parquet(feed)
+        job = suppress_repeats(spark.readStream.schema(schema).parquet(feed), horizon)
+        job.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    return sorted((r["query_hash"], r["ts"].day) for r in spark.read.parquet(out).collect())
+
+
+def test_a_late_row_does_not_hide_a_timely_one(spark, tmp_path):
+    got = kept_of_batches(spark, tmp_path, [[("clock", 14)], [("h", 9), ("h", 17)]], "4 days")
+    assert got == [("clock", 14), ("h", 17)]
+
+
+def test_repeats_of_a_hot_hash_move_the_watermark_on(spark, tmp_path):
+    batches = [[("a", 1)] + [("a", 16)] * 50, [("a", 17)], [("a", 18)]]
+    assert kept_of_batches(spark, tmp_path, batches, "4 days") == [("a", 1), ("a", 17)]
+
+
 def test_stream_drops_late_rows_and_repeats(spark, tmp_path):
     schema = "outcome string, status string, pages_scraped int, execution_time double, query_hash string, ts timestamp"
     rows = [("miss", "valid", 1, 1.0, "a", dt.datetime(2024, 1, 1, h)) for h in (0, 1, 2, 9)]
