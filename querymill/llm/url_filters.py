@@ -1,28 +1,28 @@
 """URL filters by association rules.
 
-Frequent combinations of URL tokens that go with a label are mined from labelled URLs by FP-growth; those of enough support and
-confidence are rules. A URL meets a rule if it has all its tokens: tokens look up the rules they are in (the inverted index), and a rule that is
+Frequent combinations of URL tokens that go with a label are mined from labelled URLs, one token more at a time, wherever in the URL the
+tokens stand; those of enough support and confidence are rules. A URL meets a rule if it has all its tokens: tokens look up the rules they are in (the inverted index), and a rule that is
 found as often as it has tokens fits. Explicit rules of hosts and paths come first. All in DataFrame functions.
 """
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from querymill.session import Scratch, cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK, ALLOW = "block", "allow"
-LABEL = "label:"
 
 
 class Mining(NamedTuple):
     support: float = 0.002  # share of the labelled URLs that have the combination and the label
     urls: int = 25  # and how many of them, at least
     confidence: float = 0.5  # share of the URLs with the combination that have the label
-    tokens: int = 24  # tokens of a labelled URL that combinations are made of, from the first
+    tokens: int = 24  # has no effect: combinations are made of all tokens of a URL
     items: int = 6  # tokens of a rule, at most
 
 
@@ -70,15 +70,31 @@ def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     ``label`` is ``block`` or ``allow``; rows with another or none, and URLs without ``://``, teach nothing. No labelled rows, no
     rules. The rules are as many as the support admits, however many URLs there are.
     """
-    baskets = labelled.where(F.col("label").isin(BLOCK, ALLOW)).select(
-        F.slice(tokens(F.col("url")), 1, mining.tokens).alias("items"), "label"
-    ).where("size(items) > 0").select(F.concat("items", F.array(F.concat(F.lit(LABEL), "label"))).alias("items"))
-    least = max(mining.support, mining.urls / max(1, baskets.count()))
+    known = labelled.where(F.col("label").isin(BLOCK, ALLOW)).select(F.array_sort(tokens(F.col("url"))).alias("items"), (F.col("label") == BLOCK).cast("long").alias("bad"))
+    # URLs of the same tokens are one row with their number: numbers in paths are no tokens, so there are far fewer.
+    baskets = cut(known.where("size(items) > 0").groupBy("items").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")))
+    total = baskets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(mining.support, mining.urls / max(1, total))
     if least > 1:
         return baskets.sparkSession.createDataFrame([], "items array<string>, confidence double, support double, rule string")
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=mining.confidence).fit(baskets)
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(LABEL + BLOCK))).where(F.size("antecedent") <= mining.items)
-    return found.select(F.array_sort("antecedent").alias("items"), "confidence", "support").withColumn("rule", F.array_join("items", " "))
+    enough = f"bad >= {math.ceil(least * total)}"
+    # A token that is too rare with the label is in no combination that is not.
+    single = baskets.select("items", "n", "bad", F.explode("items").alias("token"))
+    frequent = cut(single.groupBy("token").agg(F.sum("bad").alias("bad")).where(enough).select("token"))
+    short = single.join(frequent, "token").groupBy("items", "n", "bad").agg(F.array_sort(F.collect_set("token")).alias("rest"))
+    # Each row is a combination and what follows it in the order of a basket's tokens.
+    at = cut(short.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).select(F.array().cast("array<string>").alias("items"), "rest", "n", "bad"))
+    levels = []
+    for _ in range(mining.items):
+        longer = at.select("items", "rest", "n", "bad", F.posexplode("rest").alias("i", "token")).select(
+            F.concat("items", F.array("token")).alias("items"), F.slice("rest", F.col("i") + 2, F.size("rest")).alias("rest"), "n", "bad"
+        )
+        levels.append(cut(longer.groupBy("items").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(enough)))
+        at = cut(longer.where("size(rest) > 0").join(levels[-1].select("items"), "items", "left_semi").groupBy("items", "rest").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+        if at.isEmpty():
+            break
+    counted = reduce(DataFrame.unionByName, levels).withColumns({"confidence": F.col("bad") / F.col("n"), "support": F.col("bad") / F.lit(total)})
+    return counted.where(F.col("confidence") >= mining.confidence).select("items", "confidence", "support", F.array_join("items", " ").alias("rule"))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -67,6 +67,19 @@ def test_rules_are_all_frequent_and_confident_combinations(spark):
     assert want and {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_tokens_count_wherever_they_stand(spark):
+    """Only query key and fragment, behind 30 path segments of each URL's own and a deep host, tell bad URLs from good ones."""
+    deep = ".".join("abcdefgh")
+    rows = [(f"http://{deep}/" + "/".join(f"{'xyzuvw'[j % 6] * (j + 1)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for j in range(30)) + ("?bad=1#f" if i % 3 == 0 else "?ok=1"), "block" if i % 3 == 0 else "allow") for i in range(300)]
+    mining = U.Mining(0.05, 25, 0.6, items=2)
+    df = spark.createDataFrame(rows, "url string, label string")
+    rules = {r["rule"]: (r["confidence"], round(r["support"], 9)) for r in U.mine(df, mining).collect()}
+    assert rules["key:bad"] == rules["fragment"] == rules["fragment key:bad"] == (1.0, round(1 / 3, 9))
+    with Scratch(spark) as scratch:
+        judged = U.judge(scratch, df, df, (), mining).select("label", "verdict").collect()
+    assert all(r["label"] == r["verdict"] for r in judged)
+
+
 def test_verdicts(spark):
     mining = U.Mining(0.05, 25, 0.6, 24, 4)
     rows = labelled(3)
