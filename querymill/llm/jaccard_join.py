@@ -7,7 +7,8 @@ under every other order, and as many as linked sets of their sizes must share, b
 
 Texts with equal sets are one vertex. Links within a bucket are not all enumerated: every vertex is first
 compared with up to four leaders of the bucket (in small buckets those are all pairs), and what this settles (same component, or too far apart by the triangle inequality, which
-Jaccard distance obeys) is not compared again. No link between components is lost.
+Jaccard distance obeys) is not compared again. No link between components is lost. Where links are counted, all pairs of a bucket that the
+filters leave are settled instead, those inside a component too.
 
 Tokens and sets are 64-bit hashes; two different ones share a value with a chance of one in 2^64.
 """
@@ -149,9 +150,11 @@ def _meetings(docs: DataFrame, common, rule: Rule) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, v long, n int, pos int")
 
 
-def classes(scratch: Scratch, docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+def classes(scratch: Scratch, docs: DataFrame, rule: Rule = Rule(), count_links: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, row (a hash of id and text), and stays.
 
+    With ``count_links`` also n_links: how many other sets, each once however many texts have it, the text's set links with.
+
     component_id is the smallest doc_id that links reach. Texts without words, null ones among them, are linked with nothing: each
     is a component of its own. A row without an id keeps its links: its component_id is that of its component, or null if
     no row of it has an id. Rows that share an id are rows like any others. Words are folded A-Z. ``stays`` marks one text
@@ -161,17 +164,22 @@ def classes(scratch: Scratch, docs: DataFrame, rule: Rule = Rule()) -> DataFrame
     seen = scratch.cut(with_sets(texts.withColumn("row", F.xxhash64("doc_id", "text")), rule.words))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row"))
     vertices = scratch.cut(seen.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("v")).agg(first.alias("first")))
-    linked = links(scratch, texts, vertices.select("v", "first.row"), rule)
+    linked = links(scratch, texts, vertices.select("v", "first.row"), rule, every=count_links)
     roots = scratch.cut(components(scratch, linked))
     rooted = scratch.cut(vertices.join(roots, F.col("v") == F.col("node"), "left").select("v", "first", F.coalesce("root", "v").alias("root")))
     chosen = scratch.cut(rooted.groupBy("root").agg(F.min("first").alias("chosen")))
     # Written, so that the rows of a large class or component can be split in the joins.
     named = scratch.cut(rooted.select("v", "root").join(chosen, "root").select("v", "chosen"))
+    counted = []
+    if count_links:
+        ends = linked.select(F.col("a").alias("v")).unionByName(linked.select(F.col("b").alias("v")))
+        named = scratch.cut(named.join(scratch.cut(ends.groupBy("v").agg(F.count("*").alias("n_links"))), "v", "left"))
+        counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     alone = F.col("set_key").isNull()
     return seen.join(named, F.col("set_key") == F.col("v"), "left").select(
         "doc_id", F.col("set_size").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("chosen.doc_id")).alias("component_id"),
-        "row", (alone | (F.col("row") == F.col("chosen.row"))).alias("stays"),
+        "row", (alone | (F.col("row") == F.col("chosen.row"))).alias("stays"), *counted,
     )
 
 
@@ -185,8 +193,8 @@ def one_of_each(scratch: Scratch, docs: DataFrame, rule: Rule = Rule()) -> DataF
     return docs.withColumn(row, F.xxhash64("doc_id", "text")).join(staying, row, "left_semi").dropDuplicates([row]).select(*[f"`{n}`" for n in names])
 
 
-def links(scratch: Scratch, texts: DataFrame, vertices: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, d): links between vertices, enough of them to connect every two that links connect."""
+def links(scratch: Scratch, texts: DataFrame, vertices: DataFrame, rule: Rule, every: bool = False) -> DataFrame:
+    """(a, b): links between vertices, each once: enough of them to connect every two that links connect, or every one."""
     common = texts.sparkSession.sparkContext.broadcast(commonness(texts, rule.words))  # 2^21 bytes
     every = scratch.cut(_meetings(texts, common, rule))
     one, by = F.struct("v", "n", "pos"), F.xxhash64("v")
@@ -199,12 +207,35 @@ def links(scratch: Scratch, texts: DataFrame, vertices: DataFrame, rule: Rule) -
     led = met.select("v", "n", "pos", F.explode("leaders").alias("to")).where("v <> to.v").where(_fits(rule, "n", "to.n", "pos", "to.pos"))
     stars = scratch.cut(led.select(F.least("v", "to.v").alias("a"), F.greatest("v", "to.v").alias("b")).distinct())
     compared = _compare(scratch, stars, texts, vertices, common, rule)
+    if every:
+        pairs = _within(scratch, met, compared, rule)
+        new = scratch.cut(pairs.where("NOT sure").select("a", "b"))
+        more = _compare(scratch, new, texts, vertices, common, rule)
+        return scratch.cut(compared.unionByName(more).where("linked").select("a", "b").unionByName(pairs.where("sure").select("a", "b")))
     # Twice every member is first compared with a few others of its buckets, which joins most of what links join; then all that may still link.
     for sampled in (1, 2, 0):
         pairs = _across(scratch, met, compared, rule, sampled)
         new = scratch.cut(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"))
         compared = scratch.cut(compared.unionByName(_compare(scratch, new, texts, vertices, common, rule)))
-    return compared.where("linked").select("a", "b", "d")
+    return compared.where("linked").select("a", "b")
+
+
+def _within(scratch: Scratch, met: DataFrame, compared: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, sure): all pairs of members of a bucket that are not compared yet and may link, by sizes, places and the distances from their leaders.
+
+    ``sure``: they do link, as both lie so near one leader that the triangle inequality leaves no doubt.
+    """
+    known = compared.select(F.col("a").alias("leader"), F.col("b").alias("v"), "d")
+    placed = scratch.cut(
+        met.select("token", "v", "n", "pos", "leader").join(known, ["leader", "v"], "left")
+        .select("token", "v", "n", "pos", F.when(F.col("v") == F.col("leader"), 0.0).otherwise(F.col("d")).alias("d"))
+    )
+    side = [placed.select("token", F.col("v").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("d").alias(f"d{s}")) for s in "ab"]
+    reach = 1 - rule.percent / 100
+    fits = side[0].join(side[1], "token").where("a < b").where(_fits(rule, "na", "nb", "pa", "pb"))
+    pairs = fits.groupBy("a", "b").agg(F.max(F.expr("abs(da - db)")).alias("least"), F.min(F.expr("da + db")).alias("most"))
+    pairs = pairs.where(f"coalesce(least <= {reach + 1e-9}, true)").select("a", "b", F.expr(f"coalesce(most <= {reach - 1e-9}, false)").alias("sure"))
+    return scratch.cut(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"))
 
 
 def _across(scratch: Scratch, met: DataFrame, compared: DataFrame, rule: Rule, sampled: int) -> DataFrame:

@@ -51,7 +51,7 @@ def op7_quality_rules(spark, sf_dir):
 def op2_jaccard_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rule = jaccard_join.Rule(words=4, percent=85)
-    return jaccard_join.classes(Scratch(spark), docs, rule).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.classes(Scratch(spark), docs, rule, count_links=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 @query()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from querymill.llm import components as C, jaccard_join as J
 from querymill.session import Scratch
-from tests.llm.helpers import ODD, components, multiset
+from tests.llm.helpers import ODD, components, multiset, shingles
 
 
 def run(spark, rows, rule):
@@ -50,6 +50,31 @@ def test_no_link_across_components_is_lost_in_mixed_buckets(spark):
     assert run(spark, rows, rule) == multiset(components(rows, 1, 75))
 
 
+def link_counts(rows, n, percent):
+    """(doc_id, number of other sets that its set links with), all pairs compared."""
+    sets = [shingles(t, n) for _, t in rows]
+
+    def linked(a, b):
+        both = len(a & b)
+        return a != b and both and 100 * both >= percent * (len(a) + len(b) - both)
+
+    return multiset((d, sum(bool(linked(s, other)) for other in set(sets))) for (d, _), s in zip(rows, sets))
+
+
+@pytest.mark.parametrize(("seed", "rule"), [(1, J.Rule(4, 85)), (3, J.Rule(2, 60, 2))])
+def test_every_link_is_counted(spark, seed, rule):
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    near = [" ".join(edited(rng, base, rng.choice([0.003, 0.01, 0.02]))) for _ in range(60)]  # one bucket holds far more than its leaders
+    rows = corpus(seed) + list(enumerate([*near, near[0], *ODD[:6]], 1000))
+    want = link_counts(rows, rule.words, rule.percent)
+    assert max(n for _, n in want) > 10
+    with Scratch(spark) as scratch:
+        got = J.classes(scratch, spark.createDataFrame(rows, "doc_id long, text string"), rule, count_links=True).collect()
+    assert multiset((r["doc_id"], r["n_links"]) for r in got) == want
+    assert multiset((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == multiset(components(rows, rule.words, rule.percent))
+
+
 def test_odd_rows(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "one two three four five six"), (None, None), (50, "One two THREE four five six"), (50, "one two three four five six"), (3, "other text"), (3, "other text")]
     rule = J.Rule(4, 85)
