@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from querymill.llm import (
-    bpe_fold, chat_format, jaccard_join, packing, quality_rules, token_counts, toxicity, url_filters, warc, winnowing,
+    bpe_fold, chat_format, jaccard_join, packing, piece_bpe, quality_rules, token_counts, toxicity, url_filters, warc, winnowing,
 )
 from querymill.session import Scratch
 
@@ -128,6 +128,16 @@ def op10_bpe_fold(spark, sf_dir):
     return bpe_fold.encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+@query()
+def op11_piece_bpe(spark, sf_dir):
+    """Ids of every whole text, hashed, and of the text that they decode to; null and empty texts have none, repeated rows stay."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    both = piece_bpe.decode(piece_bpe.encode(docs, path, without=["text"]), path)
+    hashed = [F.sha2(c, 256).alias(n) for c, n in ((F.array_join("ids", ","), "ids_sha256"), (F.col("decoded"), "decoded_sha256"))]
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *hashed, "agrees")
+
+
 @query()
 def pipeline(spark, sf_dir):
     import corpus_pipeline
