@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from querymill.llm import (
-    bpe_fold, chat_format, jaccard_join, packing, piece_bpe, quality_rules, token_counts, toxicity, url_filters, warc, winnowing,
+    bpe_fold, chat_format, hard_negatives, jaccard_join, packing, piece_bpe, quality_rules, token_counts, toxicity, url_filters, warc, winnowing,
 )
 from querymill.session import Scratch
 
@@ -138,6 +138,20 @@ def op11_piece_bpe(spark, sf_dir):
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *hashed, "agrees")
 
 
+@query("""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, id, score FROM s WHERE same AND id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INT AS rank, n.id AS negative_id,
+      p.score AS positive_score, n.score AS negative_score
+    FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score QUALIFY rank <= 10""")
+def op13_hard_negatives(spark, sf_dir):
+    """Every seventh row gets the next label, so that some near rows are negatives; rows without a label or a sound vector take no part."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(Scratch(spark), rows.select("vec_id", "embedding", moved.alias("label")))
+
+
 @query()
 def pipeline(spark, sf_dir):
     import corpus_pipeline
