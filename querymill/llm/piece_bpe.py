@@ -2,7 +2,7 @@
 
 Every pair of neighbouring symbols that together are a piece waits on the agenda, the best score first and of equal scores the leftmost. The
 best pair is merged, its new neighbours go on the agenda, and entries whose symbols have changed meanwhile are skipped. What is left when the agenda is
-empty are the pieces; a character without a piece becomes its bytes. A word of n characters takes n log n steps.
+empty are the pieces; a character without a piece becomes its bytes. A long word of n characters takes n log n steps.
 
 Merges never cross certain places: before a space mark that follows something else, and beside characters that no longer piece holds. Both are read from
 the vocabulary. Texts are cut there, and a task remembers the ids of the words it has met.
@@ -11,6 +11,7 @@ the vocabulary. Texts are cut there, and a task remembers the ids of the words i
 import functools
 import heapq
 import re
+from array import array
 from itertools import accumulate, groupby
 
 import numpy as np
@@ -22,7 +23,9 @@ from querymill.llm.arrow import with_columns
 
 SPACE = "▁"  # how pieces write a space
 UNKNOWN = " ⁇ "  # how the library shows an unknown piece
-REMEMBERED = 400_000  # words whose ids a task keeps at a time
+REMEMBERED = 400_000  # words whose ids a task keeps; as many more, those that were met before, are given up when these are full
+SHORT = 32  # characters of a word whose agenda is a list
+NONE = float("-inf")
 LONGEST = 200  # longer words are worked out each time
 TEXTS = 512  # texts whose ids are held at once
 
@@ -59,53 +62,96 @@ class Pieces:
         letters = "".join(map(re.escape, sorted(joined)))
         self.words = re.compile(f"{SPACE}*[{letters}]+|{SPACE}+|[^{letters}{SPACE}]" if joined else f"{SPACE}+|[^{SPACE}]")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.wrong: set[str] = set()
+        if "\n" in joined:
+            raise ValueError(f"{path} has longer pieces with a line feed")
 
     def merge(self, word: str) -> list[str]:
         """The pieces of a word, and characters that are none."""
-        text, n, score = list(word), len(word), self.score
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-
-        def put(left: int, right: int) -> None:
-            both = text[left] + text[right]
-            if both in score:
-                heapq.heappush(agenda, (-score[both], left, right, both))
+        return self._merge_short(list(word)) if len(word) <= SHORT else self._merge_long(list(word))
 
+    def _merge_short(self, text: list[str]) -> list[str]:
+        """The agenda is a list of the pairs' scores in their places, in which the best is looked for."""
+        find = self.score.get
+        agenda = [find(a + b, NONE) for a, b in zip(text, text[1:])]
+        while agenda:
+            best = max(agenda)
+            if best == NONE:
+                break
+            i = agenda.index(best)
+            text[i] += text.pop(i + 1)
+            agenda.pop(i)
+            if i:
+                agenda[i - 1] = find(text[i - 1] + text[i], NONE)
+            if i < len(agenda):
+                agenda[i] = find(text[i] + text[i + 1], NONE)
+        return text
+
+    def _merge_long(self, text: list[str]) -> list[str]:
+        """The agenda is a heap, in which entries stay whose symbols have changed."""
+        n, score, push, agenda = len(text), self.score, heapq.heappush, []
         for i in range(n - 1):
-            put(i, i + 1)
+            both = text[i] + text[i + 1]
+            if both in score:
+                agenda.append((-score[both], i, i + 1, both))
+        heapq.heapify(agenda)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while agenda:
             _, left, right, both = heapq.heappop(agenda)
             if not text[left] or not text[right] or text[left] + text[right] != both:
                 continue
             text[left], text[right] = both, ""
-            after[left] = after[right]
-            if after[left] < n:
-                before[after[left]] = left
-                put(left, after[left])
-            if before[left] >= 0:
-                put(before[left], left)
+            first, next_ = before[left], after[right]
+            after[left] = next_
+            if next_ < n:
+                before[next_] = left
+                wider = both + text[next_]
+                if wider in score:
+                    push(agenda, (-score[wider], left, next_, wider))
+            if first >= 0:
+                wider = text[first] + both
+                if wider in score:
+                    push(agenda, (-score[wider], first, left, wider))
         return [t for t in text if t]
 
     def ids_of(self, word: str) -> bytes:
         found = []
         for piece in self.merge(word):
             at = self.id.get(piece)
-            found += [self.bytes[b] for b in piece.encode()] if at is None else [at]
-        return np.array(found, np.int32).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        words = self.words.findall(SPACE + text.replace(" ", SPACE))
-        new = set(words) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set(words)
-        odd = {}
+            if at is None:
+                found += [self.bytes[b] for b in piece.encode()]
+            else:
+                found.append(at)
+        return array("i", found).tobytes()
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """For each text, its ids as 32-bit integers, and whether the library gives every word of it the same ids."""
+        cut = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older, odd = self.known, self.older, {}
+        new = [w for w in set().union(*cut) if w not in known]
         for word in new:
-            (self.known if len(word) <= LONGEST else odd)[word] = self.ids_of(word)
-        return b"".join([self.known.get(w) or odd[w] for w in words] if odd else map(self.known.__getitem__, words))
+            (known if len(word) <= LONGEST else odd)[word] = older.get(word) or self.ids_of(word)
+        self.check([w for w in new if w not in older], odd)
+        look = (lambda w: odd.get(w) or known[w]) if odd else known.__getitem__
+        ids = [b"".join(map(look, words)) for words in cut]
+        return ids, [self.wrong.isdisjoint(words) for words in cut] if self.wrong else [True] * len(cut)
+
+    def check(self, words: list[str], odd: dict[str, bytes]) -> None:
+        """Let the library encode the words in one text, each after a line feed, which no longer piece holds."""
+        if not words:
+            return
+        end = self.ids_of("\n")
+        own = [odd.get(w) or self.known[w] for w in words]
+        theirs = array("i", self.library.encode("\n" + "\n".join(words), num_threads=1)).tobytes()
+        if theirs != self.ids_of(SPACE) + end + end.join(own):
+            front = len(self.ids_of(SPACE) + end)
+            for word, ids in zip(words, own):
+                found = array("i", self.library.encode("\n" + word, num_threads=1)).tobytes()
+                if found[front:] != ids:
+                    self.wrong.add(word)
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids; bytes that make no character are shown as U+FFFD, one by one."""
@@ -144,23 +190,22 @@ def _pieces(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, path: str, without=()) -> DataFrame:
-    """``docs`` (text and any others) with ids (array<int>) of each whole text, and agrees: whether the sentencepiece library gives the same.
+    """``docs`` (text and any others) with ids (array<int>) of each whole text, and agrees: whether the sentencepiece library gives the same for each of its words.
 
-    A null or empty text has no ids. Ids come from the agenda; the library only checks them, text by text within each Arrow batch.
+    A null or empty text has no ids. Ids come from the agenda; the library only checks them, all words that are new to the task in one call for a few hundred
+    texts of an Arrow batch.
     Own columns named ids or agrees are replaced; rows stay as they are, repeated ones too. ``path`` must be readable on every executor.
     """
 
     def make(batches):
         pieces = _pieces(path)
         for (texts,) in batches:
-            values, lengths, agrees = [], [], []
+            values, agrees = [], []
             for low in range(0, len(texts), TEXTS):
-                for text in texts[low:low + TEXTS].to_pylist():
-                    ids = pieces.encode(text or "")
-                    values.append(ids)
-                    lengths.append(len(ids) // 4)
-                    agrees.append(np.array(pieces.library.encode(text or "", num_threads=1), np.int32).tobytes() == ids)
-            offsets = pa.array([0, *accumulate(lengths)], pa.int32())
+                ids, same = pieces.encode([t or "" for t in texts[low:low + TEXTS].to_pylist()])
+                values += ids
+                agrees += same
+            offsets = pa.array([0, *accumulate(len(ids) // 4 for ids in values)], pa.int32())
             flat = pa.array(np.frombuffer(b"".join(values), np.int32))
             yield [pa.ListArray.from_arrays(offsets, flat), pa.array(agrees, pa.bool_())]
 

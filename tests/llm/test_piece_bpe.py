@@ -48,20 +48,32 @@ def test_null_ids_count_as_none(spark, library):
     assert {r["n"]: r["decoded"] for r in P.decode(df, PATH).collect()} == {1: "", 2: "", 3: ""}
 
 
-def test_the_best_pair_comes_first_and_of_equals_the_leftmost():
+@pytest.mark.parametrize("short", [0, P.SHORT])
+def test_the_best_pair_comes_first_and_of_equals_the_leftmost(monkeypatch, short):
+    monkeypatch.setattr(P, "SHORT", short)
     own = P.Pieces(PATH)
     own.score = {"aa": 0.0, "ab": 1.0, "aab": 0.0}
     assert own.merge("aaaab") == ["aa", "aab"] and own.merge("aaa") == ["aa", "a"] and own.merge("") == []
 
 
+def test_the_check_tells_texts_apart():
+    own = P.Pieces(PATH)
+    right = own.ids_of("▁wrong")
+    own.ids_of = lambda word, plain=own.ids_of: plain("▁other" if word == "▁wrong" else word)
+    ids, agrees = own.encode(["so wrong", "so right", "", "wrong\n\n again"])
+    assert agrees == [False, True, True, False] and right not in ids
+    assert own.encode(["right", "wrong"])[1] == [True, False]
+
+
 def test_what_is_remembered_changes_nothing(monkeypatch, library):
     monkeypatch.setattr(P, "REMEMBERED", 5)
     monkeypatch.setattr(P, "LONGEST", 3)
+    monkeypatch.setattr(P, "SHORT", 5)
     own = P.Pieces(PATH)
     for text in random_texts(3, 300):
         assert own.decode(library.encode(text)) == library.decode(library.encode(text))
-        assert own.encode(text) == b"".join(i.to_bytes(4, "little") for i in library.encode(text))
-        assert len(own.known) < 60
+        assert own.encode([text]) == ([b"".join(i.to_bytes(4, "little") for i in library.encode(text))], [True])
+        assert len(own.known) < 60 and len(own.older) < 60
 
 
 def test_registered_query_over_whole_tables(spark, library):
