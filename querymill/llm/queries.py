@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from querymill.llm import (
-    bpe_fold, chat_format, hard_negatives, jaccard_join, packing, piece_bpe, quality_rules, token_counts, toxicity, url_filters, warc, winnowing,
+    bpe_fold, chat_format, hard_negatives, jaccard_join, packing, piece_bpe, quality_rules, token_counts, toxicity, turn_trie, url_filters, warc, winnowing,
 )
 from querymill.session import Scratch
 
@@ -138,6 +138,31 @@ def op11_piece_bpe(spark, sf_dir):
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *hashed, "agrees")
 
 
+# CRC-32 of a number's decimal digits, bit by bit.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT conv_id, list(said ORDER BY turn NULLS FIRST, said.role, md5(length(said.role)::VARCHAR || ':' || said.role || ':' || said.text)) AS turns FROM t GROUP BY conv_id),
+    h AS (SELECT conv_id, turns, {CRC} % 4 AS h FROM o),
+    r AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h], []), h.turns[h + 1:]) AS turns FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+    p AS (SELECT conv_id, d, turns[1:d] AS first, d = len(turns) AS ended FROM r, unnest(range(0, len(turns) + 1)) AS u(d)),
+    n AS (SELECT first, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256,
+      CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(first[d].text, '[^\\x20\\x09-\\x0D]+')) END AS saved FROM p GROUP BY first, d),
+    k AS (SELECT first[1:d - 1] AS first, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+    c AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k USING (d, first)),
+    s AS (SELECT first[1:e] AS first, e AS d, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM c, unnest(range(0, d + 1)) AS u(e) GROUP BY ALL)
+    SELECT c.conv_id, c.d AS depth, q.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved_tokens, c.ends_sha256
+    FROM c JOIN s USING (d, first) LEFT JOIN n q ON q.d = c.d - 1 AND q.first = c.first[1:c.d - 1]""")
+def op12_turn_trie(spark, sf_dir):
+    """Each conversation begins with up to three turns of the first one of its twenty; rows without conv_id take no part, turns of one number go by role and id."""
+    scratch, conv = Scratch(spark), F.col("conv_id")
+    convs = turn_trie.sequences(table(spark, sf_dir, "conversations"))
+    rebuilt = turn_trie.with_starts_of(scratch, convs, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4, 3)
+    return turn_trie.trie(scratch, rebuilt)
+
+
 @query("""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
       FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0),
