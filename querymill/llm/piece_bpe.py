@@ -23,7 +23,7 @@ from querymill.llm.arrow import with_columns
 
 SPACE = "▁"  # how pieces write a space
 UNKNOWN = " ⁇ "  # how the library shows an unknown piece
-REMEMBERED = 400_000  # words whose ids a task keeps; as many more, those that were met before, are given up when these are full
+REMEMBERED = 250_000  # words whose ids a task keeps; as many more, those that were met before, are given up when these are full
 SHORT = 32  # characters of a word whose agenda is a list
 NONE = float("-inf")
 LONGEST = 200  # longer words are worked out each time
@@ -221,6 +221,12 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     def make(batches):
         pieces = _pieces(path)
         for (ids,) in batches:
-            yield [pa.array([pieces.decode([i for i in row or () if i is not None]) for row in ids.to_pylist()], pa.string())]
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())
+            flat = ids.flatten()
+            there = flat.is_valid().to_numpy(zero_copy_only=False)
+            flat = pc.fill_null(flat, 0).to_numpy()
+            # Row by row: the ids of a batch as Python numbers would take many times its size.
+            rows = ((flat[low:high], there[low:high]) for low, high in zip([0, *ends], ends))
+            yield [pa.array([pieces.decode(row[sound].tolist()) for row, sound in rows], pa.string())]
 
     return with_columns(tokens, ["ids"], [("decoded", "string")], make)
