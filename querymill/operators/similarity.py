@@ -1,21 +1,25 @@
 """Top-k similarity join: for each query vector, the k best stored vectors above a threshold.
 
-The answer is exact. Both sides are cut into blocks of bounded size, each pair of blocks that can
-hold a match is one group of a cogroup, and a group is one matrix product that emits at most k rows
-per query vector. Nothing is broadcast or sent to one task whole:
+Both sides are dealt into groups, and the groups make a grid: a task takes one group of queries, holds it, and streams one group of stored vectors past it, block by
+block. It keeps the k best of every query, so what leaves it depends on its queries alone. Nothing is broadcast or sent to one task whole:
 
 * copies of a vector are folded first (k smallest keys on the stored side, one row on the query
   side), so a vector shared by a third of all rows costs no more than any other;
-* on large inputs vectors are sorted into cells around sampled centres, and by the triangle
-  inequality only pairs of cells close enough to hold a match are compared;
-* blocks are split by hash of the row, so a crowded cell becomes many blocks.
+* a vector is sent to every task of its row or column of the grid, the square root of the number of tasks where both sides are alike;
+* on large inputs vectors are sorted into cells around sampled centres, groups are ranges of cells, and by the triangle
+  inequality only pairs of cells close enough to hold a match are compared; a vector goes only to tasks that have such a cell for it;
+* a crowded cell is split among groups by hash of the row.
+
+``similarity_join`` is exact. ``similarity_approximate`` looks only into the stored cells whose centres, found by k-means, are nearest to the query.
 """
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from querymill.defaults import MAX_CANDIDATES, SIMILARITY_THRESHOLD
@@ -24,14 +28,20 @@ from querymill.session import cut
 
 BLOCK_ROWS = 8192
 MAX_CELLS = 256
-# Rows of one product held at a time inside a task.
-PRODUCT_ROWS = 512
+# A task holds the queries of so many blocks.
+HELD_BLOCKS = 4
+# Rows of one product on each side.
+PRODUCT_ROWS = 1024
+# Pairs that are worth a task of their own, and that a task should not exceed.
+FEW_PAIRS, MANY_PAIRS = 1 << 20, 1 << 34
 # Scores closer than this count as equal, so that order never hangs on summation order.
 SCORE_DIGITS = 9
 # Slack for rounding when cells are ruled out.
 ANGLE_SLACK = 1e-6
+# The approximate join: k-means sees so many vectors for each cell, and a query looks into this share of all cells.
+SAMPLED_PER_CELL = 64
+PROBED_SHARE = 0.25
 
-_BLOCK = ["q_cell", "q_sub", "s_cell", "s_sub"]
 _VECTOR = ["_v1", "_v2"]
 
 
@@ -59,9 +69,80 @@ def similarity_join(
     ties go to the smallest of them. Vectors of another length than ``dim`` (default: the stored
     vectors' most common one), null, zero or non-finite vectors match nothing.
     """
-    if metric not in METRICS or score not in SCORES:
-        raise ValueError(f"metric must be one of {METRICS} and score one of {SCORES}")
-    key_type = store.schema[store_key].dataType
+    _known(metric, score)
+    sides = _sides(queries, store, query_key, store_key, query_vec, store_vec, query_seq, store_seq, k, dim)
+    cells = min(max_cells, math.ceil(sides.n_store / block_rows))
+    query, stored = sides.query.withColumn("cell", F.lit(0)), sides.store.withColumn("cell", F.lit(0))
+    counts, near = {("q", 0): sides.n_query, ("s", 0): sides.n_store}, np.ones((1, 1), dtype=bool)
+    if cells > 1:
+        centres = _centres(sides.store, cells, metric)
+        query, stored = cut(_assign(sides.query, centres, metric)), cut(_assign(sides.store, centres, metric))
+        spread = {
+            (r["side"], r["cell"]): (r["rows"], r["radius"])
+            for r in query.select(F.lit("q").alias("side"), "cell", "radius")
+            .unionByName(stored.select(F.lit("s").alias("side"), "cell", "radius"))
+            .groupBy("side", "cell")
+            .agg(F.count("*").alias("rows"), F.max("radius").alias("radius"))
+            .collect()  # at most two rows per centre
+        }
+        counts = {key: rows for key, (rows, _) in spread.items()}
+        q_radius, s_radius = ([spread.get((side, c), (0, -math.inf))[1] for c in range(len(centres))] for side in "qs")
+        gaps = _pairwise(centres, centres, metric) - np.array(q_radius)[:, None] - np.array(s_radius)
+        near = gaps <= _reach(threshold, metric, score)
+        query, stored = query.drop("radius"), stored.drop("radius")
+    found = _match(_Grid(query, stored, counts, near, block_rows), metric, score, threshold, k)
+    return _ranked(sides, found, query_key, store_key, k)
+
+
+def similarity_approximate(
+    queries: DataFrame,
+    store: DataFrame,
+    *,
+    query_key: str = "query_id",
+    store_key: str = "query_hash",
+    query_vec: str = "embedding",
+    store_vec: str = "embedding",
+    threshold: float = SIMILARITY_THRESHOLD,
+    k: int = MAX_CANDIDATES,
+    metric: str = "cosine",
+    score: str = "reference",
+    dim: int | None = None,
+    block_rows: int = BLOCK_ROWS,
+    cells: int | None = None,
+    probes: int | None = None,
+) -> DataFrame:
+    """As ``similarity_join``, but a query is compared only with the stored vectors of the ``probes`` cells nearest to it.
+
+    Every stored vector is in the cell of its nearest centre. Centres come from k-means (Spark's) over a fixed pseudo-random choice of at most SAMPLED_PER_CELL stored vectors for
+    each of ``cells`` (default: the square root of the number of stored vectors, MAX_CELLS at most). ``probes`` is by default a share (PROBED_SHARE) of all cells. Rows that
+    come out have their exact score; rows may be missing, and those of all cells are the exact join's.
+    """
+    _known(metric, score)
+    sides = _sides(queries, store, query_key, store_key, query_vec, store_vec, None, None, k, dim)
+    cells = min(MAX_CELLS, math.ceil(math.sqrt(sides.n_store))) if cells is None else cells
+    centres = _trained(sides.store, max(1, cells), metric)
+    probes = math.ceil(PROBED_SHARE * len(centres)) if probes is None else min(probes, len(centres))
+    stored = cut(_assign(sides.store, centres, metric).drop("radius"))
+    query = cut(_probed(sides.query, centres, metric, max(1, probes)))
+    counts = {
+        (r["side"], r["cell"]): r["count"]
+        for r in query.select(F.lit("q").alias("side"), "cell").unionByName(stored.select(F.lit("s").alias("side"), "cell"))
+        .groupBy("side", "cell").count().collect()  # at most two rows per centre
+    }
+    grid = _Grid(query, stored, counts, np.eye(max(1, len(centres)), dtype=bool), block_rows)
+    return _ranked(sides, _match(grid, metric, score, threshold, k), query_key, store_key, k)
+
+
+class _Sides(NamedTuple):
+    asked: DataFrame  # q_key and the identity of its vector
+    query: DataFrame  # folded: q_seq, vec and identity
+    store: DataFrame  # folded: s_key, s_seq, vec and identity
+    n_query: int
+    n_store: int
+
+
+def _sides(queries, store, query_key, store_key, query_vec, store_vec, query_seq, store_seq, k, dim) -> _Sides:
+    """Both sides without what cannot match and without copies of a vector."""
     stored = store.where(is_vector(F.col(store_vec))).select(
         F.col(store_key).alias("s_key"),
         (F.col(store_seq) if store_seq else F.lit(0)).cast("bigint").alias("s_seq"),
@@ -84,78 +165,72 @@ def similarity_join(
     copies = Window.partitionBy(*_VECTOR).orderBy("s_seq", "s_key")
     folded_store = stored.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
     folded_query = asked.select("q_seq", "vec", *_VECTOR).dropDuplicates([*_VECTOR, "q_seq"])
+    return _Sides(asked.drop("vec"), folded_query, folded_store, n_query, n_store)
+
 
-    left, right = _blocks(folded_query, folded_store, n_query, n_store, metric, score, threshold, block_rows, max_cells)
-    found = _match(left, right, key_type, metric, score, threshold, k)
+def _ranked(sides: _Sides, found: DataFrame, query_key: str, store_key: str, k: int) -> DataFrame:
+    """The best k of what the tasks found, for every query that has the vector."""
     best = Window.partitionBy(*_VECTOR, "q_seq").orderBy(F.desc(F.round("score", SCORE_DIGITS)), "s_seq", "s_key")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return (
-        asked.select("q_key", "q_seq", *_VECTOR)
-        .join(ranked, [*_VECTOR, "q_seq"])
-        .select(
-            F.col("q_key").alias(query_key), F.col("s_key").alias(store_key), "score", "distance", "rank"
-        )
+    return sides.asked.join(ranked, [*_VECTOR, "q_seq"]).select(
+        F.col("q_key").alias(query_key), F.col("s_key").alias(store_key), "score", "distance", "rank"
     )
 
 
-def _blocks(query, store, n_query, n_store, metric, score, threshold, block_rows, max_cells):
-    """Both sides with the block pairs each row takes part in."""
-    cells = min(max_cells, math.ceil(n_store / block_rows))
-    if cells <= 1:
-        # One stored block: the query side is cut by hash, the block goes to every piece of it.
-        subs, zero = max(1, math.ceil(n_query / block_rows)), F.lit(0)
-        piece = F.pmod(F.xxhash64(F.lit(7), *_VECTOR, "q_seq"), F.lit(subs)).cast("int")
-        pieces = F.explode(F.sequence(F.lit(0), F.lit(subs - 1)))
-        return (
-            query.select("*", zero.alias("q_cell"), piece.alias("q_sub"), zero.alias("s_cell"), zero.alias("s_sub")),
-            store.select("*", zero.alias("q_cell"), pieces.alias("q_sub"), zero.alias("s_cell"), zero.alias("s_sub")),
-        )
-
-    centres = _centres(store, cells, metric)
-    query, store = cut(_assign(query, centres, metric)), cut(_assign(store, centres, metric))
-    spread = {
-        (r["side"], r["cell"]): (r["rows"], r["radius"])
-        for r in query.select(F.lit("q").alias("side"), "cell", "radius")
-        .unionByName(store.select(F.lit("s").alias("side"), "cell", "radius"))
-        .groupBy("side", "cell")
-        .agg(F.count("*").alias("rows"), F.max("radius").alias("radius"))
-        .collect()  # at most two rows per centre
-    }
-    reach = _reach(threshold, metric, score)
-    gaps = _pairwise(centres, centres, metric)
-    subs = {key: max(1, math.ceil(rows / block_rows)) for key, (rows, _) in spread.items()}
-    near = [
-        (q, s)
-        for (q_side, q) in spread
-        if q_side == "q"
-        for (s_side, s) in spread
-        if s_side == "s" and gaps[q, s] - spread["q", q][1] - spread["s", s][1] <= reach
-    ]
-    session = query.sparkSession
-    # One row per pair of cells: bounded by max_cells squared, whatever the data.
-    pairs = session.createDataFrame(
-        [(q, s, subs["q", q], subs["s", s]) for q, s in near], "q_cell int, s_cell int, q_subs int, s_subs int"
-    )
+def _known(metric: str, score: str) -> None:
+    if metric not in METRICS or score not in SCORES:
+        raise ValueError(f"metric must be one of {METRICS} and score one of {SCORES}")
 
-    def own_sub(count: str, seed: int, *row):
-        return F.pmod(F.xxhash64(F.lit(seed), *row), F.col(count)).cast("int")
 
-    def others(count: str):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+class _Grid:
+    """Groups of queries by groups of stored vectors, a task for each pair that has near cells.
 
-    left = (
-        query.withColumnRenamed("cell", "q_cell")
-        .join(F.broadcast(pairs), "q_cell")
-        .withColumn("q_sub", own_sub("q_subs", 7, *_VECTOR, "q_seq"))
-        .withColumn("s_sub", others("s_subs"))
-    )
-    right = (
-        store.withColumnRenamed("cell", "s_cell")
-        .join(F.broadcast(pairs), "s_cell")
-        .withColumn("s_sub", own_sub("s_subs", 11, *_VECTOR, "s_seq", "s_key"))
-        .withColumn("q_sub", others("q_subs"))
-    )
-    return left.drop("radius", "q_subs", "s_subs"), right.drop("radius", "q_subs", "s_subs")
+    The cells of a side lie one after another, each as wide as it has rows, and are cut into groups of equal width; a row's place within its cell comes from its hash.
+    """
+
+    def __init__(self, query: DataFrame, store: DataFrame, counts: dict, near: np.ndarray, block_rows: int):
+        self.query, self.store, self.near = query, store, near
+        widths = [np.array([counts.get((side, c), 0) for c in range(len(near))]) for side in "qs"]
+        n_query, n_store = (max(1, int(w.sum())) for w in widths)
+        parallelism = query.sparkSession.sparkContext.defaultParallelism
+        tasks = max(min(parallelism, math.ceil(n_query * n_store / FEW_PAIRS)), math.ceil(n_query * n_store / MANY_PAIRS))
+        rows, least = math.ceil(math.sqrt(tasks * n_query / n_store)), math.ceil(n_query / (HELD_BLOCKS * block_rows))
+        columns = math.ceil(tasks / max(rows, least))
+        if least > rows:  # so that neither side is copied much more than the other
+            rows, columns = least, max(columns, math.ceil(least * n_store / n_query))
+        self.rows, self.columns = rows, columns
+        self.starts = [np.cumsum(w) - w for w in widths]
+        self.widths, self.sizes = widths, [math.ceil(n / groups) for n, groups in ((n_query, rows), (n_store, columns))]
+
+    def groups(self, side: int, cell: int) -> range:
+        """The groups that hold rows of a cell."""
+        start, width, size = self.starts[side][cell], self.widths[side][cell], self.sizes[side]
+        return range(int(start // size), int((start + width - 1) // size) + 1) if width else range(0)
+
+    def sent(self) -> DataFrame:
+        """(tile, side, cell, seq, s_key, vec and identity): every row, once for each task that has a near cell for it."""
+        sides = []
+        for side, (df, identity) in enumerate(((self.query, [*_VECTOR, "q_seq"]), (self.store, [*_VECTOR, "s_seq", "s_key"]))):
+            near = self.near if side == 0 else self.near.T
+            table = [
+                (cell, int(self.starts[side][cell]), int(self.widths[side][cell]), sorted({g for other in np.flatnonzero(near[cell]) for g in self.groups(1 - side, other)}))
+                for cell in range(len(near))
+            ]
+            if len(table) == 1:
+                ((_, start, width, others),) = table
+                placed = df.withColumns({"start": F.lit(start), "width": F.lit(width), "others": F.lit(others).cast("array<int>")})
+            else:
+                # One row per cell: bounded by the number of cells, whatever the data.
+                places = df.sparkSession.createDataFrame(table, "cell int, start bigint, width bigint, others array<int>")
+                placed = df.join(F.broadcast(places), "cell")
+            own = F.floor((F.col("start") + F.pmod(F.xxhash64(F.lit(7 + side), *identity), "width")) / self.sizes[side])
+            exploded = placed.withColumn("own", own).withColumn("other", F.explode("others"))
+            row, column = ("own", "other") if side == 0 else ("other", "own")
+            sides.append(exploded.select(
+                (F.col(row) * self.columns + F.col(column)).cast("int").alias("tile"), F.lit(side).alias("side"), "cell", *_VECTOR,
+                F.col("q_seq" if side == 0 else "s_seq").alias("seq"), (F.lit(None) if side == 0 else F.col("s_key")).cast(self.store.schema["s_key"].dataType).alias("s_key"), "vec",
+            ))
+        return sides[0].unionByName(sides[1])
 
 
 def _reach(threshold: float, metric: str, score: str) -> float:
@@ -201,40 +276,118 @@ def _assign(df: DataFrame, centres: np.ndarray, metric: str) -> DataFrame:
     return df.withColumn("_near", nearest("vec")).select("*", "_near.cell", "_near.radius").drop("_near")
 
 
-def _match(left, right, key_type, metric, score, threshold, k) -> DataFrame:
+def _trained(store: DataFrame, cells: int, metric: str) -> np.ndarray:
+    """Centres of ``cells`` clusters at most, of a bounded choice of the stored vectors."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    chosen = cut(store.select("vec", *_VECTOR).orderBy(F.xxhash64(F.lit(3), *_VECTOR)).limit(cells * SAMPLED_PER_CELL).select(F.col("vec").cast("array<double>").alias("vec")))
+    if not chosen.take(1):
+        return np.empty((0, 0))
+    means = KMeans(k=cells, seed=1, maxIter=10, distanceMeasure="cosine" if metric == "cosine" else "euclidean", featuresCol="features")
+    if cells == 1:
+        return _unit(np.array([chosen.first()["vec"]]), metric)
+    model = means.fit(chosen.select(array_to_vector("vec").alias("features")))
+    found = np.array(model.clusterCenters(), dtype=np.float64)
+    return _unit(found[np.abs(found).sum(axis=1) > 0], metric)
+
+
+def _probed(df: DataFrame, centres: np.ndarray, metric: str, probes: int) -> DataFrame:
+    """Each row once for each of the ``probes`` nearest centres."""
+    @F.pandas_udf("array<int>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        far = _pairwise(_unit(np.vstack(vectors.to_numpy()), metric), centres, metric)
+        return pd.Series(list(np.argsort(far, axis=1, kind="stable")[:, :probes].astype("int32")))
+
+    if not len(centres):
+        return df.withColumn("cell", F.lit(0))
+    return df.withColumn("cell", F.explode(nearest("vec")))
+
+
+class _Held:
+    """The queries of a task, and the k best stored vectors of each so far."""
+
+    def __init__(self, parts: list[pa.RecordBatch], near, metric, score, threshold, k):
+        self.rows = pa.Table.from_batches(parts).combine_chunks()
+        self.vec, self.cell, self.seq = _matrix(self.rows.column("vec"), metric), self.rows.column("cell").to_numpy(), self.rows.column("seq").to_numpy()
+        self.near, self.metric, self.score, self.threshold, self.k = near, metric, score, threshold, k
+        self.least = np.full(len(self.vec), -np.inf)  # the rounded score that a further match must exceed
+        self.met = 0
+        self.best = pd.DataFrame({"q": np.empty(0, np.int64), "rounded": np.empty(0), "at": np.empty(0, np.int64), "score": np.empty(0), "distance": np.empty(0), "s_seq": np.empty(0, np.int64), "s_key": []})
+
+    def take(self, batch: pa.RecordBatch) -> None:
+        """Stored vectors come by sequence number and key, so of equal scores the one met first wins."""
+        vec, cell, seq = _matrix(batch.column("vec"), self.metric), batch.column("cell").to_numpy(), batch.column("seq").to_numpy()
+        found = []
+        for c in np.unique(cell):
+            theirs, ours = np.flatnonzero(cell == c), np.flatnonzero(self.near[self.cell, c])
+            for low in range(0, len(ours), PRODUCT_ROWS):
+                found.append(self._product(ours[low:low + PRODUCT_ROWS], theirs, vec, seq))
+        q, s, value, distance = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 4
+        if len(q):
+            keys = batch.column("s_key").take(pa.array(s)).to_pylist()
+            new = pd.DataFrame({"q": q, "rounded": np.round(value, SCORE_DIGITS), "at": s + self.met, "score": value, "distance": distance, "s_seq": seq[s], "s_key": pd.Series(keys, dtype=object)})
+            every = pd.concat([self.best, new], ignore_index=True) if len(self.best) else new
+            order = np.lexsort((every["at"], -every["rounded"], every["q"]))
+            every = every.iloc[order]
+            owner = every["q"].to_numpy()
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            self.least[owner[place == self.k - 1]] = every["rounded"].to_numpy()[place == self.k - 1]
+            self.best = every[place < self.k]
+        self.met += len(batch)
+
+    def _product(self, ours, theirs, vec, seq):
+        asked, stored = self.vec[ours], vec[theirs]
+        distance = 1.0 - asked @ stored.T if self.metric == "cosine" else np.maximum(_squared(asked, stored), 0.0)
+        value = np.maximum(0.0, 1.0 - distance**2 / 2.0) if self.score == "reference" else 1.0 - distance
+        wanted = (value >= self.threshold) & (value > self.least[ours, None] - 10.0**-SCORE_DIGITS) & (seq[theirs] < self.seq[ours, None])
+        i, j = np.nonzero(wanted)
+        return ours[i], theirs[j], value[i, j], distance[i, j]
+
+    def found(self, key_type: pa.DataType) -> pa.RecordBatch:
+        rows = self.rows.take(pa.array(self.best["q"].to_numpy()))
+        columns = [rows.column(c).combine_chunks() for c in (*_VECTOR, "seq")]
+        columns += [pa.array(self.best[c].to_numpy()) for c in ("s_seq", "score", "distance")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(list(self.best["s_key"]), key_type)], names=[*_VECTOR, "q_seq", "s_seq", "score", "distance", "s_key"])
+
+
+def _matrix(vectors: pa.ChunkedArray | pa.Array, metric: str) -> np.ndarray:
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    return _unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1), metric)
+
+
+def _match(grid: _Grid, metric, score, threshold, k) -> DataFrame:
+    """The k best matches of each query in each task."""
+    near = grid.near
     out = T.StructType(
         [T.StructField(c, T.LongType()) for c in [*_VECTOR, "q_seq", "s_seq"]]
         + [T.StructField(c, T.DoubleType()) for c in ("score", "distance")]
-        + [T.StructField("s_key", key_type)]
+        + [T.StructField("s_key", grid.store.schema["s_key"].dataType)]
     )
 
-    def product(q: pd.DataFrame, s: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        s = s.sort_values(["s_seq", "s_key"], kind="stable").reset_index(drop=True)
-        stored = _unit(np.vstack(s["vec"].to_numpy()), metric)
-        s_seq = s["s_seq"].to_numpy()
-        for start in range(0, len(q), PRODUCT_ROWS):
-            part = q.iloc[start : start + PRODUCT_ROWS]
-            asked = _unit(np.vstack(part["vec"].to_numpy()), metric)
-            distance = 1.0 - asked @ stored.T if metric == "cosine" else np.maximum(_squared(asked, stored), 0.0)
-            value = np.maximum(0.0, 1.0 - distance**2 / 2.0) if score == "reference" else 1.0 - distance
-            rows, cols = np.nonzero((value >= threshold) & (s_seq[None, :] < part["q_seq"].to_numpy()[:, None]))
-            kept = value[rows, cols]
-            order = np.lexsort((cols, -np.round(kept, SCORE_DIGITS), rows))
-            rows, cols, kept = rows[order], cols[order], kept[order]
-            first = np.searchsorted(rows, rows, side="left")
-            top = np.arange(len(rows)) - first < k
-            rows, cols, kept = rows[top], cols[top], kept[top]
-            hit, hits = part.iloc[rows], s.iloc[cols]
-            yield pd.DataFrame(
-                {
-                    "_v1": hit["_v1"].to_numpy(), "_v2": hit["_v2"].to_numpy(), "q_seq": hit["q_seq"].to_numpy(),
-                    "s_seq": hits["s_seq"].to_numpy(), "score": kept, "distance": distance[rows, cols],
-                    "s_key": hits["s_key"].to_numpy(),
-                }
-            )
-
-    def group(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        parts = list(product(q, s)) if len(q) and len(s) else []
-        return pd.concat(parts) if parts else pd.DataFrame({f.name: [] for f in out.fields})
-
-    return left.groupBy(*_BLOCK).cogroup(right.groupBy(*_BLOCK)).applyInPandas(group, out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, waiting, held = None, [], None
+        for batch in batches:
+            key_type = batch.schema.field("s_key").type
+            keys = batch.column("tile").to_numpy() * 2 + batch.column("side").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)] if len(keys) else []
+            for low, high in zip(cuts, cuts[1:]):
+                at, side = divmod(int(keys[low]), 2)
+                if at != tile:
+                    if held:
+                        yield held.found(key_type)
+                    tile, waiting, held = at, [], None
+                part = batch.slice(low, high - low)
+                if side == 0:
+                    waiting.append(part)
+                    continue
+                if held is None and waiting:
+                    held = _Held(waiting, near, metric, score, threshold, k)
+                for start in range(0, len(part) if held else 0, PRODUCT_ROWS):
+                    held.take(part.slice(start, PRODUCT_ROWS))
+        if held:
+            yield held.found(key_type)
+
+    sent = grid.sent().repartitionById(grid.rows * grid.columns, "tile").sortWithinPartitions("tile", "side", "seq", "s_key")
+    return sent.mapInArrow(run, out)

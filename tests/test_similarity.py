@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from querymill.functions import vectors as V
 from querymill.operators.matching import judged_matches
-from querymill.operators.similarity import similarity_join
+from querymill.operators import similarity as S
+from querymill.operators.similarity import similarity_approximate, similarity_join
 from querymill.plans.sequential import resolve_sequential
 
 
@@ -75,6 +76,71 @@ def test_join_equals_brute_force(spark, threshold, metric, score, block_rows, ce
     assert got == want
 
 
+@pytest.mark.parametrize(("n_query", "n_store", "cells"), [(300, 300, 1), (300, 300, 5), (40, 500, 1), (500, 40, 1)])
+def test_a_vector_is_sent_along_one_row_of_the_grid(spark, monkeypatch, n_query, n_store, cells):
+    """Not to every block of the other side, and the result stays the same."""
+    grids = []
+
+    class Watched(S._Grid):
+        def sent(self):
+            grids.append(self)
+            return super().sent()
+
+    monkeypatch.setattr(S, "_Grid", Watched)
+    monkeypatch.setattr(S, "MANY_PAIRS", n_query * n_store // 16)
+    monkeypatch.setattr(S, "HELD_BLOCKS", 1000 if cells == 1 else 4)
+    rng = np.random.default_rng(4)
+    queries, store = (rng.normal(size=(n, 6)).astype(np.float32) for n in (n_query, n_store))
+    q, s = frames(spark, queries, store)
+    got = collected(similarity_join(q, s, store_key="key", threshold=0.9, k=3, block_rows=n_store // cells))
+    assert got == brute(queries, store, 3, 0.9)
+    (grid,) = grids
+    tasks = grid.rows * grid.columns
+    assert tasks >= 16 and grid.sent().count() <= (n_query + n_store) * 2 * np.sqrt(tasks)
+
+
+def test_vectors_of_far_cells_are_not_sent(spark):
+    rng = np.random.default_rng(5)
+    store = np.eye(8)[rng.integers(8, size=400)] + 0.01 * rng.normal(size=(400, 8))
+    q, s = frames(spark, store[:200].astype(np.float32), store.astype(np.float32))
+    sides = S._sides(q, s, "query_id", "key", "embedding", "embedding", None, None, 3, None)
+    centres = np.eye(8)
+    query, stored = (S._assign(df, centres, "cosine").drop("radius") for df in (sides.query, sides.store))
+    counts = {(side, r["cell"]): r["count"] for side, df in (("q", query), ("s", stored)) for r in df.groupBy("cell").count().collect()}
+    near, S_FEW = np.eye(8, dtype=bool), S.FEW_PAIRS
+    try:
+        S.FEW_PAIRS = 1000
+        all_, few = (S._Grid(query, stored, counts, n, 10).sent().count() for n in (near | True, near))
+    finally:
+        S.FEW_PAIRS = S_FEW
+    assert few * 3 < all_
+
+
+def recall(approximate, exact):
+    pairs = {(q, key) for q, found in exact.items() for key, _ in found}
+    return len(pairs & {(q, key) for q, found in approximate.items() for key, _ in found}) / len(pairs)
+
+
+def test_approximate_join_finds_most(spark):
+    from workloads.similarity import means, stored
+
+    q = means(spark, "/root/testdata/sf0.01")
+    s = stored(spark, "/root/testdata/sf0.01").withColumnRenamed("store_id", "key")
+    exact, near = (collected(join(q, s, store_key="key")) for join in (similarity_join, similarity_approximate))
+    assert recall(near, exact) >= 0.9
+    # What it finds has its exact score, and all cells together give the exact result.
+    assert {k for found in near.values() for k, _ in found} and all(
+        dict(exact[i])[k] == v for i, found in near.items() for k, v in ((k, v.expected) for k, v in found) if k in dict(exact[i])
+    )
+    assert collected(similarity_approximate(q, s, store_key="key", cells=7, probes=7)) == exact
+
+
+def test_approximate_join_of_few_or_no_vectors(spark):
+    q, s = frames(spark, clustered(5, 4, 1, copies=3), clustered(4, 4, 1, copies=2))
+    assert collected(similarity_approximate(q, s, store_key="key", probes=9)) == collected(similarity_join(q, s, store_key="key"))
+    assert not collected(similarity_approximate(q, s.limit(0), store_key="key")) and not collected(similarity_approximate(q.limit(0), s, store_key="key"))
+
+
 def test_edge_vectors(spark):
     query = [1.0, 0.0]
     store = [[1, 0], [0.9, np.sqrt(1 - 0.81)], [0.4524, np.sqrt(1 - 0.4524**2)], [0.4522, np.sqrt(1 - 0.4522**2)], [0, 1], [-1, 0], [0, 0], [], None, [1, 0, 0], [float("nan"), 1]]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from querymill.functions import vectors as V
 from querymill.functions.replies import parse_verdict
 from querymill.operators.matching import judged_matches
-from querymill.operators.similarity import similarity_join
+from querymill.operators.similarity import similarity_approximate as approximate, similarity_join
 from querymill.providers import embed_hook
 from workloads.base import case, table
 
@@ -100,6 +100,12 @@ def similarity_in_blocks(spark, sf_dir):
     return found(joined)
 
 
+@case("J3 X1")
+def similarity_approximate(spark, sf_dir):
+    """The approximate join, at its defaults; it may miss matches, so there is no SQL twin. Its recall is tested against ``similarity_topk``."""
+    return found(approximate(means(spark, sf_dir), stored(spark, sf_dir), store_key="store_id"))
+
+
 def label_judge(asked: pd.Series, candidate: pd.Series) -> list[str]:
     """Stands for a model: same label is similar, surer for even labels."""
     return [
