@@ -1,18 +1,25 @@
 """Resolve queries as if they were asked one after another, each answer visible to the next.
 
-A query is a miss if no stored row and no earlier miss is similar enough, else it follows the best of
-them. That is the lexicographically first maximal independent set of the similarity graph; it is
-found in rounds, of which a random order needs O(log^2 n) (Blelloch, Fineman, Shun, SPAA 2012). The
-graph is never written down: a round only asks, per undecided query, whether any earlier undecided
-query is similar, which is a similarity join with k = 1.
+A query is a miss if no stored row and no earlier miss answers it, else it follows the best of them. Without a judge every row that is similar enough
+answers, and the misses are the lexicographically first maximal independent set of the similarity graph; it is
+found in rounds, of which a random order needs O(log^2 n) (Blelloch, Fineman, Shun, SPAA 2012). Where queries form a chain, each like the one before, rounds
+alone would settle one query at a time: there every query with a single undecided earlier neighbour points to it, pointers are doubled until they reach one
+that is settled, and the number of steps, odd or even, tells what it is. The
+graph is never written down: a round only asks, per undecided query, for two earlier undecided queries that are similar, which is a similarity join with k = 2.
+
+With a judge a query asks about its k best rows only, in their order, and which ones these are depends on what was saved before. A round settles the queries for which
+this makes no difference any more; the earliest undecided one always is.
 """
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from querymill.defaults import SIMILARITY_THRESHOLD
+from querymill.defaults import JUDGE_THRESHOLD, MAX_CANDIDATES, SIMILARITY_THRESHOLD
+from querymill.functions.replies import parse_verdict
+from querymill.operators.matching import accepts
 from querymill.operators.similarity import similarity_join
+from querymill.providers import TextHook, text_hook
 from querymill.session import cut
 
 
@@ -32,10 +39,10 @@ def resolve_sequential(
     """
     extra = {"block_rows": block_rows} if block_rows else {}
 
-    def nearest(asked: DataFrame, stored: DataFrame, store_key: str) -> DataFrame:
+    def nearest(asked: DataFrame, stored: DataFrame, store_key: str, k: int = 1) -> DataFrame:
         return similarity_join(
             asked, stored, store_key=store_key, query_seq="arrival", store_seq="seq",
-            threshold=threshold, metric=metric, score=score, k=1, **extra,
+            threshold=threshold, metric=metric, score=score, k=k, **extra,
         )
 
     rows = cut(
@@ -53,8 +60,7 @@ def resolve_sequential(
     leaders = [undecided.limit(0)]
     while undecided.take(1):
         earlier = undecided.select(F.col("query_id").alias("other_id"), "embedding", F.col("arrival").alias("seq"))
-        waiting = nearest(undecided, earlier, "other_id").select("query_id").unionByName(_repeats(undecided))
-        ready = cut(undecided.join(waiting, "query_id", "left_anti"))
+        ready = cut(undecided.join(_leaders(undecided, nearest(undecided, earlier, "other_id", k=2)), "query_id", "left_semi"))
         leaders.append(ready)
         behind = nearest(
             undecided, ready.select(F.col("query_id").alias("other_id"), "embedding", F.col("arrival").alias("seq")),
@@ -82,7 +88,137 @@ def resolve_sequential(
     )
 
 
+def _leaders(undecided: DataFrame, near: DataFrame) -> DataFrame:
+    """(query_id) of the undecided queries that are misses for certain. ``near``: for each, up to two earlier undecided ones (other_id) that are similar.
+
+    A query without one is a miss; with a single one it is what that one is not; with two, or behind another of its hash, it waits.
+    """
+    found = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("other_id").alias("only"))
+    known = undecided.select("query_id").join(found, "query_id", "left").join(_repeats(undecided).withColumn("behind", F.lit(True)), "query_id", "left")
+    free = F.col("behind").isNull()
+    single = free & F.coalesce(F.col("n") == 1, F.lit(False))
+    # Where a query's pointer leads, whether by an odd number of steps, and whether what stands there is settled; roots point to themselves.
+    steps = cut(known.select("query_id", F.when(single, F.col("only")).otherwise(F.col("query_id")).alias("up"), single.alias("odd"), (free & F.col("n").isNull()).alias("settled")))
+    while steps.where("query_id <> up").take(1):
+        next_ = steps.select(F.col("query_id").alias("up"), F.col("up").alias("far"), F.col("odd").alias("more"), F.col("settled").alias("there"))
+        jumped = cut(steps.join(next_, "up").select("query_id", F.col("far").alias("up"), (F.col("odd") != F.col("more")).alias("odd"), F.col("there").alias("settled"), (F.col("far") != F.col("up")).alias("moved")))
+        steps = jumped.drop("moved")
+        if not jumped.where("moved").take(1):
+            break
+    return steps.where("settled AND NOT odd").select("query_id")
+
+
 def _repeats(undecided: DataFrame) -> DataFrame:
     """Queries that wait for an earlier undecided one of the same hash."""
     first = cut(undecided.groupBy("query_hash").agg(F.min("arrival").alias("_first")))
     return undecided.join(first, "query_hash").where(F.col("arrival") > F.col("_first")).select("query_id")
+
+
+def resolve_sequential_judged(
+    queries: DataFrame,
+    store: DataFrame,
+    judge: TextHook,
+    *,
+    threshold: float = SIMILARITY_THRESHOLD,
+    judge_threshold: float = JUDGE_THRESHOLD,
+    k: int = MAX_CANDIDATES,
+    metric: str = "cosine",
+    score: str = "reference",
+    block_rows: int | None = None,
+) -> DataFrame:
+    """Rows (query_id, outcome, matched_hash, similarity_score, semantic_similarity).
+
+    As ``resolve_sequential``, with the texts (``query``) of both sides: a query walks its ``k`` best rows, stored or saved by an earlier miss, and follows the first that
+    the judge accepts. The judge must answer equal texts alike; it is asked once about each pair of texts.
+
+    In a round, a query's list holds its best rows that are saved for certain and, for the undecided queries before it, the first of each text. It is no miss if the judge accepts a
+    saved row that is among the first k of that list, whatever becomes of the undecided ones. It is a miss if the judge accepts none that could be
+    among the first k if the undecided ones are not saved.
+    """
+    extra = {"block_rows": block_rows} if block_rows else {}
+    listed = 2 * k + 1
+
+    def best(asked: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+        found = similarity_join(
+            asked, entries, store_key="entry", query_seq="arrival", store_seq="seq",
+            threshold=threshold, metric=metric, score=score, k=k, **extra,
+        )
+        texts = entries.select("entry", F.col("query_hash").alias("entry_hash"), F.col("query").alias("entry_query"), "saved")
+        return cut(found.join(texts, "entry").join(asked.select("query_id", "query_hash", "query"), "query_id"))
+
+    def entries_of(rows: DataFrame, kind: str, seq: Column, name: str, saved: bool) -> DataFrame:
+        key = F.concat(F.lit(kind), F.col(name).cast("string"))
+        return rows.select(key.alias("entry"), "query_hash", "query", "embedding", seq.cast("bigint").alias("seq"), F.lit(saved).alias("saved"))
+
+    rows = cut(
+        queries.select("query_id", F.col("arrival").cast("bigint").alias("arrival"), "query_hash", "query", "embedding")
+        .join(store.select("query_hash", F.lit(True).alias("_stored")), "query_hash", "left")
+    )
+    base = entries_of(store, "s", F.lit(-1), "query_hash", True)
+    verdicts = _Verdicts(judge, judge_threshold)
+    undecided = cut(rows.where(F.col("_stored").isNull()).drop("_stored"))
+    leaders = undecided.limit(0)
+    while undecided.take(1):
+        firsts = undecided.groupBy("query_hash", "query", "embedding").agg(F.min(F.struct("arrival", "query_id")).alias("_at"))
+        open_ = entries_of(firsts.select("query_hash", "query", "embedding", "_at.*"), "u", F.col("arrival"), "query_id", False)
+        entries = cut(base.unionByName(entries_of(leaders, "l", F.col("arrival"), "query_hash", True)).unionByName(open_))
+        lists = verdicts.of(best(undecided, entries, listed))
+        settled = cut(_settled(undecided, lists, k, listed))
+        new = cut(undecided.join(settled.where("miss").select("query_id"), "query_id", "left_semi"))
+        leaders = cut(leaders.unionByName(new))
+        left = undecided.join(settled.select("query_id"), "query_id", "left_anti")
+        undecided = cut(left.join(new.select("query_hash").distinct(), "query_hash", "left_anti"))
+
+    saved = leaders.select("query_hash", F.col("arrival").alias("_saved"))
+    placed = rows.join(saved, "query_hash", "left")
+    exact = F.coalesce(F.col("_stored").isNotNull() | (F.col("arrival") > F.col("_saved")), F.lit(False))
+    first = F.coalesce(F.col("arrival") == F.col("_saved"), F.lit(False))
+    asked = cut(placed.where(~exact & ~first).drop("_stored", "_saved"))
+    walked = verdicts.of(best(asked, cut(base.unionByName(entries_of(leaders, "l", F.col("arrival"), "query_hash", True))), k)).where("accepted")
+    match = walked.groupBy("query_id").agg(F.min(F.struct("rank", F.col("entry_hash").alias("matched"), "score", "confidence")).alias("_match"))
+    return placed.join(match, "query_id", "left").select(
+        "query_id",
+        F.when(exact, "exact_hit").when(first, "miss").otherwise("similar_hit").alias("outcome"),
+        F.when(exact, F.col("query_hash")).otherwise(F.col("_match.matched")).alias("matched_hash"),
+        F.col("_match.score").alias("similarity_score"), F.col("_match.confidence").alias("semantic_similarity"),
+    )
+
+
+def _settled(undecided: DataFrame, lists: DataFrame, k: int, listed: int) -> DataFrame:
+    """(query_id, miss) of the undecided queries whose list leaves no doubt."""
+    own = F.col("entry_hash") == F.col("query_hash")  # if that is saved, the query is an exact hit
+    row = F.struct("rank", "saved", "accepted")
+    walk = lists.groupBy("query_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(~own, row))).alias("list"))  # no more than ``listed``
+    start = F.expr("named_struct('place', 0, 'saved', 0, 'hit', false, 'open', false)")
+
+    def step(state: Column, entry: Column) -> Column:
+        return F.struct(
+            (state["place"] + 1).alias("place"), (state["saved"] + entry["saved"].cast("int")).alias("saved"),
+            (state["hit"] | (entry["saved"] & entry["accepted"] & (state["place"] < k))).alias("hit"),
+            (state["open"] | (entry["accepted"] & (state["saved"] < k))).alias("open"),
+        )
+
+    known = undecided.select("query_id").join(walk.select("query_id", "n", F.aggregate("list", start, step).alias("end")), "query_id", "left")
+    known = known.join(_repeats(undecided).withColumn("behind", F.lit(True)), "query_id", "left")
+    whole = F.col("n").isNull() | (F.col("n") < listed) | (F.col("end.saved") >= k)
+    miss = F.col("behind").isNull() & whole & ~F.coalesce(F.col("end.open"), F.lit(False))
+    return known.select("query_id", miss.alias("miss"), F.coalesce(F.col("end.hit"), F.lit(False)).alias("hit")).where("miss OR hit").select("query_id", "miss")
+
+
+class _Verdicts:
+    """What the judge said about pairs of texts; every pair is asked about once."""
+
+    def __init__(self, judge: TextHook, threshold: float):
+        self.hook, self.threshold, self.known = text_hook(judge), threshold, None
+
+    def of(self, lists: DataFrame) -> DataFrame:
+        """``lists`` (query, entry_query and others) with ``accepted`` and ``confidence``."""
+        pairs = lists.select("query", "entry_query").distinct()
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("query", "entry_query")]
+        if self.known is not None:
+            pairs = pairs.alias("l").join(self.known.alias("r"), same, "left_anti")
+        asked = cut(pairs).withColumn("_reply", self.hook(F.col("query"), F.col("entry_query")))
+        said = asked.withColumn("_said", parse_verdict(F.col("_reply.reply"), F.col("_reply.error")))
+        new = cut(said.select("query", "entry_query", accepts(F.col("_said"), self.threshold).alias("accepted"), F.col("_said.confidence").alias("confidence")))
+        self.known = new if self.known is None else cut(self.known.unionByName(new))
+        return cut(lists.alias("l").join(self.known.alias("r"), same).select("l.*", "r.accepted", "r.confidence"))

@@ -8,7 +8,8 @@ from querymill.functions import vectors as V
 from querymill.operators.matching import judged_matches
 from querymill.operators import similarity as S
 from querymill.operators.similarity import similarity_approximate, similarity_join
-from querymill.plans.sequential import resolve_sequential
+from querymill.plans import sequential as Q
+from querymill.plans.sequential import resolve_sequential, resolve_sequential_judged
 
 
 def clustered(n, dim, seed, copies=0):
@@ -236,3 +237,82 @@ def test_sequential_equals_loop(spark, seed, block_rows):
         for r in resolve_sequential(q, s, threshold=0.97, block_rows=block_rows).collect()
     }
     assert got == loop(rows, store, 0.97)
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_a_chain_ends_in_few_rounds(spark, monkeypatch, shuffled):
+    """1,000 queries, each like the one before only; and chains that meet where the order is another."""
+    n, rounds = 1000, []
+    plain = Q._leaders
+    monkeypatch.setattr(Q, "_leaders", lambda *a: rounds.append(1) or plain(*a))
+    angle = np.arange(n) * (1.8 * np.pi / n)
+    arrival = np.random.default_rng(6).permutation(n) if shuffled else np.arange(n)
+    q = spark.createDataFrame([(i, int(arrival[i]), f"h{i}", [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angle)], "query_id int, arrival int, query_hash string, embedding array<double>")
+    s = spark.createDataFrame([], "query_hash string, embedding array<double>")
+    step = 1.8 * np.pi / n
+    got = {r["query_id"]: r["outcome"] for r in resolve_sequential(q, s, threshold=float(np.cos(1.5 * step)), score="cosine").collect()}
+    misses = set()
+    for i in np.argsort(arrival):
+        if not misses & {i - 1, i + 1}:
+            misses.add(int(i))
+    assert {i for i, o in got.items() if o == "miss"} == misses and set(got.values()) == {"miss", "similar_hit"}
+    assert len(rounds) <= 30
+
+
+def judged_loop(queries, store, threshold, accepts, k):
+    """Asking one query after another, with a judge that walks the k best rows."""
+    saved, out = [(key, text, vec, -1) for key, text, vec in store], {}
+    for qid, key, text, vec in queries:
+        if any(key == other for other, *_ in saved):
+            out[qid] = ("exact_hit", key)
+            continue
+        near = []
+        for other, stored, v, seq in saved:
+            a, b = np.asarray(vec, float), np.asarray(v, float)
+            d = 1 - a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)
+            value = max(0.0, 1 - d * d / 2)
+            if value >= threshold:
+                near.append((-round(value, 9), seq, other, stored))
+        hit = next((other for _, _, other, stored in sorted(near)[:k] if accepts(text, stored)), None)
+        out[qid] = ("similar_hit", hit) if hit else ("miss", None)
+        if not hit:
+            saved.append((key, text, vec, qid))
+    return out
+
+
+def test_judged_sequence_equals_loop(spark, tmp_path):
+    """Twenty random inputs at once, each in dimensions of its own, so that none is near another."""
+    inputs, dim, log = 20, 3, tmp_path / "calls"
+
+    def accepts(a, b):
+        return (len(a) + len(b)) % 3 == 0
+
+    def judge(asked, stored):
+        with log.open("a") as out:
+            out.writelines(f"{a}|{b}\n" for a, b in zip(asked, stored))
+        return ['{"is_similar": %s, "confidence": 0.9}' % str((len(a) + len(b)) % 3 == 0).lower() for a, b in zip(asked, stored)]
+
+    rows, store, want = [], [], {}
+    for seed in range(inputs):
+        rng = np.random.default_rng(seed)
+
+        def placed(v):
+            return [0.0] * (dim * seed) + [float(x) for x in v] + [0.0] * (dim * (inputs - 1 - seed))
+
+        n = 30
+        vectors, forms = clustered(n, dim, seed, copies=int(rng.integers(10))), rng.integers(18, size=n)
+        mine = []
+        for i in range(n):
+            # A hash may come with several texts and vectors, as a text asked again in other case does.
+            same = forms[i] % 3 == 0
+            text = f"{seed} " + "x" * int(forms[i] if same else rng.integers(6))
+            mine.append((1000 * seed + i, f"{seed}-h{forms[i]}", text, placed(vectors[forms[i]] if same else vectors[i])))
+        kept = [(f"{seed}-s{j}", f"{seed} stored " + "y" * j, placed(v)) for j, v in enumerate(clustered(4, dim, seed))] + [(f"{seed}-h1", f"{seed} held", placed(vectors[1]))]
+        want |= judged_loop(mine, kept, 0.9, accepts, 3)
+        rows, store = rows + mine, store + kept
+    q = spark.createDataFrame([(i, i, h, t, v) for i, h, t, v in rows], "query_id int, arrival int, query_hash string, query string, embedding array<double>")
+    s = spark.createDataFrame(store, "query_hash string, query string, embedding array<double>")
+    got = {r["query_id"]: (r["outcome"], r["matched_hash"]) for r in resolve_sequential_judged(q, s, judge, threshold=0.9, k=3).collect()}
+    assert got == want and {o for o, _ in want.values()} == {"exact_hit", "similar_hit", "miss"}
+    asked = log.read_text().split("\n")[:-1]
+    assert len(asked) == len(set(asked))

@@ -6,7 +6,7 @@ from querymill.functions.text import normalize_query
 from querymill.operators.matching import similar_info
 from querymill.plans.answer import answer, ingest
 from querymill.plans.resolve import classify, embed, outcome_summary, prepare, resolve
-from querymill.plans.sequential import resolve_sequential
+from querymill.plans.sequential import resolve_sequential, resolve_sequential_judged
 from querymill.providers import embed_hook
 from querymill.sources.pages import scan_result_pages
 from querymill.sources.store import scan_store
@@ -112,17 +112,18 @@ def resolve_summary(spark, sf_dir):
 
 
 # Outcomes in order of asking: one step per query that is valid and not stored, carrying what was saved so far.
-SEQUENCE = f"""
-classed AS (SELECT query_id, arrival, query_hash, conv_id, turn, {sql_class('query')} FROM asked_hash),
-stored_v AS (SELECT stored.query_hash, e FROM stored, v WHERE vec_id = stored.n % (SELECT n FROM n)),
-opened AS (SELECT c.query_id, query_hash, mean.e AS e, row_number() OVER (ORDER BY arrival) AS step FROM classed c
+def sql_sequence(accepted: str = "true", k: int = 1) -> str:
+    return f"""
+classed AS (SELECT query_id, arrival, query, query_hash, conv_id, turn, {sql_class('query')} FROM asked_hash),
+stored_v AS (SELECT stored.query_hash, stored.query, e FROM stored, v WHERE vec_id = stored.n % (SELECT n FROM n)),
+opened AS (SELECT c.query_id, query, query_hash, mean.e AS e, row_number() OVER (ORDER BY arrival) AS step FROM classed c
   JOIN mean ON mean.query_id = (conv_id * 8 + turn) % (SELECT n FROM n)
   WHERE status <> 'invalid' AND query_hash NOT IN (SELECT query_hash FROM stored)),
 scored AS MATERIALIZED (
-  SELECT a.step, 0 AS other, b.query_hash AS hash, {COSINE.format('a.e', 'b.e')} AS d FROM opened a, stored_v b
-  UNION ALL SELECT a.step, b.step, b.query_hash, {COSINE.format('a.e', 'b.e')} FROM opened a JOIN opened b ON b.step < a.step),
-near AS MATERIALIZED (SELECT step, other, hash, greatest(0.0, 1 - d * d / 2) AS score FROM scored WHERE greatest(0.0, 1 - d * d / 2) >= 0.85),
-edges AS MATERIALIZED (SELECT step, list({{'score': score, 'hash': hash, 'other': other}} ORDER BY round(score, 9) DESC, other, hash) AS found
+  SELECT a.step, 0 AS other, b.query_hash AS hash, a.query AS asked, b.query AS stored_query, {COSINE.format('a.e', 'b.e')} AS d FROM opened a, stored_v b
+  UNION ALL SELECT a.step, b.step, b.query_hash, a.query, b.query, {COSINE.format('a.e', 'b.e')} FROM opened a JOIN opened b ON b.step < a.step),
+near AS MATERIALIZED (SELECT step, other, hash, {accepted} AS ok, greatest(0.0, 1 - d * d / 2) AS score FROM scored WHERE greatest(0.0, 1 - d * d / 2) >= 0.85),
+edges AS MATERIALIZED (SELECT step, list({{'score': score, 'hash': hash, 'other': other, 'ok': ok}} ORDER BY round(score, 9) DESC, other, hash) AS found
   FROM near GROUP BY step),
 steps AS MATERIALIZED (SELECT o.step, o.query_id, o.query_hash, coalesce(found, []) AS found FROM opened o LEFT JOIN edges USING (step)),
 walk AS (
@@ -133,23 +134,32 @@ walk AS (
     CASE kind WHEN 'exact_hit' THEN query_hash WHEN 'similar_hit' THEN best.hash END, CASE kind WHEN 'similar_hit' THEN best.score END
   FROM (SELECT *, CASE WHEN list_contains(hashes, query_hash) THEN 'exact_hit' WHEN best IS NOT NULL THEN 'similar_hit' ELSE 'miss' END AS kind
     FROM (SELECT s.step, s.query_hash, w.saved, w.hashes,
-        list_filter(s.found, lambda f: f.other = 0 OR list_contains(w.saved, f.other))[1] AS best
+        list_filter(list_filter(s.found, lambda f: f.other = 0 OR list_contains(w.saved, f.other))[1:{k}], lambda f: f.ok)[1] AS best
       FROM walk w JOIN steps s ON s.step = w.step + 1)))"""
 
 
-@case(
-    "P7",
-    f"""WITH RECURSIVE {ASKED}, {STORED}, {PAIRS}, {SEQUENCE}
-    SELECT s.query_id, outcome, matched AS matched_hash, round(score, 6) AS similarity_score FROM walk w JOIN steps s ON s.step = w.step
-    UNION ALL SELECT query_id, 'exact_hit', query_hash, NULL FROM classed
-      WHERE status <> 'invalid' AND query_hash IN (SELECT query_hash FROM stored)""",
-)
+def sql_in_sequence(semantic: str = "", **judged) -> str:
+    return f"""WITH RECURSIVE {ASKED}, {STORED}, {PAIRS}, {sql_sequence(**judged)}
+    SELECT s.query_id, outcome, matched AS matched_hash, round(score, 6) AS similarity_score{semantic and f", CASE outcome WHEN 'similar_hit' THEN {semantic} END AS semantic_similarity"}
+    FROM walk w JOIN steps s ON s.step = w.step
+    UNION ALL SELECT query_id, 'exact_hit', query_hash, NULL{semantic and ', NULL'} FROM classed
+      WHERE status <> 'invalid' AND query_hash IN (SELECT query_hash FROM stored)"""
+
+
+@case("P7", sql_in_sequence())
 def resolve_in_sequence(spark, sf_dir):
     asked = prepare(asked_with_vectors(spark, sf_dir)).where("status <> 'invalid'")
     rows = resolve_sequential(asked, store_with_vectors(spark, sf_dir))
     return rows.withColumn("similarity_score", F.round("similarity_score", 6))
 
 
+@case("P7 J4 X3", sql_in_sequence("0.95::DOUBLE", accepted="length(asked) % 2 = length(stored_query) % 2", k=5))
+def resolve_in_sequence_judged(spark, sf_dir):
+    asked = prepare(asked_with_vectors(spark, sf_dir)).where("status <> 'invalid'")
+    rows = resolve_sequential_judged(asked, store_with_vectors(spark, sf_dir), length_judge)
+    return rows.withColumn("similarity_score", F.round("similarity_score", 6))
+
+
 @case("P1 X1 X2")
 def resolve_with_hooks(spark, sf_dir):
     """Embeddings and classes come from hooks; the default embedding has no SQL twin."""
