@@ -49,9 +49,10 @@ def op7_quality_rules(spark, sf_dir):
 
 @query()
 def op2_jaccard_join(spark, sf_dir):
+    """The component of every text; texts without words are alone, equal ones together, repeated rows stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rule = jaccard_join.Rule(words=4, percent=85)
-    return jaccard_join.classes(Scratch(spark), docs, rule, count_links=True).select("doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard_join.classes(Scratch(spark), docs, rule).select("doc_id", "n_shingles", "component_id")
 
 
 @query()

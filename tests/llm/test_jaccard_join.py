@@ -75,6 +75,16 @@ def test_every_link_is_counted(spark, seed, rule):
     assert multiset((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == multiset(components(rows, rule.words, rule.percent))
 
 
+def test_components_alone_do_not_need_all_pairs_of_a_group(spark, monkeypatch):
+    rng, compared, plain = random.Random(9), [], J._compare
+    base = [f"b{i}" for i in range(150)]
+    rows = list(enumerate({" ".join(edited(rng, base, 0.01)) for _ in range(300)}))
+    monkeypatch.setattr(J, "_compare", lambda scratch, pairs, *rest: compared.append(pairs.count()) or plain(scratch, pairs, *rest))
+    monkeypatch.setattr(J, "_within", None)
+    assert run(spark, rows, J.Rule(4, 85)) == multiset(components(rows, 4, 85))
+    assert len(rows) > 150 and sum(compared) < len(rows) * (len(rows) - 1) / 2 / 4
+
+
 def test_odd_rows(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "one two three four five six"), (None, None), (50, "One two THREE four five six"), (50, "one two three four five six"), (3, "other text"), (3, "other text")]
     rule = J.Rule(4, 85)
