@@ -1,12 +1,18 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from querymill.llm import toxicity as T
 from tests.llm.helpers import LONG, ODD
 
 SF = "/root/testdata/sf0.1"
+ROOT = Path(__file__).resolve().parents[2]
 
 
 def plain_ftrl(rows, rates, bits):
@@ -51,6 +57,33 @@ def test_held_out_texts_are_told_apart(spark):
     assert np.mean(toxic) > 0.7 and np.mean(clean) < 0.01
 
 
+@pytest.mark.parametrize(("sf", "caught"), [("sf0.001", 0.5), ("sf0.01", 0.6)])
+def test_few_labels_leave_clean_texts_alone(spark, sf, caught):
+    """Of the texts that labels were learned from nearly all toxic ones are caught; of held-out ones, a handful, most."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = T.judge(docs, labels, without=["text"]).join(labels, "doc_id").select("toxic", "held_out", "predicted").collect()
+    assert np.mean([r["predicted"] for r in rows if not r["toxic"] and r["held_out"]]) < 0.05
+    assert np.mean([r["predicted"] for r in rows if r["toxic"] and not r["held_out"]]) > 0.85
+    assert np.mean([r["predicted"] for r in rows if r["toxic"] and r["held_out"]]) >= caught
+
+
+def test_executors_do_not_need_the_package(tmp_path):
+    """As the driver runs it: only the entry module finds the package, the workers do not."""
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import importlib.util, sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spec = importlib.util.spec_from_file_location("__spark_entry__", "{ROOT}/__spark_entry__.py")
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+print("rows", entry.queries()["op3_toxicity"](spark, "/root/testdata/sf0.001").count())
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 200" in done.stdout, done.stderr[-2000:]
+
+
 def test_odd_rows(spark):
     rows = [(i, t, "own") for i, t in enumerate(ODD)] + [(None, "scum idiot", None), (3, "a", "again"), (3, "a", "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
@@ -58,6 +91,7 @@ def test_odd_rows(spark):
     got = T.judge(docs, labels).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
     assert {r["doc_id"]: r["held_out"] for r in got if r["doc_id"] is not None} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(len(ODD))}
-    assert [r["score"] for r in T.judge(docs, labels.limit(0)).collect()] == [0.5] * len(rows)
+    unlabelled = T.judge(docs, labels.limit(0)).collect()
+    assert np.allclose([r["score"] for r in unlabelled], T.PRIOR) and not any(r["predicted"] for r in unlabelled)
     assert T.judge(docs.limit(0), labels).count() == 0
     assert len(LONG) > 300_000
