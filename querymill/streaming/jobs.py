@@ -1,9 +1,11 @@
 """The query feed as a stream: resolve and save, rolling counters, repeat suppression."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from querymill.operators.stats import stats_reference
 from querymill.plans.answer import answer, ingest
@@ -60,3 +62,75 @@ def suppress_repeats(feed: DataFrame, horizon: str = "7 days") -> DataFrame:
     that are no longer first of their hash, so nothing can be cut before the shuffle. All rows of a hash meet in one task.
     """
     return feed.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["query_hash"])
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SALTS = 16
+
+
+class FirstOfBatch(StatefulProcessor):
+    """The earliest row of each key in a micro-batch, of those that are not late; keeps nothing."""
+
+    def __init__(self, order: list[str]):
+        self.order = order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:  # one Arrow batch at a time
+            part = part if first is None else pd.concat([first, part])
+            first = part.sort_values(self.order, kind="stable").head(1)
+        if first is not None:
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+class OncePerHorizon(FirstOfBatch):
+    """That row, unless one of the key came out whose timer has not gone off yet."""
+
+    def __init__(self, order: list[str], horizon_ms: int):
+        super().__init__(order)
+        self.horizon_ms = horizon_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.out = handle.getValueState("out", "until long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        if self.out.exists():
+            for _ in rows:
+                pass
+            return
+        for first in super().handleInputRows(key, rows, timerValues):
+            micros = int(pd.Timestamp(first[self.order[0]].iloc[0]).value) // 1000
+            until = -(-micros // 1000) + self.horizon_ms
+            self.out.update((until,))
+            self.handle.registerTimer(until)
+            yield first
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.out.clear()
+        return iter([])
+
+
+def suppress_repeats_timed(feed: DataFrame, horizon: str = "7 days", key: str = "query_hash", order: tuple[str, ...] = (), salts: int = SALTS) -> DataFrame:
+    """As ``suppress_repeats``, with state and a timer of its own for each hash, and no hash whole in one task.
+
+    Of the rows of a hash in a micro-batch the earliest that is not late comes out (ties by the columns of ``order``), and no other until the watermark has
+    passed it by the horizon. Rows of a hash are first dealt by their content to ``salts`` keys, each of which hands on one row per micro-batch; so however
+    often a hash is asked, the task that holds its state reads no more than ``salts`` rows a batch. Late rows are told from the watermark that all rows move. ``ts`` is the
+    event time. Needs the RocksDB state store, which this sets for the session; start the result in append mode.
+    """
+    spark = feed.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    millis = int(spark.range(1).select((F.expr(f"unix_micros(timestamp_seconds(0) + INTERVAL {horizon})") / 1000).cast("long")).first()[0])
+    by = ["ts", *order]
+    names = feed.columns
+    dealt = F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int")
+    salted = feed.withWatermark("ts", horizon).withColumn("_salt", dealt)
+    few = salted.groupBy(key, "_salt").transformWithStateInPandas(FirstOfBatch(by), feed.schema, "Append", "EventTime", eventTimeColumnName="ts")
+    return few.groupBy(key).transformWithStateInPandas(OncePerHorizon(by, millis), feed.schema, "Append", "EventTime")

@@ -3,6 +3,8 @@
 import datetime as dt
 import hashlib
 import os
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from querymill.plans.answer import answer, export_json, ingest
 from querymill.plans.resolve import resolve
 from querymill.schemas import RESULT_STORE
 from querymill.sources.store import insert_results, scan_store
-from querymill.streaming.jobs import resolve_stream, rolling_counters, suppress_repeats
+from querymill.streaming.jobs import resolve_stream, rolling_counters, suppress_repeats, suppress_repeats_timed
 
 QUERIES = "query_id bigint, arrival bigint, ts timestamp, query string, embedding array<float>"
 
@@ -248,3 +250,25 @@ def test_requests_without_text_are_invalid(spark):
     rows = [(1, 1, dt.datetime(2024, 1, 1), None, [1.0, 0.0]), (2, 2, dt.datetime(2024, 1, 1), " \t", [1.0, 0.0])]
     empty = spark.createDataFrame(rows, "query_id bigint, arrival bigint, ts timestamp, query string, embedding array<float>")
     assert outcomes(resolve(empty, store(spark))) == {1: ("invalid", None), 2: ("invalid", None)}
+
+
+def test_timers_suppress_what_the_plain_operator_does(spark, tmp_path):
+    """Horizon of three days, late rows, one hot hash, batches whose rows come in order of time."""
+    rng, batches = random.Random(3), []
+    for start in range(1, 25, 4):
+        rows = [(rng.choice("abcdef"), start + rng.random() * 4) for _ in range(12)] + [("hot", start + i / 100) for i in range(300)]
+        rows += [(rng.choice("abg"), max(1.0, start - 6 + rng.random()))] * 2
+        batches.append(sorted(rows, key=lambda r: r[1]))
+    schema, feed = "query_hash string, ts timestamp", str(tmp_path / "feed")
+    got = {}
+    for name, job in (("plain", lambda f: suppress_repeats(f, "3 days")), ("timed", lambda f: suppress_repeats_timed(f, "3 days", salts=4))):
+        for i, batch in enumerate(batches):
+            if name == "plain":
+                rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(days=d)) for k, d in batch]
+                spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+                time.sleep(0.02)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(feed)
+        job(stream).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+        got[name] = sorted((r["query_hash"], r["ts"]) for r in spark.read.schema(schema).parquet(str(tmp_path / name)).collect())
+    assert got["timed"] == got["plain"]
+    assert sum(k == "hot" for k, _ in got["timed"]) > 1 and len(got["timed"]) < sum(map(len, batches)) / 10

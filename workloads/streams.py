@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from querymill.schemas import RESULT_STORE, SUMMARY as SUMMARY_TYPE
 from querymill.sources.pages import scan_result_pages
 from querymill.sources.store import insert_results, to_store_row
-from querymill.streaming.jobs import resolve_stream, rolling_counters, suppress_repeats
+from querymill.streaming.jobs import resolve_stream, rolling_counters, suppress_repeats, suppress_repeats_timed
 from workloads.base import OUTCOME_LOG, as_of, case, outcome_log, table
 from workloads.jobs import SUMMARY, asked_with_vectors, store_with_vectors
 from workloads.pages import result_pages_a
@@ -23,6 +23,15 @@ def finish(writer, spark, name):
     query.awaitTermination()
 
 
+def in_batches(rows, path, batches):
+    """The rows (batch, others) as files that a stream reads one after another, in that order."""
+    rows = rows.persist()
+    for number in range(batches):
+        rows.where(F.col("batch") == number).drop("batch").repartition(1).write.mode("append").parquet(path)
+    rows.unpersist()
+    return rows.sparkSession.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @case(
     "ST2",
     f"""WITH {OUTCOME_LOG}, w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS b FROM outcomes),
@@ -51,6 +60,35 @@ def repeats_suppressed(spark, sf_dir):
     return spark.read.schema(feed.schema).parquet(path).select("query_hash")
 
 
+# Six micro-batches of five days; every fiftieth event comes a batch late, and a third of all events are of one hash. A batch drops what is late by the watermark
+# of the batch before it, and forgets at its end what its own watermark has passed.
+IN_BATCHES = """
+feed AS (SELECT ts, CASE WHEN event_id % 3 = 0 THEN sha256('hot') ELSE sha256(user_id::VARCHAR) END AS query_hash,
+  (event_id + CASE WHEN event_id % 50 = 7 THEN n // 5 ELSE 0 END) * 5 // n AS batch FROM events, (SELECT count(*) AS n FROM events)),
+marks AS (SELECT b.batch, coalesce((SELECT max(epoch_ms(ts)) FROM feed f WHERE f.batch < b.batch) - 259200000, 0) AS mark FROM (SELECT DISTINCT batch FROM feed) b),
+first AS (SELECT f.batch, query_hash, min(ts) AS ts FROM feed f LEFT JOIN marks l ON l.batch = f.batch - 1 WHERE epoch_us(ts) > coalesce(l.mark, 0) * 1000 GROUP BY ALL),
+walk AS (
+  SELECT -1::BIGINT AS batch, query_hash, NULL::BIGINT AS until, NULL::TIMESTAMP AS ts FROM (SELECT DISTINCT query_hash FROM feed)
+  UNION ALL
+  SELECT batch, query_hash, CASE WHEN next > mark THEN next END, out FROM (
+    SELECT m.batch, w.query_hash, m.mark, CASE WHEN w.until IS NULL THEN f.ts END AS out,
+      coalesce(w.until, (epoch_us(f.ts) + 999) // 1000 + 259200000) AS next
+    FROM walk w JOIN marks m ON m.batch = w.batch + 1 LEFT JOIN first f ON f.batch = m.batch AND f.query_hash = w.query_hash))"""
+
+
+@case("ST3", f"WITH RECURSIVE {IN_BATCHES} SELECT query_hash, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM walk WHERE ts IS NOT NULL")
+def repeats_within_days_suppressed(spark, sf_dir):
+    """With a horizon of three days, so that hashes come again; late rows, and one hash that a third of the rows have."""
+    events = table(spark, sf_dir, "events")
+    n, number = events.count(), F.col("event_id")
+    late = F.when(number % 50 == 7, F.lit(n // 5)).otherwise(0)
+    asked = F.when(number % 3 == 0, F.lit("hot")).otherwise(F.col("user_id").cast("string"))
+    rows = events.select(F.sha2(asked, 256).alias("query_hash"), F.col("ts").cast("timestamp").alias("ts"), F.floor((number + late) * 5 / n).alias("batch"))
+    feed, path = in_batches(rows, scratch(spark, "feed"), 6), scratch(spark, "repeats")
+    finish(suppress_repeats_timed(feed, "3 days").writeStream.format("parquet").option("path", path), spark, "repeats")
+    return spark.read.schema(feed.schema).parquet(path).select("query_hash", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
 @case("ST1 P1 P3", SUMMARY)
 def resolve_as_stream(spark, sf_dir):
     """The feed in one batch: the same outcomes as the batch job."""
