@@ -55,6 +55,17 @@ def rolling_counters(
     )
 
 
+def end_of_feed(rows: DataFrame, after: str) -> DataFrame:
+    """A single row with nothing but a time, ``after`` the last of ``rows``: a heartbeat that moves the watermark past them.
+
+    Sent as the last batch of a feed that ends, with ``after`` longer than a window and the allowed lateness together, it lets all open windows come out; its own window
+    stays open, and so never does.
+    """
+    ts = rows.schema["ts"].dataType
+    last = rows.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts"))
+    return last.select(*[(F.col("ts").cast(ts) if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema.fields])
+
+
 def suppress_repeats(feed: DataFrame, horizon: str = "7 days") -> DataFrame:
     """One query of each hash until the watermark has passed it by the horizon; then the hash may come again.
 

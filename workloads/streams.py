@@ -1,14 +1,19 @@
 """Streaming jobs, run to the end over files of the given tables."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from querymill.schemas import RESULT_STORE, SUMMARY as SUMMARY_TYPE
 from querymill.sources.pages import scan_result_pages
 from querymill.sources.store import insert_results, to_store_row
-from querymill.streaming.jobs import resolve_stream, rolling_counters, suppress_repeats, suppress_repeats_timed
-from workloads.base import OUTCOME_LOG, as_of, case, outcome_log, table
-from workloads.jobs import SUMMARY, asked_with_vectors, store_with_vectors
-from workloads.pages import result_pages_a
+from querymill.streaming.jobs import (
+    end_of_feed, resolve_stream, rolling_counters, suppress_repeats, suppress_repeats_timed,
+)
+from workloads.base import ASKED, OUTCOME_LOG, STORED, as_of, case, outcome_log, table
+from workloads.jobs import SUMMARY, asked_with_vectors, sql_resolve, store_with_vectors
+from workloads.pages import LINKS_A, result_pages_a
+from workloads.similarity import PAIRS
 from workloads.store import scratch
 
 
@@ -51,6 +56,29 @@ def rolling_window_counters(spark, sf_dir):
     )
 
 
+@case(
+    "ST2",
+    f"""WITH {OUTCOME_LOG}, w AS (SELECT *, unnest([time_bucket(INTERVAL 2 HOUR, ts) - i * INTERVAL 2 HOUR FOR i IN [0, 1, 2]]) AS b FROM outcomes)
+    SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) FILTER (outcome = 'miss') AS cache_misses,
+      count(*) FILTER (outcome = 'exact_hit') AS cache_hits,
+      round(coalesce(sum(execution_time) FILTER (outcome = 'miss'), 0), 4) AS total_execution_time FROM w GROUP BY b""",
+)
+def sliding_windows_to_the_end(spark, sf_dir):
+    """Windows of six hours every two hours, over batches of five days; a heartbeat ends the feed, so every window comes out."""
+    log = outcome_log(spark, sf_dir)
+    start = F.lit("2024-01-01").cast("timestamp")
+    rows = log.withColumn("batch", F.floor(F.timestamp_diff("DAY", start, F.col("ts")) / 5))
+    batches = rows.agg(F.max("batch")).first()[0] + 1
+    last = end_of_feed(log, "8 hours").withColumn("batch", F.lit(batches))
+    feed, path = in_batches(rows.unionByName(last), scratch(spark, "log"), batches + 1), scratch(spark, "windows")
+    windows = rolling_counters(feed, "6 hours", "2 hours")
+    finish(windows.writeStream.format("parquet").option("path", path), spark, "windows")
+    return spark.read.schema(windows.schema).parquet(path).select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "cache_misses", "cache_hits",
+        F.round("total_execution_time", 4).alias("total_execution_time"),
+    )
+
+
 @case("ST3", f"WITH {OUTCOME_LOG} SELECT DISTINCT query_hash FROM outcomes")
 def repeats_suppressed(spark, sf_dir):
     """With a horizon longer than the log, one row per hash is left."""
@@ -89,24 +117,67 @@ def repeats_within_days_suppressed(spark, sf_dir):
     return spark.read.schema(feed.schema).parquet(path).select("query_hash", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
-@case("ST1 P1 P3", SUMMARY)
-def resolve_as_stream(spark, sf_dir):
-    """The feed in one batch: the same outcomes as the batch job."""
-    feed, store, out = scratch(spark, "feed"), scratch(spark, "store"), scratch(spark, "outcomes")
-    asked = asked_with_vectors(spark, sf_dir).select("query_id", "arrival", "ts", "query", "embedding")
-    asked.coalesce(1).write.parquet(feed)
-    none = F.lit(None)
+def store_and_links(spark, sf_dir):
+    """A store of the stored queries, and result pages for some of the asked ones."""
+    store, none = scratch(spark, "store"), F.lit(None)
     rows = store_with_vectors(spark, sf_dir).select(
         "query_hash", "query", "embedding", "created_at", none.cast("double").alias("execution_time"),
         F.lit("valid").alias("status"), F.lit(0.8).alias("confidence"), F.lit("r").alias("reason"),
         F.array().cast(RESULT_STORE["scraped_content"].dataType).alias("scraped_content"), none.cast(SUMMARY_TYPE).alias("summary"),
     )
     insert_results(spark, store, to_store_row(rows))
-    links = scan_result_pages(result_pages_a(spark, sf_dir), "a")
-    job = resolve_stream(
-        spark.readStream.schema(asked.schema).parquet(feed), store, out, links, table(spark, sf_dir, "pages"), as_of
-    )
-    finish(job, spark, "resolve")
-    return spark.read.option("basePath", out).parquet(out).groupBy("outcome").agg(
-        F.count("*").alias("queries"), F.countDistinct("query_hash").alias("distinct_queries")
-    )
+    return store, scan_result_pages(result_pages_a(spark, sf_dir), "a")
+
+
+def outcomes_of(spark, sf_dir, feed, store, links):
+    out = scratch(spark, "outcomes")
+    finish(resolve_stream(feed, store, out, links, table(spark, sf_dir, "pages"), as_of), spark, "resolve")
+    return spark.read.option("basePath", out).parquet(out)
+
+
+def counted(outcomes, *by):
+    return outcomes.groupBy(*by).agg(F.count("*").alias("queries"), F.countDistinct("query_hash").alias("distinct_queries"))
+
+
+@case("ST1 P1 P3", SUMMARY)
+def resolve_as_stream(spark, sf_dir):
+    """The feed in one batch: the same outcomes as the batch job."""
+    asked = asked_with_vectors(spark, sf_dir).select("query_id", "arrival", "ts", "query", "embedding")
+    feed = scratch(spark, "feed")
+    asked.write.parquet(feed)
+    stream = spark.readStream.schema(asked.schema).parquet(feed)
+    return counted(outcomes_of(spark, sf_dir, stream, *store_and_links(spark, sf_dir)), "outcome")
+
+
+BATCHES = 3
+BATCH_OF_QUERY = "CASE WHEN query_id % 1000 < 500 THEN 0 WHEN query_id % 1000 < 700 THEN 1 ELSE 2 END"
+# Every fourth result page belongs to an opening turn, the others to the user's next ones.
+LINKED = "query_id // 4 * 1000 + query_id % 4 * 2"
+
+
+def sql_batches(count: int) -> str:
+    """Each batch against the store as the one before left it: with its misses that have links."""
+    steps = ["stored_v_0 AS (SELECT stored.query_hash, stored.query, e, label FROM stored, v WHERE vec_id = stored.n % (SELECT n FROM n))"]
+    own = re.sub(r"(?m)^stored_v AS .*$", "", sql_resolve()).replace("FROM stored)", "FROM stored_v)")
+    for i in range(count):
+        steps.append(f"asked_hash_{i} AS (SELECT * FROM asked_hash WHERE {BATCH_OF_QUERY} = {i})")
+        steps.append(re.sub(r"\b(classed|open|dist|ranked|found|looked|placed|outcomes|asked_hash|stored_v)\b", rf"\1_{i}", own).strip())
+        steps.append(f"""stored_v_{i + 1} AS (SELECT * FROM stored_v_{i} UNION ALL SELECT query_hash, query, e, NULL FROM placed_{i}
+          WHERE arrival = saved_at AND query_id IN (SELECT {LINKED} FROM links_a))""")
+    steps.append("every AS (" + " UNION ALL ".join(f"SELECT {i} AS batch_id, outcome, query_hash FROM outcomes_{i}" for i in range(count)) + ")")
+    return ",\n".join(steps)
+
+
+@case(
+    "ST1 P1 P3",
+    f"""WITH {ASKED}, {STORED}, {PAIRS}, {LINKS_A}, {sql_batches(BATCHES)}
+    SELECT batch_id, outcome, count(*) AS queries, count(DISTINCT query_hash) AS distinct_queries FROM every GROUP BY ALL""",
+)
+def resolve_in_batches(spark, sf_dir):
+    """Three micro-batches: later ones find what earlier ones have saved, and ask again what could not be answered."""
+    asked = asked_with_vectors(spark, sf_dir).select("query_id", "arrival", "ts", "query", "embedding", F.expr(BATCH_OF_QUERY).alias("batch"))
+    store, links = store_and_links(spark, sf_dir)
+    links = links.withColumn("query_id", F.expr("query_id div 4 * 1000 + query_id % 4 * 2"))
+    feed = in_batches(asked, scratch(spark, "feed"), BATCHES)
+    outcomes = outcomes_of(spark, sf_dir, feed, store, links)
+    return counted(outcomes, F.col("batch_id").cast("int").alias("batch_id"), "outcome")
