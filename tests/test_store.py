@@ -37,6 +37,63 @@ def test_compact_keeps_rows_in_fewer_files(spark, tmp_path):
     S.compact(spark, str(tmp_path / "absent"))
 
 
+class Lost(Exception):
+    """The driver is lost."""
+
+
+@pytest.mark.parametrize("write", ["delete", "compact", "clear"])
+def test_a_driver_lost_at_any_step_loses_no_row(spark, tmp_path, monkeypatch, write):
+    """After every single call on the file system: readers see all rows from before or all from after, and the next writer goes on from there."""
+    run = {
+        "delete": lambda path: S.delete_results(spark, path, rows(spark, ["aa1", "bb1", "cc1", "cc2"])),
+        "compact": lambda path: S.compact(spark, path), "clear": lambda path: S.clear(spark, path),
+    }[write]
+    before = ["aa1", "aa2", "bb1", "bb2", "cc1", "cc2", "dd1"]
+    after = {"delete": ["aa2", "bb2", "dd1"], "compact": before, "clear": []}[write]
+    seen, step, ended = [], 0, False
+    while not ended:
+        path, calls = str(tmp_path / f"store{step}"), []
+        S.insert_results(spark, path, rows(spark, before))
+        with monkeypatch.context() as patch:
+            for name in ("rename", "delete"):
+                plain = getattr(S._files, name)
+
+                def call(self, *args, plain=plain):
+                    if len(calls) == step:
+                        raise Lost
+                    calls.append(args)
+                    return plain(self, *args)
+
+                patch.setattr(S._files, name, call)
+            try:
+                run(path)
+                ended = True
+            except Lost:
+                pass
+        seen.append(keys(S.scan_store(spark, path)))
+        assert seen[-1] in (before, after)
+        S.repair(spark, path)
+        assert keys(S.scan_store(spark, path)) == seen[-1] and not [p for p in (tmp_path / f"store{step}").iterdir() if p.name.startswith(("_swap", "_done"))]
+        S.insert_results(spark, path, rows(spark, ["aa1", "aa2", "ee1"]))
+        assert keys(S.scan_store(spark, path)) == sorted({*seen[-1], "aa1", "aa2", "ee1"})
+        step += 1
+    assert step > 3 and seen[0] == before and seen[-1] == after
+
+
+def test_an_insert_reads_only_the_partitions_it_writes_to(spark, tmp_path):
+    path = str(tmp_path / "store")
+    S.insert_results(spark, path, rows(spark, [f"{i:02x}a" for i in range(48)]))
+    fresh = rows(spark, ["05a", "05b", "0aq"]).withColumn(S.PREFIX, S.hash_prefix())
+    held = S._held(S.scan_store(spark, path), fresh)
+    assert keys(held) == ["05a", "0aa"]
+    scan = held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [hash_prefix" in scan and "ReadSchema: struct<query_hash:string>" in scan
+    files = spark.read.option("basePath", path).parquet(path).where(F.col(S.PREFIX).isin("05", "0a")).select(F.input_file_name()).distinct().count()
+    assert files == 2
+    S.insert_results(spark, path, fresh.drop(S.PREFIX))
+    assert S.scan_store(spark, path).count() == 50
+
+
 def test_insert_delete_clear(spark, tmp_path):
     path = str(tmp_path / "store")
     assert S.scan_store(spark, path).count() == 0
