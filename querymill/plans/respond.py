@@ -1,10 +1,13 @@
 """From the outcomes of a batch and the answers of its misses to a complete log and to one response per query."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from querymill.plans.answer import FAILED_ERROR, FAILED_MESSAGE
+from querymill.plans.answer import FAILED_ERROR, FAILED_MESSAGE, answer, ingest
+from querymill.plans.resolve import resolve
+from querymill.providers import TextHook
 from querymill.schemas import SCRAPED_CONTENT, SUMMARY
 from querymill.session import cut
+from querymill.sources.store import scan_store
 
 FOUND = ("exact_hit", "similar_hit")
 ANSWERED = ("miss", "unsaved")
@@ -62,3 +65,20 @@ def respond(settled: DataFrame, answers: DataFrame, store: DataFrame) -> DataFra
         "query_id", "success", "message", "error", hit.alias("cache_hit"), F.when(similar, F.col("_asked")).alias("similar_query_used"), "execution_time",
         F.when(hit, F.col("_stored")).otherwise(F.col("_result")).alias("result"),
     )
+
+
+def process(
+    spark: SparkSession, store_path: str, queries: DataFrame, links: DataFrame, pages: DataFrame, as_of: Column,
+    *, model: TextHook | None = None, **options,
+) -> tuple[DataFrame, DataFrame]:
+    """A batch of queries from end to end: resolve, answer what nothing answers, save, complete the log, deliver.
+
+    Returns the completed log (``settle``) and the responses (``respond``). ``options`` are those of ``resolve``; with ``use_store=False`` nothing is looked up or saved.
+    The outcomes, the answers and the log are written once each, so no model is asked twice. Running it again answers from the store what was saved before.
+    """
+    outcomes = cut(resolve(queries, scan_store(spark, store_path), **options))
+    open_ = outcomes.where(F.col("outcome").isin(*ANSWERED)).drop("message", "error")
+    answers = cut(answer(open_, links, pages, as_of, model=model))
+    ingest(spark, store_path, answers.where("outcome = 'miss'"))
+    settled = cut(settle(outcomes, answers))
+    return settled, respond(settled, answers, scan_store(spark, store_path))

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from querymill.plans.respond import process
 from querymill.schemas import RESULT_STORE, SUMMARY as SUMMARY_TYPE
 from querymill.sources.pages import scan_result_pages
 from querymill.sources.store import insert_results, to_store_row
@@ -181,3 +182,30 @@ def resolve_in_batches(spark, sf_dir):
     feed = in_batches(asked, scratch(spark, "feed"), BATCHES)
     outcomes = outcomes_of(spark, sf_dir, feed, store, links)
     return counted(outcomes, F.col("batch_id").cast("int").alias("batch_id"), "outcome")
+
+
+@case(
+    "P1 P2 P3 K1",
+    f"""WITH {ASKED}, {STORED}, {PAIRS}, {LINKS_A}, {sql_resolve()},
+    linked AS (SELECT {LINKED} AS query_id, least(count(*), 5) AS pages FROM links_a GROUP BY ALL),
+    lost AS (SELECT query_hash FROM outcomes WHERE outcome = 'miss' AND query_id NOT IN (SELECT query_id FROM linked)),
+    saved AS (SELECT query_hash, query, pages FROM outcomes JOIN linked USING (query_id) WHERE outcome = 'miss' UNION ALL SELECT query_hash, query, 0 FROM stored),
+    settled AS (SELECT *, CASE WHEN outcome IN ('miss', 'exact_hit') AND query_hash IN (SELECT query_hash FROM lost) THEN 'failed' ELSE outcome END AS kind FROM outcomes),
+    delivered AS (SELECT s.*, saved.query AS result_query, saved.query_hash AS result_hash, pages FROM settled s
+      LEFT JOIN saved ON saved.query_hash = CASE kind WHEN 'similar_hit' THEN matched_hash WHEN 'exact_hit' THEN s.query_hash WHEN 'miss' THEN s.query_hash END)
+    SELECT query_id, kind AS outcome, kind IN ('exact_hit', 'similar_hit', 'miss') AS success,
+      CASE kind WHEN 'invalid' THEN 'Invalid query: ' || e_reason WHEN 'failed' THEN 'Failed to scrape any web content for your query' WHEN 'miss' THEN 'Successfully processed your query'
+        WHEN 'exact_hit' THEN 'Found cached result for your query' ELSE 'Found similar query: ''' || stored_query || ''' (similarity: ' || printf('%.2f', similarity_score) || ')' END AS message,
+      CASE kind WHEN 'invalid' THEN e_reason WHEN 'failed' THEN 'Web scraping failed' END AS error, kind IN ('exact_hit', 'similar_hit') AS cache_hit,
+      CASE kind WHEN 'similar_hit' THEN stored_query END AS similar_query_used, result_query, result_hash, pages AS result_pages FROM delivered""",
+)
+def responses(spark, sf_dir):
+    """One response per query: resolved, answered, saved, settled and delivered with its result."""
+    store, links = store_and_links(spark, sf_dir)
+    links = links.withColumn("query_id", F.expr("query_id div 4 * 1000 + query_id % 4 * 2"))
+    asked = asked_with_vectors(spark, sf_dir).select("query_id", "arrival", "ts", "query", "embedding")
+    settled, delivered = process(spark, store, asked, links, table(spark, sf_dir, "pages"), as_of())
+    return delivered.join(settled.select("query_id", "outcome"), "query_id").select(
+        "query_id", "outcome", "success", "message", "error", "cache_hit", "similar_query_used", F.col("result.query").alias("result_query"),
+        F.col("result.query_hash").alias("result_hash"), F.when(F.col("result").isNotNull(), F.size("result.scraped_content")).cast("bigint").alias("result_pages"),
+    )
