@@ -197,12 +197,16 @@ def links(scratch: Scratch, texts: DataFrame, vertices: DataFrame, rule: Rule, e
     """(a, b): links between vertices, each once: enough of them to connect every two that links connect, or every one."""
     common = texts.sparkSession.sparkContext.broadcast(commonness(texts, rule.words))  # 2^21 bytes
     meetings = scratch.cut(_meetings(texts, common, rule))
+    # Most tokens have a single vertex; they go before anything but two numbers of each is shuffled.
+    crowded = scratch.cut(meetings.groupBy("token").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x <> y").select("token"))
+    inside = scratch.cut(meetings.join(crowded, "token", "left_semi"))
+    scratch.drop(meetings, crowded)
     one, by = F.struct("v", "n", "pos"), F.xxhash64("v")
-    shared = meetings.groupBy("token").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.min_by(one, by).alias("z"), F.max_by(one, by).alias("w")).where("x.v <> y.v")
+    shared = inside.groupBy("token").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.min_by(one, by).alias("z"), F.max_by(one, by).alias("w"))
     # Written, so that the members of a large bucket can be split in the join.
     shared = scratch.cut(shared.select("token", F.col("x.v").alias("leader"), F.array_distinct(F.array("x", "y", "z", "w")).alias("leaders")))
-    met = scratch.cut(meetings.join(shared, "token").select("token", "v", "n", "pos", "leader", "leaders").distinct())
-    scratch.drop(meetings, shared)
+    met = scratch.cut(inside.join(shared, "token").select("token", "v", "n", "pos", "leader", "leaders").distinct())
+    scratch.drop(inside, shared)
 
     led = met.select("v", "n", "pos", F.explode("leaders").alias("to")).where("v <> to.v").where(_fits(rule, "n", "to.n", "pos", "to.pos"))
     stars = scratch.cut(led.select(F.least("v", "to.v").alias("a"), F.greatest("v", "to.v").alias("b")).distinct())
