@@ -54,6 +54,12 @@ def stats_full(outcomes: DataFrame, *group: Column | str) -> DataFrame:
     return _with_rates(counts)
 
 
+def merge_counts(parts: DataFrame, *group: Column | str) -> DataFrame:
+    """Counters of a whole from those of its parts, which either function above has made; rates are worked out anew."""
+    sums = ("total_queries", "valid_queries", "invalid_queries", "cache_hits", "cache_misses", "total_pages_scraped", "total_execution_time")
+    return _with_rates(parts.groupBy(*group).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(parts.schema[c].dataType).alias(c) for c in sums]))
+
+
 def access_rollup(outcomes: DataFrame) -> DataFrame:
     """How often and when each stored result was last read."""
     return (

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from querymill.operators.stats import stats_reference
 from querymill.plans.answer import answer, ingest
 from querymill.plans.resolve import resolve
+from querymill.plans.tally import keep
 from querymill.session import Scratch
 from querymill.sources.store import _files, scan_store
 
@@ -43,6 +44,11 @@ def resolve_stream(
     return feed.writeStream.foreachBatch(run)
 
 
+def tally_stream(outcomes: DataFrame, path: str, *group: str) -> DataStreamWriter:
+    """Keep the counters of an outcome feed batch by batch, see ``plans.tally``."""
+    return outcomes.writeStream.foreachBatch(lambda batch, batch_id: keep(batch, path, batch_id, *group))
+
+
 def rolling_counters(
     outcomes: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "1 hour"
 ) -> DataFrame:

@@ -272,3 +272,22 @@ def test_timers_suppress_what_the_plain_operator_does(spark, tmp_path):
         got[name] = sorted((r["query_hash"], r["ts"]) for r in spark.read.schema(schema).parquet(str(tmp_path / name)).collect())
     assert got["timed"] == got["plain"]
     assert sum(k == "hot" for k, _ in got["timed"]) > 1 and len(got["timed"]) < sum(map(len, batches)) / 10
+
+
+def test_kept_counters_equal_those_of_the_whole_log(spark, tmp_path):
+    """Five batches, one of them run twice, one empty."""
+    from querymill.operators.stats import access_rollup, stats_full, stats_reference
+    from querymill.plans.tally import keep, kept_access, kept_counters
+
+    rng = random.Random(4)
+    kinds = ["invalid", "exact_hit", "similar_hit", "miss", "unsaved", "failed"]
+    rows = [(rng.choice(kinds), rng.choice(["valid", "invalid"]), rng.randrange(5), rng.randrange(8) / 4, rng.choice("abc"), rng.choice(["m", None]), dt.datetime(2024, 1, 1 + i % 20)) for i in range(200)]
+    schema = "outcome string, status string, pages_scraped int, execution_time double, query_hash string, matched_hash string, ts timestamp"
+    log, path = spark.createDataFrame(rows, schema), str(tmp_path / "tally")
+    for batch in (0, 1, 2, 2, 3):
+        keep(spark.createDataFrame(rows[batch * 50:batch * 50 + 50], schema), path, batch, "query_hash")
+    keep(log.limit(0), path, 4, "query_hash")
+    for full, plain in ((True, stats_full), (False, stats_reference)):
+        assert sorted(kept_counters(spark, path, "query_hash", full=full).collect()) == sorted(plain(log, "query_hash").collect())
+        assert kept_counters(spark, path, full=full).collect() == plain(log).collect()
+    assert sorted(kept_access(spark, path).collect()) == sorted(access_rollup(log).collect())

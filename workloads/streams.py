@@ -5,17 +5,18 @@ import re
 from pyspark.sql import functions as F
 
 from querymill.plans.respond import process
+from querymill.plans.tally import kept_access, kept_counters
 from querymill.schemas import RESULT_STORE, SUMMARY as SUMMARY_TYPE
 from querymill.sources.pages import scan_result_pages
 from querymill.sources.store import insert_results, to_store_row
 from querymill.streaming.jobs import (
-    end_of_feed, resolve_stream, rolling_counters, suppress_repeats, suppress_repeats_timed,
+    end_of_feed, resolve_stream, rolling_counters, suppress_repeats, suppress_repeats_timed, tally_stream,
 )
-from workloads.base import ASKED, OUTCOME_LOG, STORED, as_of, case, outcome_log, table
+from workloads.base import ASKED, CASES, OUTCOME_LOG, STORED, as_of, case, outcome_log, table
 from workloads.jobs import SUMMARY, asked_with_vectors, sql_resolve, store_with_vectors
 from workloads.pages import LINKS_A, result_pages_a
 from workloads.similarity import PAIRS
-from workloads.store import scratch
+from workloads.store import RATES, access_counts, counters_per_user, money, scratch
 
 
 def streamed(spark, sf_dir, name):
@@ -209,3 +210,22 @@ def responses(spark, sf_dir):
         "query_id", "outcome", "success", "message", "error", "cache_hit", "similar_query_used", F.col("result.query").alias("result_query"),
         F.col("result.query_hash").alias("result_hash"), F.when(F.col("result").isNotNull(), F.size("result.scraped_content")).cast("bigint").alias("result_pages"),
     )
+
+
+def tallied(spark, sf_dir):
+    """The outcome log in five batches by number, of which the counters of each are kept."""
+    rows = outcome_log(spark, sf_dir).withColumn("batch", F.col("query_id") % 5)
+    path = scratch(spark, "tally")
+    finish(tally_stream(in_batches(rows, scratch(spark, "log"), 5), path, "query_hash"), spark, "tally")
+    return path
+
+
+@case("A1 A2 A3 A4 P6", CASES[counters_per_user.__name__].sql)
+def counters_kept_by_batch(spark, sf_dir):
+    return money(kept_counters(spark, tallied(spark, sf_dir), "query_hash", full=True), *RATES)
+
+
+@case("A8 P6", CASES[access_counts.__name__].sql)
+def access_kept_by_batch(spark, sf_dir):
+    rows = kept_access(spark, tallied(spark, sf_dir))
+    return rows.withColumn("last_accessed", F.date_format("last_accessed", "yyyy-MM-dd'T'HH:mm:ss"))
