@@ -67,7 +67,15 @@ def sql_words(expr: str) -> str:
 
 # User turns, some made into commands, each asked a second time in other case and spacing; of some also their first two characters.
 def asked_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return asked_turns(table(spark, sf_dir, "conversations").where("role = 'user'"))
+
+
+# The same of all turns, for rules on texts, whoever wrote them.
+def asked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asked_turns(table(spark, sf_dir, "conversations"))
+
+
+def asked_turns(turns: DataFrame) -> DataFrame:
     varied = (
         F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("call "), "text")).otherwise(F.col("text"))
     )
@@ -98,6 +106,7 @@ asked AS (
 asked_norm AS (
   SELECT query_id, query_id % 1000 * 1000000 + conv_id AS arrival, """ + sql_normalize("query") + """ AS query, conv_id, turn FROM asked),
 asked_hash AS (SELECT *, sha256(lower(query)) AS query_hash FROM asked_norm)"""
+ALL_TEXTS = ASKED.replace(" WHERE role = 'user'", "")
 
 
 # Stored results: opening turns and benchmark passages, told apart by their key's origin.

@@ -10,7 +10,7 @@ from querymill.plans.sequential import resolve_sequential, resolve_sequential_ju
 from querymill.providers import embed_hook
 from querymill.sources.pages import scan_result_pages
 from querymill.sources.store import scan_store
-from workloads.base import ASKED, STORED, as_of, asked_queries, case, sql_strip, stored_queries, table
+from workloads.base import ALL_TEXTS, ASKED, STORED, as_of, asked_queries, asked_texts, case, sql_strip, stored_queries, table
 from workloads.pages import PAGE_TEXT, STATUS, UNION, result_pages_a, result_pages_b, with_status
 from workloads.similarity import COSINE, PAIRS, means
 from workloads.store import scratch
@@ -174,23 +174,23 @@ LETTERS = "aeio"
 
 @case(
     "X1",
-    f"WITH {ASKED} SELECT query_id, " + ", ".join(f"(length(query) - length(replace(query, '{c}', '')))::DOUBLE AS n_{c}" for c in LETTERS) + " FROM asked_norm",
+    f"WITH {ALL_TEXTS} SELECT query_id, " + ", ".join(f"(length(query) - length(replace(query, '{c}', '')))::DOUBLE AS n_{c}" for c in LETTERS) + " FROM asked_norm",
 )
 def hooked_embeddings(spark, sf_dir):
     """A hook that counts letters, as DuckDB can too."""
-    asked = asked_queries(spark, sf_dir).withColumn("query", normalize_query(F.col("query")))
+    asked = asked_texts(spark, sf_dir).withColumn("query", normalize_query(F.col("query")))
     vectors = embed(asked, lambda texts: [[float(t.count(c)) for c in LETTERS] for t in texts])
     return vectors.select("query_id", *[F.col("embedding")[i].cast("double").alias(f"n_{c}") for i, c in enumerate(LETTERS)])
 
 
 @case(
     "X2 N2",
-    f"""WITH {ASKED} SELECT query_id, CASE WHEN length(query) % 2 = 1 THEN 'invalid' ELSE 'valid' END AS status, 0.75::DOUBLE AS confidence,
+    f"""WITH {ALL_TEXTS} SELECT query_id, CASE WHEN length(query) % 2 = 1 THEN 'invalid' ELSE 'valid' END AS status, 0.75::DOUBLE AS confidence,
       'length ' || length(query) AS reason FROM asked_norm""",
 )
 def hooked_classes(spark, sf_dir):
     """A hook that goes by the length of the text, as DuckDB can too."""
-    asked = asked_queries(spark, sf_dir).withColumn("query", normalize_query(F.col("query")))
+    asked = asked_texts(spark, sf_dir).withColumn("query", normalize_query(F.col("query")))
     found = classify(asked, lambda texts: [
         '{"status": "%s", "confidence": 0.75, "reason": "length %d"}' % ("invalid" if len(t) % 2 else "valid", len(t)) for t in texts
     ])

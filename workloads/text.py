@@ -11,7 +11,7 @@ from querymill.schemas import is_confidence
 from querymill.sources.pages import read_queries
 from querymill.sources.store import not_expired
 from workloads.base import (
-    ASKED, STORED, asked_queries, case, quoted, sql_clean, sql_normalize, sql_strip, sql_truncate, sql_words,
+    ALL_TEXTS, STORED, asked_texts, case, quoted, sql_clean, sql_normalize, sql_strip, sql_truncate, sql_words,
     stored_queries, table,
 )
 
@@ -39,26 +39,26 @@ def normalize_query(spark, sf_dir):
     return read_queries(turns, "text", "id").select("query_id", X.normalize_query(F.col("query")).alias("query"))
 
 
-@case("T2", f"WITH {ASKED} SELECT query_id, query_hash FROM asked_hash")
+@case("T2", f"WITH {ALL_TEXTS} SELECT query_id, query_hash FROM asked_hash")
 def query_hash(spark, sf_dir):
-    asked = asked_queries(spark, sf_dir)
+    asked = asked_texts(spark, sf_dir)
     return asked.select("query_id", X.query_hash(X.normalize_query(F.col("query"))).alias("query_hash"))
 
 
-@case("T3 F1", f"WITH {ASKED} SELECT query_id, {sql_class('query')} FROM asked_norm")
+@case("T3 F1", f"WITH {ALL_TEXTS} SELECT query_id, {sql_class('query')} FROM asked_norm")
 def classify_heuristic(spark, sf_dir):
-    asked = asked_queries(spark, sf_dir).withColumn("query", X.normalize_query(F.col("query")))
+    asked = asked_texts(spark, sf_dir).withColumn("query", X.normalize_query(F.col("query")))
     return classify(asked).select("query_id", "status", "confidence", "reason")
 
 
 @case(
     "P4",
-    f"""WITH {ASKED}, c AS (SELECT query_id, query, {sql_class('query')} FROM asked)
+    f"""WITH {ALL_TEXTS}, c AS (SELECT query_id, query, {sql_class('query')} FROM asked)
     SELECT query_id, query, status, confidence, reason,
       CASE WHEN status = 'invalid' THEN '{C.SUGGESTION}' ELSE '' END AS suggestions FROM c""",
 )
 def validate_queries(spark, sf_dir):
-    checked = validate(asked_queries(spark, sf_dir))
+    checked = validate(asked_texts(spark, sf_dir))
     return checked.select(
         "query_id", "query", "status", "confidence", "reason", F.array_join("suggested_improvements", "|").alias("suggestions")
     )
@@ -164,13 +164,13 @@ def unwrap_redirect(spark, sf_dir):
 
 @case(
     "T10",
-    f"""WITH {ASKED} SELECT query_id, 'https://html.duckduckgo.com/html/?q=' || q AS url_a,
+    f"""WITH {ALL_TEXTS} SELECT query_id, 'https://html.duckduckgo.com/html/?q=' || q AS url_a,
       'https://www.google.com/search?q=' || q || '&hl=en' AS url_b
     FROM (SELECT query_id, replace(url_encode(query), '%20', '+') AS q FROM asked_norm)""",
 )
 def search_url(spark, sf_dir):
     query = X.normalize_query(F.col("query"))
-    return asked_queries(spark, sf_dir).select(
+    return asked_texts(spark, sf_dir).select(
         "query_id", U.search_url(query, "a").alias("url_a"), U.search_url(query, "b").alias("url_b")
     )
 
