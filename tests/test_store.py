@@ -1,16 +1,19 @@
 """Store, history and statistics on small rows."""
 
 import datetime as dt
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from querymill.operators.answers import nest_pages, page_rollup
-from querymill.operators.history import list_history
+from querymill.operators.history import contains_term, list_history
 from querymill.operators.stats import access_rollup, stats_full, stats_reference
 from querymill.plans.reports import stats
 from querymill.schemas import RESULT_STORE, SCRAPED_CONTENT
-from querymill.sources import store as S
+from querymill.sources import search_index as I, store as S
 
 
 def rows(spark, keys, query="q", day=1):
@@ -178,3 +181,33 @@ def test_hot_query_keeps_order(spark):
 def test_ttl(spark, days, left):
     store = rows(spark, ["k1", "k2"]).unionByName(rows(spark, ["k3"], day=9))
     assert S.not_expired(store, days, F.lit("2024-01-10 00:00:00").cast("timestamp")).count() == left
+
+
+def test_indexed_search_finds_what_a_scan_finds(spark, tmp_path):
+    texts = ["The quick Brown fox", "brown", "BROWN bread", "bro wn", None, "", "ab", "İstanbul straße", "漢字かな交じり", "x" * 5000 + "needle" + "y" * 5000, "%_\\ odd", "😀 smile 😀"]
+    df = spark.createDataFrame([(f"{i:02d}", t, "own Brown" if i == 6 else None) for i, t in enumerate(texts)], "key string, a string, b string")
+    path = str(tmp_path / "grams")
+    for part in (df.where("key < '05'"), df.where("key >= '05'"), df.where("key = '02'")):
+        I.add_to_index(part, path, "key", "a", "b")
+    for term in ("brown", "rown b", "BROWN", "own", "no such", "İstan", "istan", "straße", "漢字か", "needle", "xxn", "%_\\", "😀 s", "br", "", "   "):
+        want = sorted(r["key"] for r in df.where(contains_term(term, "a", "b")).collect())
+        assert sorted(r["key"] for r in I.search(df, path, term, "key", "a", "b").collect()) == want, term
+
+
+def test_indexed_search_reads_little(spark, tmp_path):
+    store, path = str(tmp_path / "store"), str(tmp_path / "grams")
+    rng = random.Random(1)
+    data = rows(spark, [f"{i:02x}{i}" for i in range(50)]).withColumn("document", F.concat(F.lit("text "), F.sha2("query_hash", 256), F.lit(" end")))
+    S.insert_results(spark, store, data)
+    I.add_to_index(S.scan_store(spark, store), path, "query_hash", "query", "document")
+    held = S.scan_store(spark, store)
+    term = rng.choice(held.collect())["document"][9:19]
+    got = I.search(held, path, term, "query_hash", "query", "document")
+    assert keys(got) == keys(held.where(contains_term(term, "query", "document"))) and got.count() == 1
+    plan = I.candidates(spark, path, term)._jdf.queryExecution().executedPlan().toString()
+    asked = re.search(r"PartitionFilters: \[bucket#\d+ IN \(([\d,]+)\)", plan)[1].split(",")
+    sizes = Counter()
+    for file in (tmp_path / "grams" / "keys").rglob("*.parquet"):
+        sizes[file.parent.name] += file.stat().st_size
+    assert "PushedFilters: [In(gram" in plan and 8 * sum(sizes[f"bucket={b}"] for b in asked) < sum(sizes.values())
+    assert re.search(r"PartitionFilters: \[[^\]]*hash_prefix", got._jdf.queryExecution().executedPlan().toString())

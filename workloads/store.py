@@ -11,6 +11,7 @@ from querymill.operators.stats import access_rollup, similarity_report, stats_fu
 from querymill.plans.answer import export_json
 from querymill.plans.reports import stats, write_stats
 from querymill.session import shared_dir
+from querymill.sources.search_index import add_to_index, search
 from querymill.sources.store import (
     clear, decode_result, delete_results, encode_result, insert_results, lookup, mark_hit, new_rows, scan_store,
     store_size, to_store_row, with_keys, without_keys,
@@ -31,6 +32,14 @@ def hashed(spark, sf_dir):
     return asked.withColumn("query_hash", X.query_hash(F.col("query")))
 
 
+@case("F9 O2", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'license')")
+def text_search_indexed(spark, sf_dir):
+    """Documents that hold a term, by an index of their trigrams."""
+    docs, path = table(spark, sf_dir, "documents"), scratch(spark, "grams")
+    add_to_index(docs, path, "doc_id", "text", "source")
+    return search(docs, path, "License", "doc_id", "text", "source").select("doc_id", "source")
+
+
 @case(
     "J1",
     f"""WITH {ASKED}, {STORED} SELECT query_id, a.query_hash, s.query AS stored_query, s.query_hash IS NOT NULL AS cache_hit
