@@ -18,7 +18,7 @@ from querymill.llm.words import FACTOR, chunks, mix, words_of
 BITS = 20  # 2^20 coordinates: the bound on the size of a model
 FIT_ROWS = 40_000  # labelled rows that a model is fitted on, at most
 THRESHOLD = 0.3
-PASSES, PASS_ROWS = 3, 5_000  # few rows are learned again, until so many have been seen, but no more often than this
+PASSES, PASS_ROWS = 5, 5_000  # few rows are learned again, until so many have been seen, but no more often than this
 PRIOR = 0.05  # how likely label 1 is before any label is seen; it weighs as much as one label
 
 

@@ -57,12 +57,12 @@ def test_held_out_texts_are_told_apart(spark):
     assert np.mean(toxic) > 0.7 and np.mean(clean) < 0.01
 
 
-@pytest.mark.parametrize(("sf", "caught"), [("sf0.001", 0.5), ("sf0.01", 0.6)])
-def test_few_labels_leave_clean_texts_alone(spark, sf, caught):
+@pytest.mark.parametrize(("sf", "caught", "wrong"), [("sf0.001", 0.5, 2), ("sf0.01", 0.6, 0)])
+def test_few_labels_leave_clean_texts_alone(spark, sf, caught, wrong):
     """Of the texts that labels were learned from nearly all toxic ones are caught; of held-out ones, a handful, most."""
     docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
     rows = T.judge(docs, labels, without=["text"]).join(labels, "doc_id").select("toxic", "held_out", "predicted").collect()
-    assert np.mean([r["predicted"] for r in rows if not r["toxic"] and r["held_out"]]) < 0.05
+    assert sum(r["predicted"] for r in rows if not r["toxic"] and r["held_out"]) <= wrong
     assert np.mean([r["predicted"] for r in rows if r["toxic"] and not r["held_out"]]) > 0.85
     assert np.mean([r["predicted"] for r in rows if r["toxic"] and r["held_out"]]) >= caught
 
