@@ -40,7 +40,7 @@ SCORE_DIGITS = 9
 ANGLE_SLACK = 1e-6
 # The approximate join: k-means sees so many vectors for each cell, and a query looks into this share of all cells.
 SAMPLED_PER_CELL = 64
-PROBED_SHARE = 0.25
+PROBED_SHARE = 1 / 3
 
 _VECTOR = ["_v1", "_v2"]
 
