@@ -1,6 +1,7 @@
 """Similarity join and judged matches against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,44 @@ def test_vectors_of_far_cells_are_not_sent(spark):
     assert few * 3 < all_
 
 
+@pytest.mark.parametrize("n", [100_000, 600_000])
+def test_small_blocks_do_not_copy_vectors_without_end(spark, n):
+    nothing = spark.createDataFrame([], "cell int")
+    grid = S._Grid(nothing, nothing, {("q", 0): n, ("s", 0): n}, np.ones((1, 1), dtype=bool), 100)
+    # A group of queries fits a task, and each vector goes to a task for every so many of them.
+    assert n / grid.rows <= S.HELD_ROWS and max(grid.rows, grid.columns) <= max(S.BLOCK_GROUPS, np.ceil(n / S.HELD_ROWS))
+
+
+def test_a_probing_query_is_sent_once_to_a_task(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(300, 8)).astype(np.float32)
+    q, s = frames(spark, vectors, vectors)
+    sides = S._sides(q, s, "query_id", "key", "embedding", "embedding", None, None, 3, None)
+    stored = S._assign(sides.store, np.eye(8), "cosine").drop("radius")
+    query = S._probed(sides.query, np.eye(8), "cosine", 6)
+    counts = {("s", r["cell"]): r["count"] for r in stored.groupBy("cell").count().collect()}
+    grid = S._Grid(query, stored, counts | {("q", 0): 300}, np.eye(8, dtype=bool), 1000)
+    assert grid.sent().where("side = 0").count() <= 300 * grid.columns
+
+
+def test_a_task_keeps_few_matches_of_many():
+    """All of 4,000 queries match all of 4,000 stored vectors."""
+    import tracemalloc
+
+    n, k = 4000, 3
+    rng = np.random.default_rng(7)
+    vec = pa.array(list((1 + 0.01 * rng.normal(size=(n, 4))).astype(np.float64)), pa.list_(pa.float64()))
+    numbers, cells = pa.array(np.arange(n)), pa.array([[0]] * n, pa.list_(pa.int32()))
+    asked = pa.RecordBatch.from_arrays([numbers, numbers, cells, pa.array(np.full(n, 1)), vec], names=["_v1", "_v2", "cells", "seq", "vec"])
+    stored = pa.RecordBatch.from_arrays([cells, pa.array(np.full(n, 0)), numbers, vec], names=["cells", "seq", "s_key", "vec"])
+    held = S._Held([asked], np.ones((1, 1), dtype=bool), "cosine", "reference", 0.85, k)
+    tracemalloc.start()
+    held.take(stored)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(b) for b in held.found(pa.int64())) == n * k and peak < 100e6
+
+
 def recall(approximate, exact):
     pairs = {(q, key) for q, found in exact.items() for key, _ in found}
     return len(pairs & {(q, key) for q, found in approximate.items() for key, _ in found}) / len(pairs)
