@@ -5,15 +5,18 @@ the partitions of the rarest few trigrams of its term, intersects their keys, an
 harmless: the exact test does not find them. Terms of fewer than three characters are looked for in every text.
 """
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from querymill.operators.history import contains_term
 from querymill.sources.store import PREFIX, hash_prefix
 
 BUCKETS = 256
 RAREST = 4  # trigrams of a term that are looked up
+POSTINGS = 1 << 16  # rows of a batch of postings, and a text's more
 
 
 def trigrams(text: Column) -> Column:
@@ -30,10 +33,43 @@ def bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
+def postings(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, gram): the distinct trigrams of each row's lower-cased texts, as ``trigrams`` has them."""
+    lowered = rows.select(F.col(key).alias("key"), *[F.lower(F.col(c)).alias(f"text{i}") for i, c in enumerate(columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, first, texts = [], 0, [column.to_pylist() for column in batch.columns[1:]]
+            for row in range(len(batch)):
+                found.append(_codes([t[row] for t in texts]))
+                if sum(map(len, found)) >= POSTINGS or row == len(batch) - 1:
+                    keys = np.repeat(np.arange(first, row + 1), list(map(len, found)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), _spelled(np.concatenate(found))], names=["key", "gram"])
+                    found, first = [], row + 1
+
+    return lowered.mapInArrow(run, T.StructType([lowered.schema["key"], T.StructField("gram", T.StringType())]))
+
+
+def _codes(texts: list[str | None]) -> np.ndarray:
+    """The distinct trigrams of some texts, as numbers: 21 bits for a character."""
+    found = [np.empty(0, np.uint64)]
+    for text in texts:
+        chars = np.frombuffer((text or "").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+        if len(chars) >= 3:
+            found.append(chars[:-2] << np.uint64(42) | chars[1:-1] << np.uint64(21) | chars[2:])
+    return np.unique(np.concatenate(found))
+
+
+def _spelled(codes: np.ndarray) -> pa.StringArray:
+    chars = np.stack([codes >> np.uint64(42), codes >> np.uint64(21) & np.uint64(0x1FFFFF), codes & np.uint64(0x1FFFFF)], axis=1).astype("<u4")
+    widths = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+    ends = np.concatenate([[0], np.cumsum(widths.sum(axis=1))]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(ends.tobytes()), pa.py_buffer(chars.tobytes().decode("utf-32-le").encode()))
+
+
 def add_to_index(rows: DataFrame, path: str, key: str, *columns: str) -> None:
     """Index the texts of ``columns``. Rows may be added in any number of goes; adding one again changes no result."""
-    grams = reduce(F.array_union, [trigrams(F.col(c)) for c in columns])
-    found = rows.select(F.col(key).alias("key"), F.explode(grams).alias("gram")).withColumn("bucket", bucket(F.col("gram")))
+    found = postings(rows, key, *columns).withColumn("bucket", bucket(F.col("gram")))
     # Dealt by bucket; a bucket with a trigram of most texts is split among tasks.
     found.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram").write.mode("append").partitionBy("bucket").parquet(f"{path}/keys")
     counted = found.groupBy("bucket", "gram").agg(F.count("*").alias("texts"))

@@ -194,6 +194,17 @@ def test_indexed_search_finds_what_a_scan_finds(spark, tmp_path):
         assert sorted(r["key"] for r in I.search(df, path, term, "key", "a", "b").collect()) == want, term
 
 
+def test_postings_are_the_trigrams_made_batch_by_batch(spark, monkeypatch):
+    texts = ["The quick Brown fox", None, "", "ab", "İstanbul straße Σας", "漢字かな交じり", "😀 smile 😀", "aaaa\x00\x7f\x80\u07ff\u0800\uffff\U00010000", "abcabc"]
+    df = spark.createDataFrame([(i % 8, t, "own abc" if i % 2 else None) for i, t in enumerate(texts)] + [(None, "null key", None)], "key int, a string, b string")
+    want = df.select("key", F.explode(F.array_union(I.trigrams(F.col("a")), I.trigrams(F.coalesce("b", F.lit(""))))).alias("gram"))
+    for most in (1 << 16, 4):
+        monkeypatch.setattr(I, "POSTINGS", most)
+        got = I.postings(df, "key", "a", "b")
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_indexed_search_reads_little(spark, tmp_path):
     store, path = str(tmp_path / "store"), str(tmp_path / "grams")
     rng = random.Random(1)
