@@ -83,24 +83,38 @@ def suppress_repeats(feed: DataFrame, horizon: str = "7 days") -> DataFrame:
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SALTS = 16
+# Groups that keys are dealt to before each has one of its own, and rows of a group that a task holds.
+DEALT, HELD_ROWS = 64, 1 << 16
 
 
 class FirstOfBatch(StatefulProcessor):
-    """The earliest row of each key in a micro-batch, of those that are not late; keeps nothing."""
+    """The earliest row of each ``key`` in a micro-batch, of those that are not late; keeps nothing.
 
-    def __init__(self, order: list[str]):
-        self.order = order
+    A group may hold many keys. With more of them than fit, a key's row may come out once for every HELD_ROWS of its group.
+    """
+
+    def __init__(self, key: str, order: list[str]):
+        self.key, self.order = key, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        parts, held = [], 0
         for part in rows:  # one Arrow batch at a time
-            part = part if first is None else pd.concat([first, part])
-            first = part.sort_values(self.order, kind="stable").head(1)
-        if first is not None:
-            yield first
+            parts, held = [*parts, part], held + len(part)
+            if held >= HELD_ROWS:
+                firsts = self.firsts(parts)
+                if 2 * len(firsts) > HELD_ROWS:
+                    yield firsts
+                    firsts = firsts.head(0)
+                parts, held = [firsts], len(firsts)
+        if held:
+            yield self.firsts(parts)
+
+    def firsts(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        every = pd.concat([p for p in parts if len(p)]) if len(parts) > 1 else parts[0]
+        return every if len(every) == 1 else every.sort_values(self.order, kind="stable").drop_duplicates(self.key)
 
     def close(self) -> None:
         pass
@@ -109,8 +123,8 @@ class FirstOfBatch(StatefulProcessor):
 class OncePerHorizon(FirstOfBatch):
     """That row, unless one of the key came out whose timer has not gone off yet."""
 
-    def __init__(self, order: list[str], horizon_ms: int):
-        super().__init__(order)
+    def __init__(self, key: str, order: list[str], horizon_ms: int):
+        super().__init__(key, order)
         self.horizon_ms = horizon_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -122,7 +136,8 @@ class OncePerHorizon(FirstOfBatch):
             for _ in rows:
                 pass
             return
-        for first in super().handleInputRows(key, rows, timerValues):
+        firsts = list(super().handleInputRows(key, rows, timerValues))  # of a single key, one
+        for first in firsts:
             micros = int(pd.Timestamp(first[self.order[0]].iloc[0]).value) // 1000
             until = -(-micros // 1000) + self.horizon_ms
             self.out.update((until,))
@@ -138,9 +153,10 @@ def suppress_repeats_timed(feed: DataFrame, horizon: str = "7 days", key: str =
     """As ``suppress_repeats``, with state and a timer of its own for each hash, and no hash whole in one task.
 
     Of the rows of a hash in a micro-batch the earliest that is not late comes out (ties by the columns of ``order``), and no other until the watermark has
-    passed it by the horizon. Rows of a hash are first dealt by their content to ``salts`` keys, each of which hands on one row per micro-batch; so however
-    often a hash is asked, the task that holds its state reads no more than ``salts`` rows a batch. Late rows are told from the watermark that all rows move. ``ts`` is the
-    event time. Needs the RocksDB state store, which this sets for the session; start the result in append mode.
+    passed it by the horizon. Hashes are first dealt to DEALT groups, and the rows of each by their content to ``salts`` parts, each of which hands on one row of a hash per
+    micro-batch (see ``FirstOfBatch``); so however often a hash is asked, the task that holds its state reads few rows of it, and only the hashes that are left cost a call and
+    a look into the state. Late rows are told from the watermark that all rows move. ``ts`` is the event time. Needs the RocksDB state store, which this sets for the session;
+    start the result in append mode.
     """
     spark = feed.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -148,6 +164,6 @@ def suppress_repeats_timed(feed: DataFrame, horizon: str = "7 days", key: str =
     by = ["ts", *order]
     names = feed.columns
     dealt = F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int")
-    salted = feed.withWatermark("ts", horizon).withColumn("_salt", dealt)
-    few = salted.groupBy(key, "_salt").transformWithStateInPandas(FirstOfBatch(by), feed.schema, "Append", "EventTime", eventTimeColumnName="ts")
-    return few.groupBy(key).transformWithStateInPandas(OncePerHorizon(by, millis), feed.schema, "Append", "EventTime")
+    salted = feed.withWatermark("ts", horizon).withColumns({"_salt": dealt, "_group": F.pmod(F.xxhash64(key), F.lit(DEALT)).cast("int")})
+    few = salted.groupBy("_group", "_salt").transformWithStateInPandas(FirstOfBatch(key, by), feed.schema, "Append", "EventTime", eventTimeColumnName="ts")
+    return few.groupBy(key).transformWithStateInPandas(OncePerHorizon(key, by, millis), feed.schema, "Append", "EventTime")

@@ -6,6 +6,7 @@ import os
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from querymill.defaults import MAX_SOURCES
@@ -13,6 +14,7 @@ from querymill.plans.answer import answer, export_json, ingest
 from querymill.plans.resolve import resolve
 from querymill.schemas import RESULT_STORE
 from querymill.sources.store import insert_results, scan_store
+from querymill.streaming import jobs as J
 from querymill.streaming.jobs import resolve_stream, rolling_counters, suppress_repeats, suppress_repeats_timed
 
 QUERIES = "query_id bigint, arrival bigint, ts timestamp, query string, embedding array<float>"
@@ -274,6 +276,20 @@ def test_timers_suppress_what_the_plain_operator_does(spark, tmp_path):
     assert sum(k == "hot" for k, _ in got["timed"]) > 1 and len(got["timed"]) < sum(map(len, batches)) / 10
 
 
+def test_a_group_of_many_hashes_hands_on_the_first_of_each(monkeypatch):
+    """One call for all hashes of a group; where they do not fit, a hash may come out again, but never later than its first."""
+    rng = random.Random(5)
+    parts = [pd.DataFrame([(f"h{rng.randrange(50)}", rng.randrange(10**6)) for _ in range(40)], columns=["query_hash", "ts"]) for _ in range(30)]
+    every = pd.concat(parts)
+    want = every.groupby("query_hash")["ts"].min().to_dict()
+    for most, calls in ((1 << 16, 1), (300, 1), (60, 100)):
+        monkeypatch.setattr(J, "HELD_ROWS", most)
+        out = list(J.FirstOfBatch("query_hash", ["ts"]).handleInputRows((0, 0), iter(parts), None))
+        got = pd.concat(out)
+        assert got.groupby("query_hash")["ts"].min().to_dict() == want and len(out) <= calls
+        assert len(out) > 1 or len(got) == len(want)
+
+
 def test_kept_counters_equal_those_of_the_whole_log(spark, tmp_path):
     """Five batches, one of them run twice, one empty."""
     from querymill.operators.stats import access_rollup, stats_full, stats_reference
