@@ -355,3 +355,16 @@ def test_judged_sequence_equals_loop(spark, tmp_path):
     assert got == want and {o for o, _ in want.values()} == {"exact_hit", "similar_hit", "miss"}
     asked = log.read_text().split("\n")[:-1]
     assert len(asked) == len(set(asked))
+
+
+def test_judged_lists_are_written_without_their_texts(spark, monkeypatch):
+    written, plain = [], Q.cut
+    monkeypatch.setattr(Q, "cut", lambda df: written.append(df.columns) or plain(df))
+    schema = "query_id int, arrival int, query_hash string, query string, embedding array<double>"
+    q = spark.createDataFrame([(i, i, f"h{i}", None if i == 3 else "a" * (i + 1), [1.0, i / 100]) for i in range(6)], schema)
+    s = spark.createDataFrame([("s", "aaaa", [1.0, 0.0])], "query_hash string, query string, embedding array<double>")
+    judge = lambda asked, stored: ['{"is_similar": %s, "confidence": 0.9}' % str(len(a) == len(b or "")).lower() for a, b in zip(asked, stored)]
+    got = {r["query_id"]: r["outcome"] for r in resolve_sequential_judged(q, s, judge, threshold=0.9, k=9).collect()}
+    assert got == {0: "miss", 1: "miss", 2: "miss", 3: "miss", 4: "miss", 5: "miss"}
+    lists = [columns for columns in written if "rank" in columns or "accepted" in columns]
+    assert lists and not any({"query", "entry_query"} & set(columns) for columns in lists)
