@@ -11,9 +11,12 @@ constant map of bounded size; the rest are folded where they stand. That map sav
 import base64
 import json
 import zlib
+from copy import copy
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from querymill.session import cut
+
 FREQUENT = 1 << 17  # words in the map of frequent ones
 NO_RANK = (1 << 31) - 1
 ONE_BYTE = "ISO-8859-1"  # bytes are held as characters of this set: keys of Spark's literal maps are strings
@@ -58,48 +61,77 @@ class Lookup:
         part = F.get(self.parts, F.crc32(key.cast("binary")).bitwiseAND(F.lit(self.mask)).cast("int"))
         return F.element_at(part, key)
 
+    def once(self, body) -> Column:
+        """``body`` of this map, the literal of which stands in the plan once, however often it is asked."""
+
+        def bound(parts: Column) -> Column:
+            named = copy(self)
+            named.parts = parts
+            return body(named)
+
+        return _let(self.parts, bound)
+
 
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def fold(word: Column, ranks: Lookup) -> Column:
-    """Ids of a word (its bytes as characters), as an array of int. Steps are as many as merges, each as long as the word then is."""
+    """Ids of a word (its bytes as characters), as an array of int. Steps are as many as merges, each as long as the word then is.
 
-    def rank(piece: Column) -> Column:
-        return F.coalesce(ranks[piece], F.lit(NO_RANK))
+    A piece is one number, the rank of what it makes with the next piece before its own start, so that the least number is the leftmost pair of lowest
+    rank. Two pieces of nothing stand at the end.
+    """
+    size, unknown = F.length(word), F.lit(NO_RANK << 32)
 
-    def step(state: Column, _: Column) -> Column:
-        pieces, known = state["pieces"], state["known"]
-        lowest = F.array_min(known)
+    def piece(start: Column, end: Column) -> Column:
+        return F.shiftleft(F.coalesce(ranks[F.substring(word, start + 1, end - start)], F.lit(NO_RANK)).cast("long"), 32) + start
 
-        def merge(i: Column) -> Column:
-            def renewed(made: Column) -> Column:
-                before = F.when(i > 1, F.array(rank(F.concat(F.get(pieces, i - 2), made)))).otherwise(none)
-                after = F.when(i < F.size(known), F.array(rank(F.concat(made, F.get(pieces, i + 1))))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(pieces, 1, i - 1), F.array(made), F.slice(pieces, i + 2, F.size(pieces))).alias("pieces"),
-                    F.concat(F.slice(known, 1, F.greatest(i - 2, F.lit(0))), before, after, F.slice(known, i + 2, F.size(pieces))).alias("known"),
-                )
+    def low(piece: Column) -> Column:
+        return piece.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
-            return _let(F.concat(F.get(pieces, i - 1), F.get(pieces, i)), renewed)
+    def step(pieces: Column, _: Column) -> Column:
+        lowest = F.array_min(pieces)
 
-        return F.when(F.coalesce(lowest, F.lit(NO_RANK)) == NO_RANK, state).otherwise(_let(F.array_position(known, lowest).cast("int"), merge))
+        def start(i: Column) -> Column:
+            return low(F.get(pieces, i))
 
-    none = F.array().cast("array<int>")
-    single = F.split(word, "")
-    pairs = F.transform(F.slice(single, 2, F.size(single)), lambda second, i: rank(F.concat(F.get(single, i), second)))
-    start = F.struct(single.alias("pieces"), pairs.alias("known"))
-    # Words are mostly frequent or whole tokens; the fold is for the rest.
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda state: state["pieces"])
-    return F.when(ranks[word].isNotNull(), F.array(ranks[word])).otherwise(F.transform(folded, lambda p: ranks[p]))
+        def merge(i: Column) -> Column:
+            after = start(i + 1)
+            before = F.when(i > 1, F.array(piece(start(i - 2), after))).otherwise(none)
+            own = F.when(after < size, piece(start(i - 1), start(i + 2))).otherwise(unknown + start(i - 1))
+            return F.concat(F.slice(pieces, 1, F.greatest(i - 2, F.lit(0))), before, F.array(own), F.slice(pieces, i + 2, F.size(pieces)))
+
+        return F.when(lowest >= unknown, pieces).otherwise(_let(low(lowest), lambda at: _let(1 + F.size(F.filter(pieces, lambda p: low(p) < at)), merge)))
+
+    none = F.array().cast("array<long>")
+    single = F.transform(F.sequence(F.lit(0), size - 2), lambda i: piece(i, i + 2))
+    ends = [unknown + size - 1, unknown + size, unknown + size]
+    # Words are mostly frequent or whole tokens; the fold is for the rest. Single bytes are tokens.
+    last = F.aggregate(F.sequence(F.lit(2), size), F.concat(single, F.array(*ends)), step)
+    starts = F.transform(last, low)
+    folded = _let(starts, lambda s: F.transform(F.slice(s, 1, F.size(s) - 2), lambda p, i: ranks[F.substring(word, p + 1, F.get(s, i + 1) - p)]))
+    return _let(ranks[word], lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
 
 
 def frequent(docs: DataFrame, ranks: Lookup, most: int = FREQUENT) -> dict[str, list[int]]:
-    """Ids of the ``most`` most frequent words of all texts, none of them long: no more than that reaches the driver."""
+    """Ids of the most frequent words of all texts, none of them long, at most ``most``: no more than that reaches the driver.
+
+    Words of one class of counts (a 16th of a power of two) are in or out together, so that which they are is told from the sizes of the classes.
+    """
     counted = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counted.where("n > 1").where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(most)
-    return {r["word"]: r["ids"] for r in top.select("word", fold(as_bytes(F.col("word")), ranks).alias("ids")).collect()}
+    often = F.floor(16 * F.log2("n")).cast("int").alias("often")
+    held = cut(counted.where("n > 1").where(F.length("word") <= 64).select("word", often))
+    least = None
+    for row in held.groupBy("often").count().orderBy(F.desc("often")).collect():  # at most 16 for each power of two
+        most -= row["count"]
+        if most < 0:
+            break
+        least = row["often"]
+    if least is None:
+        return {}
+    top = held.where(F.col("often") >= least).select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    return {r["word"]: r["ids"] for r in top.select("word", ranks.once(lambda r: fold(as_bytes(F.col("word")), r)).alias("ids")).collect()}
 
 
 def with_ids(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
@@ -109,8 +141,11 @@ def with_ids(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
     """
     ranks = Lookup(read_ranks(path), "int")
     known = Lookup(frequent(docs, ranks, most), "array<int>")
-    ids = F.transform(words(F.col("text")), lambda w: F.coalesce(known[w], _let(as_bytes(w), lambda b: fold(b, ranks))))
-    return docs.withColumn("ids", F.flatten(ids))
+
+    def ids(known: Lookup, ranks: Lookup) -> Column:
+        return F.transform(words(F.col("text")), lambda w: F.coalesce(known[w], _let(as_bytes(w), lambda b: fold(b, ranks))))
+
+    return docs.withColumn("ids", F.flatten(known.once(lambda k: ranks.once(lambda r: ids(k, r)))))
 
 
 def decoded(ids: Column, path: str) -> Column:

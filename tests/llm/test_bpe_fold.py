@@ -42,3 +42,16 @@ def test_no_rows_and_no_python(spark):
     made = B.with_ids(df, PATH)
     nodes = re.findall(r"(?m)^[\s:+*()\d-]*(\w+)", made._jdf.queryExecution().executedPlan().treeString())
     assert made.count() == 0 and nodes and not [n for n in nodes if "Python" in n or "Arrow" in n or "Pandas" in n]
+
+
+def test_frequent_words_are_folded_by_tasks(spark, library, monkeypatch):
+    """The driver sorts and folds none of them, and gets no more than asked; the literal of ranks stands in a plan once."""
+    ranks, plans = B.Lookup(B.read_ranks(PATH), "int"), []
+    collect = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    texts = [" ".join(f"word{chr(97 + i)}" for i in range(20) for _ in range(i + 1)), None, "wordt " * 50]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = B.frequent(docs, ranks, 8)
+    assert 0 < len(got) <= 8 and " wordt" in got and all(ids == library.encode_ordinary(word) for word, ids in got.items())
+    assert plans and not [p for p in plans if "TakeOrdered" in p] and all(p.count(" Python") <= 3 for p in plans)
+    assert B.frequent(docs, ranks, 0) == {} and B.frequent(docs.limit(0), ranks, 8) == {}
