@@ -31,6 +31,7 @@ COUNT_AT_ONCE = 1 << 21
 SMALL = 200_000  # rows of two numbers that are broadcast, at most: a few megabytes
 HAND = 32  # members of a bucket that are compared with one another at a time
 FILTER_BITS = 1 << 23  # of the bitmap of rows whose sets are needed
+CROWDED_BITS = 1 << 26  # of the bitmap of tokens that several vertices have
 SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 
@@ -199,13 +200,14 @@ def links(scratch: Scratch, texts: DataFrame, vertices: DataFrame, rule: Rule, e
     meetings = scratch.cut(_meetings(texts, common, rule))
     # Most tokens have a single vertex; they go before anything but two numbers of each is shuffled.
     crowded = scratch.cut(meetings.groupBy("token").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x <> y").select("token"))
-    inside = scratch.cut(meetings.join(crowded, "token", "left_semi"))
+    # Equal texts bring equal rows; one of each goes on.
+    inside = scratch.cut(_perhaps(meetings, "token", _bitmap(crowded, "token", CROWDED_BITS)).join(crowded, "token", "left_semi").distinct())
     scratch.drop(meetings, crowded)
     one, by = F.struct("v", "n", "pos"), F.xxhash64("v")
     shared = inside.groupBy("token").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.min_by(one, by).alias("z"), F.max_by(one, by).alias("w"))
     # Written, so that the members of a large bucket can be split in the join.
     shared = scratch.cut(shared.select("token", F.col("x.v").alias("leader"), F.array_distinct(F.array("x", "y", "z", "w")).alias("leaders")))
-    met = scratch.cut(inside.join(shared, "token").select("token", "v", "n", "pos", "leader", "leaders").distinct())
+    met = scratch.cut(inside.join(shared, "token").select("token", "v", "n", "pos", "leader", "leaders"))
     scratch.drop(inside, shared)
 
     led = met.select("v", "n", "pos", F.explode("leaders").alias("to")).where("v <> to.v").where(_fits(rule, "n", "to.n", "pos", "to.pos"))
@@ -289,25 +291,49 @@ def _fits(rule: Rule, n: str, m: str, i: str, j: str) -> str:
     )
 
 
+def _bitmap(keys: DataFrame, column: str, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits with those of the keys' remainders set."""
+    at = F.pmod(column, F.lit(size)) + 1  # positions of bitmaps begin at 1
+    made = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = np.zeros(size // 8, np.uint8)
+    for bucket, part in made.collect():
+        low = (bucket - 1) * len(part)
+        bits[low:low + len(part)] = np.frombuffer(part, np.uint8)[:len(bits) - low]
+    return bits
+
+
+def _marked(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the keys whose bit is set."""
+    place = keys % (8 * len(bits))
+    return np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+
+
+def _perhaps(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """Rows whose key may be one of those of a bitmap: all that are, and few others as long as the bitmap has room."""
+    carried = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = _marked(batch.column(column).to_numpy(), carried.value)
+            if len(keep):
+                yield batch.take(pa.array(keep))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _whole_sets(texts: DataFrame, wanted: DataFrame, common, rule: Rule) -> DataFrame:
     """(v, n, orders, tokens) of the wanted vertices, by the row that stands for each.
 
     ``orders`` holds, for each order, 16 bits of every prefix token. A bitmap of 2^23 bits, whatever the corpus, spares the
     shuffle most rows that no vertex wants.
     """
-    at = F.pmod("row", F.lit(FILTER_BITS)) + 1  # positions of bitmaps begin at 1
-    made = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for bucket, part in made.collect():
-        low = (bucket - 1) * len(part)
-        bits[low:low + len(part)] = np.frombuffer(part, np.uint8)[:len(bits) - low]
+    bits = _bitmap(wanted, "row", FILTER_BITS)
     carried = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0).to_numpy()
-            place = rows % FILTER_BITS
-            keep = np.flatnonzero(carried.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            keep = _marked(rows, carried.value)
             if not len(keep):
                 continue
             kept = batch.take(pa.array(keep))

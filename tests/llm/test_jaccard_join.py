@@ -131,3 +131,24 @@ def test_scratch_tables_are_removed(spark, tmp_path):
         assert os.path.isdir(scratch.root)
     assert not os.path.exists(scratch.root)
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_rows_alone_with_their_token_are_not_shuffled_again(spark, monkeypatch):
+    """Of 400 different texts and three that are alike, few rows of the first order's buckets reach the joins; equal texts bring one of each."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(400)]
+    near = " ".join(f"w{i}" for i in range(60))
+    texts += [near, near, near + " more"]
+    sifted, perhaps = [], J._perhaps
+
+    def seen(rows, column, bits):
+        out = perhaps(rows, column, bits).cache()
+        sifted.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(J, "_perhaps", seen)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in J.classes(Scratch(spark), docs, J.Rule(4, 85)).collect()}
+    assert got == {i: min(i, 400) for i in range(403)}
+    ((every, kept),) = sifted
+    assert every > 3000 and 0 < kept < every / 10
