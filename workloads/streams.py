@@ -30,13 +30,30 @@ def finish(writer, spark, name):
     query.awaitTermination()
 
 
+# Files of a batch, at most, and rows that each of them has at least if there are several.
+FILES, FILE_ROWS = 64, 1 << 16
+
+
 def in_batches(rows, path, batches):
-    """The rows (batch, others) as files that a stream reads one after another, in that order."""
-    rows = rows.persist()
+    """The rows (batch, others) as files that a stream reads one batch after another, in that order.
+
+    Every batch has equally many files, as a stream takes so many at a time: one, or as many as tasks can write with FILE_ROWS rows or more in each.
+    """
+    rows = rows.withColumn("_place", F.pmod(F.xxhash64(*rows.columns), F.lit(FILES)).cast("int")).persist()
+    sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("batch", "_place").count().collect()}  # at most FILES a batch
+
+    def filled(files):
+        return all(sum(sizes.get((number, place), 0) for place in range(file, FILES, files)) >= FILE_ROWS for number in range(batches) for file in range(files))
+
+    files = FILES
+    while files > 1 and not filled(files):
+        files //= 2
     for number in range(batches):
-        rows.where(F.col("batch") == number).drop("batch").repartition(1).write.mode("append").parquet(path)
+        own = rows.where(F.col("batch") == number)
+        dealt = own.repartition(1) if files == 1 else own.repartitionById(files, F.pmod("_place", F.lit(files)))
+        dealt.drop("batch", "_place").write.mode("append").parquet(path)
     rows.unpersist()
-    return rows.sparkSession.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return rows.sparkSession.readStream.schema(rows.drop("batch", "_place").schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @case(
