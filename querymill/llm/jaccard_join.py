@@ -204,38 +204,40 @@ def links(scratch: Scratch, texts: DataFrame, vertices: DataFrame, rule: Rule, e
     inside = scratch.cut(_perhaps(meetings, "token", _bitmap(crowded, "token", CROWDED_BITS)).join(crowded, "token", "left_semi").distinct())
     scratch.drop(meetings, crowded)
     one, by = F.struct("v", "n", "pos"), F.xxhash64("v")
-    shared = inside.groupBy("token").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.min_by(one, by).alias("z"), F.max_by(one, by).alias("w"))
+    shared = inside.groupBy("token").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.min_by(one, by).alias("z"), F.max_by(one, by).alias("w"), F.count("*").alias("members"))
     # Written, so that the members of a large bucket can be split in the join.
-    shared = scratch.cut(shared.select("token", F.col("x.v").alias("leader"), F.array_distinct(F.array("x", "y", "z", "w")).alias("leaders")))
-    met = scratch.cut(inside.join(shared, "token").select("token", "v", "n", "pos", "leader", "leaders"))
+    shared = scratch.cut(shared.select("token", F.col("x.v").alias("leader"), F.array_distinct(F.array("x", "y", "z", "w")).alias("leaders"), "members"))
+    # With at most one member that does not lead, all pairs of a bucket are those with a leader.
+    met = scratch.cut(inside.join(shared, "token").select("token", "v", "n", "pos", "leader", "leaders", (F.col("members") > F.size("leaders") + 1).alias("more")))
     scratch.drop(inside, shared)
 
     led = met.select("v", "n", "pos", F.explode("leaders").alias("to")).where("v <> to.v").where(_fits(rule, "n", "to.n", "pos", "to.pos"))
     stars = scratch.cut(led.select(F.least("v", "to.v").alias("a"), F.greatest("v", "to.v").alias("b")).distinct())
     compared = _compare(scratch, stars, texts, vertices, common, rule)
+    known = compared.where("d IS NOT NULL").select(F.col("a").alias("leader"), F.col("b").alias("v"), "d")
+    placed = scratch.cut(
+        met.where("more").select("token", "v", "n", "pos", "leader").join(known, ["leader", "v"], "left")
+        .select("token", "v", "n", "pos", F.when(F.col("v") == F.col("leader"), 0.0).otherwise(F.col("d")).alias("d"))
+    )
+    scratch.drop(met)
     if every:
-        pairs = _within(scratch, met, compared, rule)
+        pairs = _within(scratch, placed, compared, rule)
         new = scratch.cut(pairs.where("NOT sure").select("a", "b"))
         more = _compare(scratch, new, texts, vertices, common, rule)
         return scratch.cut(compared.unionByName(more).where("linked").select("a", "b").unionByName(pairs.where("sure").select("a", "b")))
     # Twice every member is first compared with a few others of its buckets, which joins most of what links join; then all that may still link.
     for sampled in (1, 2, 0):
-        pairs = _across(scratch, met, compared, rule, sampled)
+        pairs, placed = _across(scratch, placed, compared, rule, sampled)
         new = scratch.cut(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"))
         compared = scratch.cut(compared.unionByName(_compare(scratch, new, texts, vertices, common, rule)))
     return compared.where("linked").select("a", "b")
 
 
-def _within(scratch: Scratch, met: DataFrame, compared: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, sure): all pairs of members of a bucket that are not compared yet and may link, by sizes, places and the distances from their leaders.
+def _within(scratch: Scratch, placed: DataFrame, compared: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, sure): all pairs of members (token, v, n, pos, d) of a bucket that are not compared yet and may link, by sizes, places and the distances from their leaders.
 
     ``sure``: they do link, as both lie so near one leader that the triangle inequality leaves no doubt.
     """
-    known = compared.select(F.col("a").alias("leader"), F.col("b").alias("v"), "d")
-    placed = scratch.cut(
-        met.select("token", "v", "n", "pos", "leader").join(known, ["leader", "v"], "left")
-        .select("token", "v", "n", "pos", F.when(F.col("v") == F.col("leader"), 0.0).otherwise(F.col("d")).alias("d"))
-    )
     side = [placed.select("token", F.col("v").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("d").alias(f"d{s}")) for s in "ab"]
     reach = 1 - rule.percent / 100
     fits = side[0].join(side[1], "token").where("a < b").where(_fits(rule, "na", "nb", "pa", "pb"))
@@ -244,20 +246,18 @@ def _within(scratch: Scratch, met: DataFrame, compared: DataFrame, rule: Rule) -
     return scratch.cut(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"))
 
 
-def _across(scratch: Scratch, met: DataFrame, compared: DataFrame, rule: Rule, sampled: int) -> DataFrame:
-    """(a, b): pairs of members of a bucket that lie in different components and may link, by their sizes and their distances from the leader.
+def _across(scratch: Scratch, placed: DataFrame, compared: DataFrame, rule: Rule, sampled: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs of members of a bucket that lie in different components and may link, by their sizes and their distances d from the leader.
 
     ``sampled``: not all of them; a bucket is dealt, by a hash of that number, into hands of about HAND members, and pairs come from within a hand.
+    The second table has the members, as ``placed`` has, of the buckets in which several components meet: components only grow, so the others are done.
     """
     roots = scratch.cut(components(scratch, compared.where("linked").select("a", "b")))
-    known = compared.select(F.col("a").alias("leader"), F.col("b").alias("v"), "d")
-    placed = scratch.cut(
-        met.select("token", "v", "n", "pos", "leader").join(roots, F.col("v") == F.col("node"), "left").join(known, ["leader", "v"], "left")
-        .select("token", "v", "n", "pos", F.coalesce("root", "v").alias("root"), F.when(F.col("v") == F.col("leader"), 0.0).otherwise(F.col("d")).alias("d"))
-    )
+    rooted = scratch.cut(placed.select("token", "v", "n", "pos", "d").join(roots, F.col("v") == F.col("node"), "left").select("token", "v", "n", "pos", F.coalesce("root", "v").alias("root"), "d"))
     # Where only one component meets, nothing is left to compare.
-    mixed = scratch.cut(placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token"))
-    open_ = scratch.cut(placed.join(mixed, "token", "left_semi"))
+    mixed = scratch.cut(rooted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token"))
+    open_ = scratch.cut(rooted.join(mixed, "token", "left_semi"))
+    scratch.drop(placed, rooted)
     reach, p = 1 - rule.percent / 100 + 1e-9, rule.percent
     if sampled:
         hands = scratch.cut(open_.groupBy("token").agg(F.greatest(F.lit(1), F.floor(F.count("*") / HAND)).alias("hands")))
@@ -276,7 +276,7 @@ def _across(scratch: Scratch, met: DataFrame, compared: DataFrame, rule: Rule, s
         side = [open_.select("token", F.col("root").alias(f"r{s}"), F.col("v").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("d").alias(f"d{s}")) for s in "ab"]
         met_twice = may.join(side[0], ["token", "ra"]).join(side[1], ["token", "rb"])
     fits = met_twice.where(_fits(rule, "na", "nb", "pa", "pb")).where(f"coalesce(abs(da - db) <= {reach}, true)")
-    return fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), open_
 
 
 def _fits(rule: Rule, n: str, m: str, i: str, j: str) -> str:

@@ -152,3 +152,16 @@ def test_rows_alone_with_their_token_are_not_shuffled_again(spark, monkeypatch):
     assert got == {i: min(i, 400) for i in range(403)}
     ((every, kept),) = sifted
     assert every > 3000 and 0 < kept < every / 10
+
+
+def test_settled_buckets_go_no_further(spark, monkeypatch):
+    """Buckets of up to three members are settled by their leaders; of the others, those in which one component meets leave."""
+    across, members = J._across, []
+    monkeypatch.setattr(J, "_across", lambda scratch, met, *rest: members.append(met.count()) or across(scratch, met, *rest))
+    few = [(i, "all of these share this start " + " ".join(f"w{i}x{j}" for j in range(3 if i < 2 else 40))) for i in range(3)]
+    many = [(i, " ".join(f"u{j}" for j in range(60)) + f" end{i}") for i in range(10, 40)]
+    rows = few + many
+    with Scratch(spark) as scratch:
+        got = J.classes(scratch, spark.createDataFrame(rows, "doc_id long, text string"), J.Rule(words=4, percent=85)).collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(components(rows, 4, 85))
+    assert members[0] > 0 and members[0] % len(many) == 0 and members[1:] == [0, 0]
