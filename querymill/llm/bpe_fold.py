@@ -20,8 +20,8 @@ from querymill.session import cut
 FREQUENT = 1 << 17  # words in the map of frequent ones
 NO_RANK = (1 << 31) - 1
 ONE_BYTE = "ISO-8859-1"  # bytes are held as characters of this set: keys of Spark's literal maps are strings
-# The vocabularies' pattern; (?U) makes white space Unicode's. A fixed value.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The vocabularies' pattern with common beginnings joined; (?U) makes white space Unicode's. A fixed value.
+PATTERN = r"(?U)'(?:[stmd]|re|ve|ll)| ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+(?!\S)|\s+"
 
 
 def words(text: Column) -> Column:
@@ -61,19 +61,20 @@ class Lookup:
         part = F.get(self.parts, F.crc32(key.cast("binary")).bitwiseAND(F.lit(self.mask)).cast("int"))
         return F.element_at(part, key)
 
-    def once(self, body) -> Column:
-        """``body`` of this map, the literal of which stands in the plan once, however often it is asked."""
+    def once(self, kind: str, body) -> Column:
+        """``body`` (of type ``kind``) of this map, the literal of which stands in the plan once, however often it is asked."""
 
         def bound(parts: Column) -> Column:
             named = copy(self)
             named.parts = parts
             return body(named)
 
-        return _let(self.parts, bound)
+        return _let(self.parts, kind, bound)
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _let(value: Column, kind: str, body) -> Column:
+    """``body``, of type ``kind``, of a value that is worked out once. An element of a transformed array would do, but asks for its type through the whole body on every row."""
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, v: body(v))
 
 
 def fold(word: Column, ranks: Lookup) -> Column:
@@ -102,7 +103,7 @@ def fold(word: Column, ranks: Lookup) -> Column:
             own = F.when(after < size, piece(start(i - 1), start(i + 2))).otherwise(unknown + start(i - 1))
             return F.concat(F.slice(pieces, 1, F.greatest(i - 2, F.lit(0))), before, F.array(own), F.slice(pieces, i + 2, F.size(pieces)))
 
-        return F.when(lowest >= unknown, pieces).otherwise(_let(low(lowest), lambda at: _let(1 + F.size(F.filter(pieces, lambda p: low(p) < at)), merge)))
+        return F.when(lowest >= unknown, pieces).otherwise(_let(low(lowest), "array<long>", lambda at: _let(1 + F.size(F.filter(pieces, lambda p: low(p) < at)), "array<long>", merge)))
 
     none = F.array().cast("array<long>")
     single = F.transform(F.sequence(F.lit(0), size - 2), lambda i: piece(i, i + 2))
@@ -110,8 +111,8 @@ def fold(word: Column, ranks: Lookup) -> Column:
     # Words are mostly frequent or whole tokens; the fold is for the rest. Single bytes are tokens.
     last = F.aggregate(F.sequence(F.lit(2), size), F.concat(single, F.array(*ends)), step)
     starts = F.transform(last, low)
-    folded = _let(starts, lambda s: F.transform(F.slice(s, 1, F.size(s) - 2), lambda p, i: ranks[F.substring(word, p + 1, F.get(s, i + 1) - p)]))
-    return _let(ranks[word], lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
+    folded = _let(starts, "array<int>", lambda s: F.transform(F.slice(s, 1, F.size(s) - 2), lambda p, i: ranks[F.substring(word, p + 1, F.get(s, i + 1) - p)]))
+    return _let(ranks[word], "array<int>", lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
 
 
 def frequent(docs: DataFrame, ranks: Lookup, most: int = FREQUENT) -> dict[str, list[int]]:
@@ -131,7 +132,7 @@ def frequent(docs: DataFrame, ranks: Lookup, most: int = FREQUENT) -> dict[str,
     if least is None:
         return {}
     top = held.where(F.col("often") >= least).select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    return {r["word"]: r["ids"] for r in top.select("word", ranks.once(lambda r: fold(as_bytes(F.col("word")), r)).alias("ids")).collect()}
+    return {r["word"]: r["ids"] for r in top.select("word", ranks.once("array<int>", lambda r: fold(as_bytes(F.col("word")), r)).alias("ids")).collect()}
 
 
 def with_ids(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
@@ -143,9 +144,10 @@ def with_ids(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
     known = Lookup(frequent(docs, ranks, most), "array<int>")
 
     def ids(known: Lookup, ranks: Lookup) -> Column:
-        return F.transform(words(F.col("text")), lambda w: F.coalesce(known[w], _let(as_bytes(w), lambda b: fold(b, ranks))))
+        return F.transform(words(F.col("text")), lambda w: F.coalesce(known[w], _let(as_bytes(w), "array<int>", lambda b: fold(b, ranks))))
 
-    return docs.withColumn("ids", F.flatten(known.once(lambda k: ranks.once(lambda r: ids(k, r)))))
+    kind = "array<array<int>>"
+    return docs.withColumn("ids", F.flatten(known.once(kind, lambda k: ranks.once(kind, lambda r: ids(k, r)))))
 
 
 def decoded(ids: Column, path: str) -> Column:

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from querymill.llm import bpe_fold as B
 from tests.llm.helpers import ODD
@@ -55,3 +56,12 @@ def test_frequent_words_are_folded_by_tasks(spark, library, monkeypatch):
     assert 0 < len(got) <= 8 and " wordt" in got and all(ids == library.encode_ordinary(word) for word, ids in got.items())
     assert plans and not [p for p in plans if "TakeOrdered" in p] and all(p.count(" Python") <= 3 for p in plans)
     assert B.frequent(docs, ranks, 0) == {} and B.frequent(docs.limit(0), ranks, 8) == {}
+
+
+def test_values_are_bound_without_asking_for_types(spark):
+    """An element of a transformed array asks for its type, through all that is nested in it, on every row."""
+    ranks = B.Lookup({chr(i): i for i in range(256)} | {"bc": 256, "ab": 257}, "int")
+    df = spark.createDataFrame([("abc",), ("ab",)], "text string")
+    got = df.select("text", ranks.once("array<int>", lambda r: B.fold(B.as_bytes(F.col("text")), r)).alias("ids"))
+    assert "transform(array(" not in got._jdf.queryExecution().analyzed().toString()
+    assert {r["text"]: r["ids"] for r in got.collect()} == {"abc": [97, 256], "ab": [257]}
